@@ -1,0 +1,15 @@
+"""Sparse vectors from arrays; the vector type has no native constructor."""
+
+from __future__ import annotations
+
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import functions as F
+
+from .shipping import ship_by_value
+
+ship_by_value(__name__)
+
+
+@F.udf(VectorUDT(), useArrow=True)
+def sparse_vector(size, indices, values):
+    return Vectors.sparse(size, indices, values)
