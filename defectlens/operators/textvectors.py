@@ -1,12 +1,16 @@
 """Word and character TF-IDF over program texts.
 
-Document-term counts are made per document before anything is shuffled by term, and
-everything after the vocabulary works on vocabulary terms only. The vocabulary has at
-most ``max_features`` rows by construction, which is what makes it safe to broadcast.
+A text is first reduced to units with counts: its word terms, or its padded words, from
+which the character terms are cut. Units are made once per document; vocabularies and
+weights of any subset of documents then work on unit counts, not on texts. Everything
+after the vocabulary sees vocabulary terms only. The vocabulary has at most
+``max_features`` rows by construction, which is what makes it safe to broadcast.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import identifiers, text_or_empty
@@ -47,116 +51,107 @@ def char_terms(word: Column, sizes: tuple[int, int] = CHAR_SIZES) -> Column:
     return F.concat(*[of_size(n) for n in range(sizes[0], sizes[1] + 1)])
 
 
-def word_counts(df: DataFrame, ident: str, text: str) -> DataFrame:
-    """(id, term, tf) for word terms. Only texts move: grouping by (id, term) keeps the
-    partitioning by id."""
-    placed = df.select(ident, text).repartition(ident)
+def word_units(df: DataFrame, ident: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
+    """(id, unit, n): word terms per document.
+
+    Only texts move: grouping by (id, unit) keeps the partitioning by id. ``carry``
+    names columns of the document to keep, so that later filters need no join.
+    """
+    placed = df.select(ident, *carry, text).repartition(ident)
     return (
-        placed.select(ident, F.explode(word_terms(F.col(text))).alias("term"))
-        .groupBy(ident, "term")
-        .agg(F.count("*").alias("tf"))
+        placed.select(ident, *carry, F.explode(word_terms(F.col(text))).alias("unit"))
+        .groupBy(ident, *carry, "unit")
+        .agg(F.count("*").alias("n"))
     )
 
 
-def padded_word_counts(df: DataFrame, ident: str, text: str) -> DataFrame:
-    """(id, word, n): repeated words are cut into substrings once, not once per use."""
-    placed = df.select(ident, text).repartition(ident)
+def char_units(df: DataFrame, ident: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
+    """(id, unit, n): padded words per document. A repeated word is cut into its
+    substrings once, not once per use."""
+    placed = df.select(ident, *carry, text).repartition(ident)
     return (
-        placed.select(ident, F.explode(padded_words(F.col(text))).alias("word"))
-        .groupBy(ident, "word")
+        placed.select(ident, *carry, F.explode(padded_words(F.col(text))).alias("unit"))
+        .groupBy(ident, *carry, "unit")
         .agg(F.count("*").alias("n"))
     )
 
 
-def char_counts(df: DataFrame, ident: str, text: str) -> DataFrame:
-    """(id, term, tf) for character terms."""
-    return (
-        padded_word_counts(df, ident, text)
-        .select(ident, "n", F.explode(char_terms(F.col("word"))).alias("term"))
-        .groupBy(ident, "term")
-        .agg(F.sum("n").alias("tf"))
-    )
+UNITS = {"word": word_units, "char": char_units}
 
 
-def corpus_counts(df: DataFrame, ident: str, text: str, kind: str) -> DataFrame:
-    """(term, total) over the corpus; never one row per document and character term."""
+def _terms(units: DataFrame, kind: str, *keep: str) -> DataFrame:
     if kind == "word":
-        terms = df.select(F.explode(word_terms(F.col(text))).alias("term"))
-        return terms.groupBy("term").agg(F.count("*").alias("total"))
-    words = df.select(F.explode(padded_words(F.col(text))).alias("word"))
-    distinct = words.groupBy("word").agg(F.count("*").alias("n"))
-    return (
-        distinct.select("n", F.explode(char_terms(F.col("word"))).alias("term"))
-        .groupBy("term")
-        .agg(F.sum("n").alias("total"))
-    )
+        return units.select(*keep, F.col("unit").alias("term"), "n")
+    return units.select(*keep, F.explode(char_terms(F.col("unit"))).alias("term"), "n")
 
 
-def vocabulary(
-    df: DataFrame, ident: str, text: str, kind: str, max_features: int = MAX_FEATURES
-) -> DataFrame:
+def term_counts(units: DataFrame, ident: str, kind: str) -> DataFrame:
+    """(id, term, tf)."""
+    return _terms(units, kind, ident).groupBy(ident, "term").agg(F.sum("n").alias("tf"))
+
+
+def vocabulary(units: DataFrame, kind: str, max_features: int = MAX_FEATURES) -> DataFrame:
     """(term, total, idx): the most frequent terms, ties by term, numbered by term order.
 
-    The window sees ``max_features`` rows at most.
+    Units are counted over the corpus before they are cut, so there is never a row per
+    document and character term. The window sees ``max_features`` rows at most.
     """
-    top = corpus_counts(df, ident, text, kind).orderBy(F.desc("total"), "term").limit(max_features)
+    corpus = units.groupBy("unit").agg(F.sum("n").alias("n"))
+    totals = _terms(corpus, kind).groupBy("term").agg(F.sum("n").alias("total"))
+    top = totals.orderBy(F.desc("total"), "term").limit(max_features)
     by_term = Window.partitionBy(F.lit(0)).orderBy("term")
     return top.withColumn("idx", F.row_number().over(by_term) - 1)
 
 
+def _bounded(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= _BROADCAST_TERMS else table
+
+
 def vocabulary_counts(
-    df: DataFrame, ident: str, text: str, kind: str, vocab: DataFrame,
-    max_features: int = MAX_FEATURES,
+    units: DataFrame, ident: str, kind: str, vocab: DataFrame, max_features: int = MAX_FEATURES
 ) -> DataFrame:
     """(id, term, idx, tf) for vocabulary terms only."""
-    known = vocab.select("term", "idx")
-    if max_features <= _BROADCAST_TERMS:
-        known = F.broadcast(known)
-    if kind == "word":
-        placed = df.select(ident, text).repartition(ident)
-        terms = placed.select(
-            ident, F.explode(word_terms(F.col(text))).alias("term"), F.lit(1).cast("long").alias("n")
-        )
-    else:
-        terms = padded_word_counts(df, ident, text).select(
-            ident, F.explode(char_terms(F.col("word"))).alias("term"), "n"
-        )
-    return terms.join(known, "term").groupBy(ident, "term", "idx").agg(F.sum("n").alias("tf"))
-
+    known = _bounded(vocab.select("term", "idx"), max_features)
+    return (
+        _terms(units, kind, ident).join(known, "term")
+        .groupBy(ident, "term", "idx").agg(F.sum("n").alias("tf"))
+    )
 
-def inverse_frequencies(counts: DataFrame, n_documents: Column) -> DataFrame:
-    """(term, idx, df, idf) with idf = ln((1 + n) / (1 + df)) + 1.
 
-    ``counts`` holds one row per document and term, so a row count is the frequency.
-    """
-    return counts.groupBy("term", "idx").agg(F.count("*").alias("df")).withColumn(
-        "idf", F.log((1 + n_documents) / (1 + F.col("df"))) + 1
-    )
+def inverse_frequency(n_documents: Column, df: Column) -> Column:
+    return F.log((1 + n_documents) / (1 + df)) + 1
 
 
 def fit_tfidf(
-    train: DataFrame, ident: str, text: str, kind: str, max_features: int = MAX_FEATURES
+    units: DataFrame, ident: str, kind: str, n_documents: Column, max_features: int = MAX_FEATURES
 ) -> DataFrame:
     """The fitted vectoriser as a table: term, idx, df, idf. Save it like any table."""
-    vocab = vocabulary(train, ident, text, kind, max_features)
-    counts = vocabulary_counts(train, ident, text, kind, vocab, max_features)
-    n_documents = train.agg(F.count("*")).scalar()
-    return inverse_frequencies(counts, n_documents)
+    if kind == "word":
+        # A word term is a unit: corpus and document counts come from the same aggregate.
+        totals = units.groupBy(F.col("unit").alias("term")).agg(
+            F.sum("n").alias("total"), F.count("*").alias("df")
+        )
+        top = totals.orderBy(F.desc("total"), "term").limit(max_features)
+        by_term = Window.partitionBy(F.lit(0)).orderBy("term")
+        counted = top.select("term", (F.row_number().over(by_term) - 1).alias("idx"), "df")
+    else:
+        vocab = vocabulary(units, kind, max_features)
+        counts = vocabulary_counts(units, ident, kind, vocab, max_features)
+        counted = counts.groupBy("term", "idx").agg(F.count("*").alias("df"))
+    return counted.withColumn("idf", inverse_frequency(n_documents, F.col("df")))
 
 
 def tfidf_weights(
-    df: DataFrame, ident: str, text: str, kind: str, fitted: DataFrame,
-    max_features: int = MAX_FEATURES,
+    units: DataFrame, ident: str, kind: str, fitted: DataFrame, max_features: int = MAX_FEATURES
 ) -> DataFrame:
     """(id, term, idx, weight): (1 + ln tf) * idf, scaled to unit length per document."""
-    counts = vocabulary_counts(df, ident, text, kind, fitted, max_features)
-    idf = fitted.select("idx", "idf")
-    if max_features <= _BROADCAST_TERMS:
-        idf = F.broadcast(idf)
-    raw = counts.join(idf, "idx").select(
-        ident, "term", "idx", ((1 + F.log("tf")) * F.col("idf")).alias("_w")
+    known = _bounded(fitted.select("term", "idx", "idf"), max_features)
+    counts = (
+        _terms(units, kind, ident).join(known, "term")
+        .groupBy(ident, "term", "idx", "idf").agg(F.sum("n").alias("tf"))
     )
-    # At most max_features rows per document, already placed by document.
+    raw = counts.select(ident, "term", "idx", ((1 + F.log("tf")) * F.col("idf")).alias("_w"))
+    # At most max_features rows per document.
     whole = Window.partitionBy(ident)
     return raw.select(
         ident, "term", "idx",

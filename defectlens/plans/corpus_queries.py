@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import parse_libs
 from ..operators import profiling, splits
 from ..operators.ordering import exact_quantiles
 from .registry import query
 from .views import (
-    CODE_FEATURES, CODE_SAMPLES, CODE_FAMILY, SCORED_TEXTS, SEED, SPLIT_SCORED_TEXTS, TEXT_FAMILY,
-    TEXT_SAMPLES, code_samples, scored_texts, split_scored_texts, table, text_families, text_samples,
+    CODE_SAMPLES, SCORED_TEXTS, SEED, SPLIT_SCORED_TEXTS, TEXT_FAMILY,
+    TEXT_SAMPLES, code_samples, split_scored_texts, stored_split, table,
+    text_families, text_samples,
 )
 
 
@@ -159,8 +161,6 @@ def failure_overlap(spark, sf_dir):
                 WHEN 4 THEN ['pandas', 'numpy', 'os'] ELSE [] END) AS library, label FROM code_samples)
 SELECT library, count(*) AS n_rows, round(avg(label), 6) AS pass_rate FROM used GROUP BY library""")
 def library_pass_rate(spark, sf_dir):
-    from ..functions.text import parse_libs
-
     samples = code_samples(spark, sf_dir).select(parse_libs(F.col("libs")).alias("libs"), "label")
     return profiling.library_pass_rate(samples)
 
@@ -187,7 +187,7 @@ LEFT JOIN (SELECT p.fold AS x, q.fold AS y, p.task_id FROM t p JOIN t q ON p.tas
   ON a.x = b.x AND a.y = b.y
 GROUP BY a.pair""")
 def split_overlap(spark, sf_dir):
-    return splits.split_overlap(split_scored_texts(spark, sf_dir))
+    return splits.split_overlap(stored_split(spark, sf_dir))
 
 
 @query("stratified_group_folds", f"""WITH {CODE_SAMPLES}, rates AS (

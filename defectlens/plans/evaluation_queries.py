@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import baselines, evaluation, explain, triage
 from .registry import query
 from .views import (
-    SCORED_TEXTS, SEED, SPLIT_SCORED_TEXTS, TEXT_FAMILY, scored_texts, split_scored_texts, table,
+    SCORED_TEXTS, SEED, SPLIT_SCORED_TEXTS, TEXT_FAMILY, scored_texts, stored_split, table,
     text_families,
 )
 
@@ -19,7 +19,7 @@ def _fold(df, name):
 
 
 def _folds(spark, sf_dir):
-    df = split_scored_texts(spark, sf_dir).drop("score")
+    df = stored_split(spark, sf_dir).drop("score")
     return [_fold(df, f) for f in ("train", "val", "test")]
 
 
@@ -202,7 +202,7 @@ SELECT setting, threshold, (SELECT round(auc, 6) FROM ({auc_sql('test')})) AS au
        round(coalesce({F1_SQL}, 0), 6) AS f1, round({ACC_SQL}, 6) AS accuracy
 FROM judged GROUP BY setting, threshold""")
 def threshold_apply(spark, sf_dir):
-    df = split_scored_texts(spark, sf_dir)
+    df = stored_split(spark, sf_dir)
     return _rounded(evaluation.threshold_apply(_fold(df, "val"), _fold(df, "test")), "auc", "f1", "accuracy")
 
 

@@ -102,7 +102,7 @@ def lr_crossval(spark, sf_dir):
     """Grid search over group folds of train, then the best setting on train and validation."""
     features = materialise(_features(spark, sf_dir))
     folds = _by_fold(features)
-    train = folds["train"].join(stratified_group_folds(folds["train"], seed=SEED), "task_id")
+    train = materialise(folds["train"].join(stratified_group_folds(folds["train"], seed=SEED), "task_id"))
     search = training.crossval_logistic(train, FEATURE_COLUMNS, grid=(0.01, 1.0))
     both = features.where(F.col("fold").isin("train", "val"))
     final = training.refit_logistic(both, FEATURE_COLUMNS, search.best)
@@ -114,30 +114,29 @@ def lr_crossval(spark, sf_dir):
 def gbt_random_search(spark, sf_dir):
     features = materialise(_features(spark, sf_dir))
     folds = _by_fold(features)
-    train = folds["train"].join(stratified_group_folds(folds["train"], k=3, seed=SEED), "task_id")
+    train = materialise(folds["train"].join(stratified_group_folds(folds["train"], k=3, seed=SEED), "task_id"))
     settings = [{**s, "rounds": s["rounds"] // 20} for s in training.random_tree_settings(2)]
     search = training.crossval_boosted(train, FEATURE_COLUMNS, settings=settings)
     doubles = {f: df.withColumns({c: F.col(c).cast("double") for c in FEATURE_COLUMNS}) for f, df in folds.items()}
     return training.report(search.model, doubles, "boosted trees, random search")
 
 
-def _text_table(spark, sf_dir):
+def _text_tables(spark, sf_dir):
     """Labelled texts with their static features and folds, for the text models."""
     split = group_split(text_samples(spark, sf_dir), seed=SEED)
     features = codefeatures.feature_table(split, median_keys=("fold", "task_id"))
-    return features.join(split.select("sample_id", "solution"), "sample_id")
+    return holdout.TextTables.build(features.join(split.select("sample_id", "solution"), "sample_id"))
 
 
-def _text_model(samples, **options):
-    folds = _by_fold(samples)
-    return holdout.TextModel(folds["train"], folds["val"], FEATURE_COLUMNS, iterations=50, **options)
+def _text_model(tables, **options):
+    return holdout.TextModel(tables.fold("train"), tables.fold("val"), FEATURE_COLUMNS, **options)
 
 
 @query("lr_tfidf")
 def lr_tfidf(spark, sf_dir):
-    samples = _text_table(spark, sf_dir)
-    model = _text_model(samples, grid=(0.1, 1.0))
-    scored = materialise(model.score(samples).select("label", "fold", "score"))
+    tables = _text_tables(spark, sf_dir)
+    model = _text_model(tables, grid=(0.1, 1.0), iterations=50)
+    scored = materialise(model.score(tables).select("label", "fold", "score"))
     return evaluation.binary_metrics(scored, keys=["fold"]).select(
         F.lit("logistic regression, static + TF-IDF").alias("model"), "fold",
         *[F.round(m, 4).alias(m) for m in ("auc", "f1", "accuracy")],
@@ -146,18 +145,18 @@ def lr_tfidf(spark, sf_dir):
 
 @query("top_coefficients")
 def top_coefficients(spark, sf_dir):
-    model = _text_model(_text_table(spark, sf_dir), grid=(1.0,))
-    names = model.names()
-    ranked = explain.coefficient_table(spark, names, model.search.model.coefficients.toArray(), FEATURE_COLUMNS)
+    model = _text_model(_text_tables(spark, sf_dir), grid=(1.0,), iterations=50)
+    weights = model.search.model.coefficients.toArray()
+    ranked = explain.coefficient_table(spark, model.names(), weights, FEATURE_COLUMNS)
     return explain.top_coefficients(ranked).select("name", F.round("coefficient", 6).alias("coefficient"), "side")
 
 
 @query("gbt_tfidf")
 def gbt_tfidf(spark, sf_dir):
     """Boosted trees on the 200 best of the static and text columns."""
-    samples = _text_table(spark, sf_dir)
-    model = _text_model(samples, grid=(1.0,))
-    vectors = materialise(model.vectors(samples).select("sample_id", "label", "fold", "features"))
+    tables = _text_tables(spark, sf_dir)
+    model = _text_model(tables, grid=(1.0,), iterations=5)
+    vectors = materialise(model.vectors(tables).select("sample_id", "label", "fold", "features"))
     selector = training.select_columns(vectors.where(F.col("fold") == "train"), 200)
     narrow = selector.transform(vectors).select("label", "fold", F.col("selected").alias("features"))
     folds = _by_fold(materialise(narrow))
@@ -165,30 +164,23 @@ def gbt_tfidf(spark, sf_dir):
     return training.report(search.model, folds, "boosted trees, static + TF-IDF")
 
 
-def _held_out(spark, sf_dir):
-    samples = materialise(_text_table(spark, sf_dir))
-    families = materialise(text_families(samples))
-    results = holdout.leave_families_out(
-        samples, families, FEATURE_COLUMNS, grid=(1.0,), iterations=30, max_features=2000
-    )
-    return samples, families, results
+HOLDOUT = {"grid": (1.0,), "iterations": 30, "max_features": 2000}
 
 
 @query("lofo_eval")
 def lofo_eval(spark, sf_dir):
-    _, _, results = _held_out(spark, sf_dir)
-    return results.select(
+    tables = _text_tables(spark, sf_dir)
+    families = materialise(text_families(tables.static))
+    return holdout.leave_families_out(tables, families, FEATURE_COLUMNS, **HOLDOUT).select(
         "family", "n_test_rows", *[F.round(c, 4).alias(c) for c in ("ood_auc", "ood_f1")], "ood_threshold"
     )
 
 
 @query("family_drop")
 def family_drop(spark, sf_dir):
-    samples, families, results = _held_out(spark, sf_dir)
-    model = holdout.TextModel(
-        *[samples.where(F.col("fold") == f) for f in ("train", "val")], FEATURE_COLUMNS,
-        grid=(1.0,), iterations=30, max_features=2000,
-    )
-    test = materialise(model.score(samples.where(F.col("fold") == "test")).select("model_name", "label", "score"))
-    in_family = evaluation.family_metrics(test, families)
-    return evaluation.family_drop(in_family, results, families)
+    tables = _text_tables(spark, sf_dir)
+    families = materialise(text_families(tables.static))
+    held_out = holdout.leave_families_out(tables, families, FEATURE_COLUMNS, **HOLDOUT)
+    model = _text_model(tables, **HOLDOUT)
+    test = materialise(model.score(tables.fold("test")).select("model_name", "label", "score"))
+    return evaluation.family_drop(evaluation.family_metrics(test, families), held_out, families)

@@ -78,7 +78,7 @@ def max_normalise(spark, sf_dir):
 
 @query("enrich_left_join", """
 SELECT c.conv_id AS sample_id, 'task' || (c.conv_id % 60) AS task_id, length(c.text) AS code_chars,
-       length(b.text) AS prompt_chars, md5(b.text) AS prompt_md5
+       coalesce(length(b.text), -1) AS prompt_chars, md5(b.text) AS prompt_md5
 FROM conversations c LEFT JOIN benchmark b ON c.conv_id % 60 = b.item_id""")
 def enrich_left_join(spark, sf_dir):
     tasks = table(spark, sf_dir, "benchmark").select(
@@ -92,7 +92,7 @@ def enrich_left_join(spark, sf_dir):
     )
     return matching.enrich(samples, tasks).select(
         "sample_id", "task_id", F.length("solution").cast("long").alias("code_chars"),
-        F.length("instruct_prompt").cast("long").alias("prompt_chars"),
+        F.coalesce(F.length("instruct_prompt"), F.lit(-1)).cast("long").alias("prompt_chars"),
         F.md5("instruct_prompt").alias("prompt_md5"),
     )
 

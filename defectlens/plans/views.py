@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.hashing import hash_uniform
 from ..functions.text import line_count
 from ..operators.splits import group_split
+from ..session import materialise
 
 SEED = 42
 
@@ -80,6 +81,12 @@ def split_scored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_split(scored_texts(spark, sf_dir), seed=SEED)
 
 
+def stored_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split as a written table, for queries that read several of its folds: the
+    texts are scanned once, and reading a fold touches narrow columns only."""
+    return materialise(split_scored_texts(spark, sf_dir))
+
+
 SPLIT_SCORED_TEXTS = SCORED_TEXTS + ", " + folds_sql("scored_texts")
 
 TEXT_FAMILY = "'family' || (substr(model_name, 4)::INTEGER % 4)"

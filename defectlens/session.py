@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,14 +32,27 @@ def build_session(app: str = "defectlens", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names.
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     A folder of our own is set only on a single-machine session that has none.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="defectlens-"))
-    return df.checkpoint()
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut lineage: write the frame once as a table in the shared folder and read it back.
+
+    Unlike a cached frame it outlives its executors, and later reads prune columns and
+    push filters down.
+    """
+    path = f"{scratch_folder(df.sparkSession).rstrip('/')}/defectlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
