@@ -16,16 +16,12 @@ import warnings
 
 import pyarrow as pa
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import from_arrow_type
 
 from .shipping import ship_by_value
 
 ship_by_value(__name__)
 
-NODE_DDL = (
-    "struct<kind:string,depth:int,complexity:int,mark:string,libs:array<string>>"
-)
-PARSE_DDL = f"struct<nodes:array<{NODE_DDL}>,source_lines:int,raw_ok:boolean>"
-
 _NODE_TYPE = pa.struct([
     ("kind", pa.string()),
     ("depth", pa.int32()),
@@ -39,12 +35,18 @@ _PARSE_TYPE = pa.struct([
     ("raw_ok", pa.bool_()),
 ])
 
-_NESTING = (ast.If, ast.For, ast.While, ast.With, ast.Try, ast.ExceptHandler)
-_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
-_KEPT = _NESTING + _FUNCTIONS + (ast.ClassDef, ast.Return, ast.Import, ast.ImportFrom, ast.Pass)
 _COMMENT_OR_STRING = re.compile(r"#|[bru]{0,2}['\"]", re.IGNORECASE)
+_LAYOUT = {tokenize.NL, tokenize.NEWLINE, tokenize.ENDMARKER, tokenize.INDENT, tokenize.DEDENT}
 _UNPARSABLE = (SyntaxError, ValueError, RecursionError, MemoryError)
 
+_FUNCTIONS = {ast.FunctionDef, ast.AsyncFunctionDef}
+_SCOPES = _FUNCTIONS | {ast.ClassDef}
+_NESTING = {ast.If, ast.For, ast.While, ast.With, ast.Try, ast.ExceptHandler}
+_KEPT = _NESTING | _SCOPES | {ast.Return, ast.Import, ast.ImportFrom, ast.Pass}
+
+# Nodes below which nothing is counted.
+_LEAVES = {ast.Name, ast.Constant, ast.Load, ast.Store, ast.Del, ast.alias, ast.arg}
+
 
 def _parse(code):
     try:
@@ -55,48 +57,59 @@ def _parse(code):
         return None
 
 
-def _decisions(node):
-    """Decision points that one node adds to its block."""
-    if isinstance(node, (ast.If, ast.IfExp, ast.Assert)):
-        return 1
-    if isinstance(node, (ast.For, ast.AsyncFor, ast.While)):
-        return 1 + bool(node.orelse)
-    if isinstance(node, ast.Try):
-        return len(node.handlers) + bool(node.orelse)
-    if isinstance(node, ast.BoolOp):
-        return len(node.values) - 1
-    if isinstance(node, ast.comprehension):
-        return 1 + len(node.ifs)
-    if isinstance(node, ast.Match):
-        catch_all = any(
-            isinstance(case.pattern, ast.MatchAs) and case.pattern.pattern is None
-            for case in node.cases
-        )
-        return max(0, len(node.cases) - catch_all)
-    return 0
-
-
-def _mark(node):
-    """Placeholder or hard-coded-return mark of a node, else None."""
-    if isinstance(node, _FUNCTIONS):
-        steps = [step for step in node.body if not isinstance(step, ast.Expr)]
-        only = steps[0] if len(steps) == 1 else None
-        if isinstance(only, ast.Return) and isinstance(only.value, ast.Constant):
-            return "constant_body"
-    elif isinstance(node, ast.Expr):
-        if isinstance(node.value, ast.Constant):
-            if node.value.value is Ellipsis:
-                return "ellipsis"
-    elif isinstance(node, ast.Raise) and isinstance(node.exc, ast.Call):
-        if isinstance(node.exc.func, ast.Name) and node.exc.func.id == "NotImplementedError":
+def _match_points(node):
+    catch_all = any(
+        type(case.pattern) is ast.MatchAs and case.pattern.pattern is None for case in node.cases
+    )
+    return max(0, len(node.cases) - catch_all)
+
+
+# Decision points that one node adds to the function or class around it.
+_POINTS = {
+    ast.If: lambda node: 1,
+    ast.IfExp: lambda node: 1,
+    ast.Assert: lambda node: 1,
+    ast.For: lambda node: 1 + bool(node.orelse),
+    ast.AsyncFor: lambda node: 1 + bool(node.orelse),
+    ast.While: lambda node: 1 + bool(node.orelse),
+    ast.Try: lambda node: len(node.handlers) + bool(node.orelse),
+    ast.BoolOp: lambda node: len(node.values) - 1,
+    ast.comprehension: lambda node: 1 + len(node.ifs),
+    ast.Match: _match_points,
+}
+
+
+def _constant_body(node):
+    steps = [step for step in node.body if type(step) is not ast.Expr]
+    if len(steps) == 1 and type(steps[0]) is ast.Return and type(steps[0].value) is ast.Constant:
+        return "constant_body"
+
+
+def _ellipsis(node):
+    if type(node.value) is ast.Constant and node.value.value is Ellipsis:
+        return "ellipsis"
+
+
+def _not_implemented(node):
+    raised = node.exc
+    if type(raised) is ast.Call and type(raised.func) is ast.Name:
+        if raised.func.id == "NotImplementedError":
             return "not_implemented"
-    return None
+
+
+# Placeholder and hard-coded-return marks.
+_MARKS = {
+    ast.FunctionDef: _constant_body,
+    ast.AsyncFunctionDef: _constant_body,
+    ast.Expr: _ellipsis,
+    ast.Raise: _not_implemented,
+}
 
 
 def _imports(node):
-    if isinstance(node, ast.Import):
+    if type(node) is ast.Import:
         return [alias.name.split(".")[0] for alias in node.names]
-    if isinstance(node, ast.ImportFrom) and node.module:
+    if type(node) is ast.ImportFrom and node.module:
         return [node.module.split(".")[0]]
     return None
 
@@ -117,50 +130,59 @@ class _Block:
         return total // len(self.methods) + (len(self.methods) > 1)
 
 
-def _child_block(node, block):
-    """The block that the body of ``node`` belongs to; closures and inner classes have none."""
-    if isinstance(node, _FUNCTIONS) and (block == "module" or getattr(block, "is_class", False)):
-        child = _Block(is_class=False)
-        if block != "module":
-            block.methods.append(child)
-        return child
-    if isinstance(node, ast.ClassDef) and block == "module":
-        return _Block(is_class=True)
+_MODULE = _Block(is_class=False)
+
+
+def _open_block(kind, outer):
+    """The block of a function or class; closures and inner classes have none."""
+    if kind is ast.ClassDef:
+        return _Block(is_class=True) if outer is _MODULE else None
+    if outer is _MODULE:
+        return _Block(is_class=False)
+    if outer is not None and outer.is_class:
+        method = _Block(is_class=False)
+        outer.methods.append(method)
+        return method
     return None
 
 
 def _nodes(tree):
     """Walk with an explicit stack, so deep programs cannot exhaust Python's own."""
     found, blocks = [], []
-    stack = [(tree, 0, "module")]
+    stack = [(tree, 0, _MODULE)]
     while stack:
         node, depth, block = stack.pop()
-        if isinstance(node, _NESTING):
+        kind = type(node)
+        if kind in _NESTING:
             depth += 1
-        if isinstance(block, _Block):
-            block.points += _decisions(node)
-
-        mark = _mark(node)
-        opens_block = isinstance(node, _FUNCTIONS + (ast.ClassDef,))
-        inner = _child_block(node, block) if opens_block else block
-        if mark or isinstance(node, _KEPT):
+        if block is not None and kind in _POINTS:
+            block.points += _POINTS[kind](node)
+        mark = _MARKS[kind](node) if kind in _MARKS else None
+
+        # Decorators, defaults and base classes belong to no block, neither does an assert's inside.
+        inner, body = block, None
+        if kind in _SCOPES:
+            inner, body = _open_block(kind, block), node.body
+        elif kind is ast.Assert:
+            inner = None
+        if mark or kind in _KEPT:
             entry = {
-                "kind": type(node).__name__,
-                "depth": depth,
-                "complexity": None,
-                "mark": mark,
+                "kind": kind.__name__, "depth": depth, "complexity": None, "mark": mark,
                 "libs": _imports(node),
             }
             found.append(entry)
-            if opens_block and inner is not None:
+            if body is not None and inner is not None:
                 blocks.append((entry, inner))
 
-        body = set(map(id, node.body)) if opens_block else ()
-        for child in ast.iter_child_nodes(node):
-            if opens_block and id(child) not in body or isinstance(node, ast.Assert):
-                stack.append((child, depth, None))
-            else:
-                stack.append((child, depth, inner))
+        for name in node._fields:
+            value = getattr(node, name, None)
+            if type(value) is list:
+                owner = inner if body is None or value is body else None
+                for child in value:
+                    if type(child) not in _LEAVES and isinstance(child, ast.AST):
+                        stack.append((child, depth, owner))
+            elif type(value) not in _LEAVES and isinstance(value, ast.AST):
+                stack.append((value, depth, inner if body is None else None))
     for entry, block in blocks:
         entry["complexity"] = block.complexity()
     return found
@@ -183,7 +205,7 @@ def _source_lines(code, tree):
                 if kinds and kinds not in ([tokenize.COMMENT], [tokenize.STRING]):
                     count += sum(map(bool, lines[first:token.start[0]]))
                 first, kinds = token.start[0], []
-            elif token.type not in (tokenize.NL, tokenize.ENDMARKER, tokenize.INDENT, tokenize.DEDENT):
+            elif token.type not in _LAYOUT:
                 kinds.append(token.type)
                 if token.type == tokenize.OP:
                     depth += (token.string in "([{") - (token.string in ")]}")
@@ -206,6 +228,6 @@ def describe(code):
     }
 
 
-@arrow_udf(PARSE_DDL)
+@arrow_udf(from_arrow_type(_PARSE_TYPE))
 def parse_code(codes: pa.Array) -> pa.Array:
     return pa.array([describe(code) for code in codes.to_pylist()], type=_PARSE_TYPE)

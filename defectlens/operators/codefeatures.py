@@ -11,7 +11,7 @@ from ..functions.text import (
     is_very_short, length_ratio, lib_coverage, marker_hits, missing_libs, nonblank_lines,
     parse_libs, text_or_empty,
 )
-from ..session import materialise
+from ..session import materialise, spread
 from .relational import available
 
 PARSED = "_parsed"
@@ -23,7 +23,7 @@ KEY_COLUMNS = (
 
 def with_nodes(df: DataFrame, code: str) -> DataFrame:
     """Parse each program once; null text counts as an empty program."""
-    return df.withColumn(PARSED, parse_code(text_or_empty(F.col(code))))
+    return spread(df).withColumn(PARSED, parse_code(text_or_empty(F.col(code))))
 
 
 def _nodes() -> Column:

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import line_count
 from .ordering import exact_quantiles
 
-PASS_RATE = F.avg("label")
-
 
 def overview(df: DataFrame) -> DataFrame:
     return df.agg(

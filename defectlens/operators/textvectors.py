@@ -24,9 +24,8 @@ CHAR_SIZES = (2, 4)
 _BROADCAST_TERMS = 100_000
 
 
-def word_terms(text: Column) -> Column:
-    """Identifier tokens of the lower-cased text and their adjacent pairs."""
-    tokens = identifiers(F.lower(text_or_empty(text)))
+def with_pairs(tokens: Column) -> Column:
+    """``tokens`` and their adjacent pairs."""
     following = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
     pairs = F.zip_with(
         F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), following,
@@ -41,14 +40,23 @@ def padded_words(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
 
-def char_terms(word: Column, sizes: tuple[int, int] = CHAR_SIZES) -> Column:
-    """All substrings of one padded word with a length in ``sizes``."""
-    def of_size(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(word) - (n - 1), F.lit(1)))
-        cut = F.transform(starts, lambda i: F.substring(word, i, F.lit(n)))
-        return F.when(F.length(word) >= n, cut).otherwise(F.array().cast("array<string>"))
+def cut_words(words: DataFrame, *keep: str) -> DataFrame:
+    """(keep, term): all substrings of the padded words in ``unit`` with 2 to 4 characters.
 
-    return F.concat(*[of_size(n) for n in range(sizes[0], sizes[1] + 1)])
+    One row per start position, then one per length: both steps are compiled generators,
+    which array lambdas are not.
+    """
+    shortest, longest = CHAR_SIZES
+    word, length = F.col("unit"), F.length("unit")
+    starts = words.select(
+        *keep, "unit", F.explode(F.sequence(F.lit(1), length - (shortest - 1))).alias("_at")
+    )
+    at = F.col("_at")
+    cuts = [
+        F.when(at + n - 1 <= length, F.substring(word, at, F.lit(n)))
+        for n in range(shortest, longest + 1)
+    ]
+    return starts.select(*keep, F.explode(F.array(*cuts)).alias("term")).where(F.col("term").isNotNull())
 
 
 def word_units(df: DataFrame, ident: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
@@ -58,8 +66,10 @@ def word_units(df: DataFrame, ident: str, text: str, carry: Sequence[str] = ())
     names columns of the document to keep, so that later filters need no join.
     """
     placed = df.select(ident, *carry, text).repartition(ident)
+    # A projection of its own: the token search would run again at every mention.
+    found = placed.select(ident, *carry, identifiers(F.lower(text_or_empty(F.col(text)))).alias("_t"))
     return (
-        placed.select(ident, *carry, F.explode(word_terms(F.col(text))).alias("unit"))
+        found.select(ident, *carry, F.explode(with_pairs(F.col("_t"))).alias("unit"))
         .groupBy(ident, *carry, "unit")
         .agg(F.count("*").alias("n"))
     )
@@ -82,7 +92,7 @@ UNITS = {"word": word_units, "char": char_units}
 def _terms(units: DataFrame, kind: str, *keep: str) -> DataFrame:
     if kind == "word":
         return units.select(*keep, F.col("unit").alias("term"), "n")
-    return units.select(*keep, F.explode(char_terms(F.col("unit"))).alias("term"), "n")
+    return cut_words(units, *keep, "n")
 
 
 def term_counts(units: DataFrame, ident: str, kind: str) -> DataFrame:

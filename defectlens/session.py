@@ -56,3 +56,15 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{scratch_folder(df.sparkSession).rstrip('/')}/defectlens-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, bytes_per_task: int = 4 << 20) -> DataFrame:
+    """Give a small table enough partitions for work that is costly per byte.
+
+    A table in few files is read by few tasks. If its estimated size is below
+    ``bytes_per_task`` for every core it is dealt out again; a large table is left as
+    scanned, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if estimate < cores * bytes_per_task else df
