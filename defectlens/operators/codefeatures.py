@@ -116,10 +116,9 @@ def relative_length(
     A row without a key has no median and gets null.
     """
     keys = list(keys)
-    medians = df.groupBy(*keys).agg(F.median(loc).alias("_median"))
+    medians = df.groupBy(*keys).agg(F.greatest(F.median(loc), F.lit(1.0)).alias("_median"))
     return df.join(medians, keys, "left").select(
-        *[df[c] for c in df.columns],
-        F.round(F.col(loc) / F.greatest(F.col("_median"), F.lit(1.0)), 4).alias("smell_relative_length"),
+        *df.columns, F.round(F.col(loc) / F.col("_median"), 4).alias("smell_relative_length")
     )
 
 

@@ -118,13 +118,18 @@ def _bounded(table: DataFrame, rows: int) -> DataFrame:
 
 
 def vocabulary_counts(
-    units: DataFrame, ident: str, kind: str, vocab: DataFrame, max_features: int = MAX_FEATURES
+    units: DataFrame, ident: str, kind: str, fitted: DataFrame, max_features: int = MAX_FEATURES
 ) -> DataFrame:
-    """(id, term, idx, tf) for vocabulary terms only."""
-    known = _bounded(vocab.select("term", "idx"), max_features)
-    return (
-        _terms(units, kind, ident).join(known, "term")
-        .groupBy(ident, "term", "idx").agg(F.sum("n").alias("tf"))
+    """(id, idx, tf and the columns of ``fitted`` but its term), vocabulary terms only.
+
+    Units move once, by document. Their terms, several times as many, are cut, looked up
+    and counted where the units are, without another exchange.
+    """
+    known = _bounded(fitted, max_features)
+    extra = [c for c in fitted.columns if c not in ("term", "idx")]
+    found = _terms(units.repartition(ident), kind, ident).join(known, "term")
+    return found.groupBy(ident, "idx").agg(
+        F.sum("n").alias("tf"), *[F.first(c).alias(c) for c in extra]
     )
 
 
@@ -146,29 +151,33 @@ def fit_tfidf(
         counted = top.select("term", (F.row_number().over(by_term) - 1).alias("idx"), "df")
     else:
         vocab = vocabulary(units, kind, max_features)
-        counts = vocabulary_counts(units, ident, kind, vocab, max_features)
-        counted = counts.groupBy("term", "idx").agg(F.count("*").alias("df"))
+        counts = vocabulary_counts(units, ident, kind, vocab.select("term", "idx"), max_features)
+        counted = _bounded(vocab.select("term", "idx"), max_features).join(
+            counts.groupBy("idx").agg(F.count("*").alias("df")), "idx"
+        ).select("term", "idx", "df")
     return counted.withColumn("idf", inverse_frequency(n_documents, F.col("df")))
 
 
 def tfidf_weights(
     units: DataFrame, ident: str, kind: str, fitted: DataFrame, max_features: int = MAX_FEATURES
 ) -> DataFrame:
-    """(id, term, idx, weight): (1 + ln tf) * idf, scaled to unit length per document."""
-    known = _bounded(fitted.select("term", "idx", "idf"), max_features)
-    counts = (
-        _terms(units, kind, ident).join(known, "term")
-        .groupBy(ident, "term", "idx", "idf").agg(F.sum("n").alias("tf"))
-    )
-    raw = counts.select(ident, "term", "idx", ((1 + F.log("tf")) * F.col("idf")).alias("_w"))
-    # At most max_features rows per document.
+    """(id, idx, weight): (1 + ln tf) * idf, scaled to unit length per document."""
+    lookup = fitted.select("term", "idx", "idf")
+    counts = vocabulary_counts(units, ident, kind, lookup, max_features)
+    raw = counts.select(ident, "idx", ((1 + F.log("tf")) * F.col("idf")).alias("_w"))
+    # At most max_features rows per document, placed by document already.
     whole = Window.partitionBy(ident)
     return raw.select(
-        ident, "term", "idx",
+        ident, "idx",
         (F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(whole))).alias("weight"),
     )
 
 
+def with_term(weights: DataFrame, fitted: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+    """Weights with the term of each position."""
+    return weights.join(_bounded(fitted.select("idx", "term"), max_features), "idx")
+
+
 def assemble(
     static: DataFrame, features: list[str], blocks: list[DataFrame], widths: list[int],
     ident: str = "sample_id", out: str = "features",

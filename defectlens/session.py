@@ -59,12 +59,13 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, bytes_per_task: int = 4 << 20) -> DataFrame:
-    """Give a small table enough partitions for work that is costly per byte.
+    """Give a small input enough partitions for work that is costly per byte.
 
-    A table in few files is read by few tasks. If its estimated size is below
-    ``bytes_per_task`` for every core it is dealt out again; a large table is left as
-    scanned, without a shuffle.
+    Few or small files, and small shuffles that adaptive execution merges, are processed
+    by few tasks. If the scanned tables are below ``bytes_per_task`` for every core the
+    rows are dealt out again; a large input is left as it is, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if estimate < cores * bytes_per_task else df
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    scanned = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.repartition(cores) if scanned < cores * bytes_per_task else df
