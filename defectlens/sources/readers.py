@@ -14,16 +14,19 @@ SAMPLE_MARK = "--bigcodebench"
 EVAL_SUFFIX = "--{split}_eval_results.json"
 SPLITS = ("complete", "instruct")
 
+# Program text comes back as written: quotes, blanks at the ends, empty against missing.
+CSV_OPTIONS = {
+    "header": True, "quote": '"', "escape": '"', "nullValue": "\\N",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
-    """Parquet by default. CSV keeps line breaks and doubled quotes inside program text,
-    and empty text stays empty instead of turning into null."""
+    """Parquet by default: CSV with line breaks inside texts cannot be split by file offset,
+    so a CSV file is read by one task."""
     reader = spark.read.schema(schema) if schema else spark.read
     if fmt == "csv":
-        return reader.options(
-            header=True, multiLine=True, quote='"', escape='"', enforceSchema=False,
-            nullValue="\\N", emptyValue="",
-        ).csv(path)
+        return reader.options(**CSV_OPTIONS, multiLine=True, enforceSchema=False).csv(path)
     return reader.format(fmt).load(path)
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+from .readers import CSV_OPTIONS
+
 
 def write_table(
     df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), mode: str = "errorifexists"
@@ -17,7 +19,7 @@ def write_table(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer.options(header=True, quote='"', escape='"', nullValue="\\N", emptyValue="").csv(path)
+        writer.options(**CSV_OPTIONS).csv(path)
     else:
         writer.format(fmt).save(path)
 

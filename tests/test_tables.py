@@ -65,7 +65,7 @@ def test_skipped_models(spark, raw_files):
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])
 def test_samples_survive_a_round_trip(spark, tmp_path, fmt):
     rows = [
-        ("t1", "m", "complete", 'a = "x, y"\n\n# done\n', 1, "c", "p", "[]", "f"),
+        ("t1", "m", "complete", '  a = "x, y"\r\n\n# done \n', 1, "c", "p", "[]", "f"),
         ("t2", "m", "complete", "", 0, None, "", "NA", "f"),
     ]
     df = spark.createDataFrame(rows, schema.SAMPLES)
