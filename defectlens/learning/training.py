@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -53,11 +54,19 @@ def score(model, df: DataFrame, out: str = "score") -> DataFrame:
     )
 
 
+def fit_all(estimators: Sequence, train: DataFrame, parallelism: int = 4) -> list:
+    """Fitted candidates, a few at a time."""
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(lambda estimator: estimator.fit(train), estimators))
+
+
 def pick_best(models: Sequence, candidates: Sequence, val: DataFrame) -> Search:
     """The candidate with the best validation AUC, the first one on ties.
 
-    All candidates are scored and measured in one job.
+    All candidates are scored and measured in one job; a single one needs no measuring.
     """
+    if len(models) == 1:
+        return Search(models[0], candidates[0], [(candidates[0], None)])
     scored = union_all(*[
         score(model, val).select("label", "score", F.lit(i).alias("candidate"))
         for i, model in enumerate(models)
@@ -86,7 +95,7 @@ def search_logistic(
     grid = list(grid)
     weighted = with_balanced_weight(train)
     n_rows = train.count()
-    models = [logistic(c, n_rows, iterations, standardise).fit(weighted) for c in grid]
+    models = fit_all([logistic(c, n_rows, iterations, standardise) for c in grid], weighted)
     return pick_best(models, grid, val)
 
 
@@ -109,7 +118,7 @@ def search_boosted(
         with_positive_weight(train).withColumn("is_val", F.lit(False)),
         val.withColumn("weight", F.lit(1.0)).withColumn("is_val", F.lit(True)),
     )
-    models = [boosted(p, seed).setValidationIndicatorCol("is_val").fit(marked) for p in grid]
+    models = fit_all([boosted(p, seed).setValidationIndicatorCol("is_val") for p in grid], marked)
     return pick_best(models, grid, val)
 
 

@@ -184,16 +184,6 @@ def assemble(
 ) -> DataFrame:
     """One sparse vector per row: static features first, then each block shifted behind
     the ones before it. Rows without any block term keep their static part."""
-    start, shifted = len(features), []
-    for block, width in zip(blocks, widths):
-        shifted.append(block.select(ident, (F.col("idx") + start).alias("i"), F.col("weight").alias("w")))
-        start += width
-    tall = shifted[0]
-    for more in shifted[1:]:
-        tall = tall.unionByName(more)
-    # Bounded by the vocabulary sizes, never by the text length.
-    entries = tall.groupBy(ident).agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("_e"))
-    joined = static.join(entries, ident, "left")
     fixed = F.filter(
         F.array(*[
             F.struct(F.lit(i).alias("i"), F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias("w"))
@@ -201,13 +191,18 @@ def assemble(
         ]),
         lambda e: e["w"] != 0,
     )
+    start, joined, parts = len(features), static, [fixed]
     none = F.array().cast("array<struct<i:int,w:double>>")
-    both = F.concat(fixed, F.coalesce(F.col("_e"), none))
-    return joined.withColumn(
-        out,
-        sparse_vector(
-            F.lit(len(features) + sum(widths)),
-            F.transform(both, lambda e: e["i"].cast("int")),
-            F.transform(both, lambda e: e["w"]),
-        ),
-    ).drop("_e")
+    for number, (block, width) in enumerate(zip(blocks, widths)):
+        # Bounded by the vocabulary, never by the text length; weights lie by document
+        # already, so neither this grouping nor the join moves them again.
+        entry = F.struct((F.col("idx") + start).cast("int").alias("i"), F.col("weight").alias("w"))
+        entries = block.groupBy(ident).agg(F.sort_array(F.collect_list(entry)).alias(f"_e{number}"))
+        joined = joined.join(entries, ident, "left")
+        parts.append(F.coalesce(F.col(f"_e{number}"), none))
+        start += width
+    whole = joined.withColumn("_all", F.concat(*parts))
+    return whole.select(
+        *static.columns,
+        sparse_vector(F.lit(start), F.col("_all.i"), F.col("_all.w")).alias(out),
+    )

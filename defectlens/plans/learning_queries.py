@@ -128,16 +128,10 @@ def _text_tables(spark, sf_dir):
     return holdout.TextTables.build(features.join(split.select("sample_id", "solution"), "sample_id"))
 
 
-def _text_model(tables, **options):
-    return holdout.TextModel(tables.fold("train"), tables.fold("val"), FEATURE_COLUMNS, **options)
-
-
 @query("lr_tfidf")
 def lr_tfidf(spark, sf_dir):
-    tables = _text_tables(spark, sf_dir)
-    model = _text_model(tables, grid=(0.1, 1.0), iterations=50)
-    scored = materialise(model.score(tables).select("label", "fold", "score"))
-    return evaluation.binary_metrics(scored, keys=["fold"]).select(
+    model = holdout.TextModel(_text_tables(spark, sf_dir), FEATURE_COLUMNS, grid=(0.1, 1.0), iterations=50)
+    return evaluation.binary_metrics(model.scored(), keys=["fold"]).select(
         F.lit("logistic regression, static + TF-IDF").alias("model"), "fold",
         *[F.round(m, 4).alias(m) for m in ("auc", "f1", "accuracy")],
     )
@@ -145,7 +139,7 @@ def lr_tfidf(spark, sf_dir):
 
 @query("top_coefficients")
 def top_coefficients(spark, sf_dir):
-    model = _text_model(_text_tables(spark, sf_dir), grid=(1.0,), iterations=50)
+    model = holdout.TextModel(_text_tables(spark, sf_dir), FEATURE_COLUMNS, grid=(1.0,), iterations=50)
     weights = model.search.model.coefficients.toArray()
     ranked = explain.coefficient_table(spark, model.names(), weights, FEATURE_COLUMNS)
     return explain.top_coefficients(ranked).select("name", F.round("coefficient", 6).alias("coefficient"), "side")
@@ -154,11 +148,9 @@ def top_coefficients(spark, sf_dir):
 @query("gbt_tfidf")
 def gbt_tfidf(spark, sf_dir):
     """Boosted trees on the 200 best of the static and text columns."""
-    tables = _text_tables(spark, sf_dir)
-    model = _text_model(tables, grid=(1.0,), iterations=5)
-    vectors = materialise(model.vectors(tables).select("sample_id", "label", "fold", "features"))
-    selector = training.select_columns(vectors.where(F.col("fold") == "train"), 200)
-    narrow = selector.transform(vectors).select("label", "fold", F.col("selected").alias("features"))
+    model = holdout.TextModel(_text_tables(spark, sf_dir), FEATURE_COLUMNS, grid=(1.0,), iterations=5)
+    selector = training.select_columns(model.vectors.where(F.col("fold") == "train"), 200)
+    narrow = selector.transform(model.vectors).select("label", "fold", F.col("selected").alias("features"))
     folds = _by_fold(materialise(narrow))
     search = training.search_boosted(folds["train"], folds["val"], SHORT_TEXT_TREES)
     return training.report(search.model, folds, "boosted trees, static + TF-IDF")
@@ -181,6 +173,6 @@ def family_drop(spark, sf_dir):
     tables = _text_tables(spark, sf_dir)
     families = materialise(text_families(tables.static))
     held_out = holdout.leave_families_out(tables, families, FEATURE_COLUMNS, **HOLDOUT)
-    model = _text_model(tables, **HOLDOUT)
-    test = materialise(model.score(tables.fold("test")).select("model_name", "label", "score"))
-    return evaluation.family_drop(evaluation.family_metrics(test, families), held_out, families)
+    scored = holdout.TextModel(tables, FEATURE_COLUMNS, **HOLDOUT).scored()
+    in_family = evaluation.family_metrics(scored.where(F.col("fold") == "test"), families)
+    return evaluation.family_drop(in_family, held_out, families)

@@ -151,5 +151,6 @@ def test_held_out_family_never_reaches_training(spark):
     assert result[0]["ood_auc"] == 1.0
 
     others = tables.subset(lambda df: df.where("model_name <> 'm1'"))
-    model = holdout.TextModel(others.fold("train"), others.fold("val"), ["loc"], grid=(1.0,), iterations=10)
+    model = holdout.TextModel(others, ["loc"], grid=(1.0,), iterations=10)
     assert model.names().where("name like '%secret%'").count() == 0
+    assert model.scored().count() == 80
