@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.evaluation import auc, binary_metrics
 from ..operators.relational import union_all
+from ..session import compact
 from .preparation import with_balanced_weight, with_positive_weight
 
 # The parameter grids of the searches.
@@ -56,6 +57,7 @@ def score(model, df: DataFrame, out: str = "score") -> DataFrame:
 
 def fit_all(estimators: Sequence, train: DataFrame, parallelism: int = 4) -> list:
     """Fitted candidates, a few at a time."""
+    train = compact(train)
     with ThreadPoolExecutor(parallelism) as pool:
         return list(pool.map(lambda estimator: estimator.fit(train), estimators))
 
@@ -136,7 +138,7 @@ def fit_forest(train: DataFrame, trees: int = FOREST_TREES, seed: int = 42):
     return RandomForestClassifier(
         featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees,
         minInstancesPerNode=FOREST_LEAF, seed=seed,
-    ).fit(with_balanced_weight(train))
+    ).fit(compact(with_balanced_weight(train)))
 
 
 def _impute_stages(columns: Sequence[str], scale: bool) -> list:
@@ -167,7 +169,7 @@ def crossval_logistic(
         estimatorParamMaps=[{learner.regParam: 1.0 / (c * n_rows)} for c in grid],
         evaluator=BinaryClassificationEvaluator(labelCol="label", numBins=0),
         numFolds=folds, foldCol=fold_col, parallelism=parallelism,
-    ).fit(weighted)
+    ).fit(compact(weighted))
     best = int(np.argmax(search.avgMetrics))
     return Search(search.bestModel, grid[best], list(zip(grid, search.avgMetrics)))
 
@@ -176,7 +178,7 @@ def refit_logistic(df: DataFrame, columns: Sequence[str], c: float, iterations:
     """The chosen setting fitted again, on train and validation together."""
     weighted = with_balanced_weight(df).withColumns({x: F.col(x).cast("double") for x in columns})
     learner = logistic(c, df.count(), iterations, standardise=False)
-    return Pipeline(stages=[*_impute_stages(columns, scale=True), learner]).fit(weighted)
+    return Pipeline(stages=[*_impute_stages(columns, scale=True), learner]).fit(compact(weighted))
 
 
 def random_tree_settings(draws: int = 20, seed: int = 42) -> list[dict]:
@@ -219,7 +221,7 @@ def crossval_boosted(
         estimatorParamMaps=maps,
         evaluator=BinaryClassificationEvaluator(labelCol="label", numBins=0),
         numFolds=folds, foldCol=fold_col, parallelism=parallelism,
-    ).fit(flat)
+    ).fit(compact(flat))
     best = int(np.argmax(search.avgMetrics))
     return Search(search.bestModel, settings[best], list(zip(settings, search.avgMetrics)))
 

@@ -106,22 +106,17 @@ def auc(
     return ranked.groupBy(*keys).agg(F.try_divide(wins, pairs).alias("auc"))
 
 
-def binary_metrics(
-    df: DataFrame, label: str = "label", score: str = "score", cutoff: Column | float = 0.5,
-    keys: Sequence[str] = (),
+def _metrics(
+    cells: DataFrame, tp: Column, fp: Column, keys: Sequence[str]
 ) -> DataFrame:
-    """AUC, F1 and accuracy per key. The score cells serve all three."""
-    keys = list(keys)
-    cut = cutoff if isinstance(cutoff, Column) else F.lit(float(cutoff))
-    cells = running_totals(score_cells(df, label, score, keys), "_score", ["pos", "neg"], keys)
-    hit = F.col("_score") >= cut
-    zero = F.lit(0).cast("long")
+    """AUC, F1 and accuracy from score cells with the hits and false alarms of each cell."""
+    ranked = running_totals(cells, "_score", ["pos", "neg"], keys)
     wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
-    sums = cells.groupBy(*keys).agg(
+    zero = F.lit(0).cast("long")
+    sums = ranked.groupBy(*keys).agg(
         wins.alias("wins"),
         F.sum("pos").alias("p"), F.sum("neg").alias("n"),
-        F.coalesce(F.sum(F.when(hit, F.col("pos"))), zero).alias("tp"),
-        F.coalesce(F.sum(F.when(hit, F.col("neg"))), zero).alias("fp"),
+        F.coalesce(F.sum(tp), zero).alias("tp"), F.coalesce(F.sum(fp), zero).alias("fp"),
     )
     p, n, tp, fp = map(F.col, ("p", "n", "tp", "fp"))
     return sums.select(
@@ -129,7 +124,37 @@ def binary_metrics(
         F.try_divide(F.col("wins"), p.cast("double") * n).alias("auc"),
         f1_of(tp, fp, p - tp).alias("f1"),
         _ratio(tp + n - fp, p + n).alias("accuracy"),
+        (p + n).alias("n_rows"),
+    )
+
+
+def binary_metrics(
+    df: DataFrame, label: str = "label", score: str = "score", cutoff: Column | float = 0.5,
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """AUC, F1 and accuracy per key, predicting pass where the score reaches the cutoff."""
+    cut = cutoff if isinstance(cutoff, Column) else F.lit(float(cutoff))
+    hit = F.col("_score") >= cut
+    cells = score_cells(df, label, score, keys)
+    measured = _metrics(cells, F.when(hit, F.col("pos")), F.when(hit, F.col("neg")), list(keys))
+    return measured.drop("n_rows")
+
+
+def report_metrics(
+    df: DataFrame, label: str = "label", pred: str = "pred", score: str = "score", keys: Sequence[str] = ()
+) -> DataFrame:
+    """AUC of the score, F1 and accuracy of a prediction made in any other way, row count.
+
+    One grouping of the rows serves all of them.
+    """
+    called = F.col(pred) == 1
+    cells = df.groupBy(*keys, F.col(score).cast("double").alias("_score")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"),
+        F.count_if(F.col(label) == 0).alias("neg"),
+        F.count_if((F.col(label) == 1) & called).alias("hits"),
+        F.count_if((F.col(label) == 0) & called).alias("alarms"),
     )
+    return _metrics(cells, F.col("hits"), F.col("alarms"), list(keys))
 
 
 def _pr_points(df: DataFrame, label: str, score: str, keys: Sequence[str]) -> DataFrame:

@@ -236,12 +236,28 @@ def entry_report(spark, sf_dir):
     """How well does length alone predict the label? Cutoff from train and validation,
     measured once on test."""
     train, val, test = _folds(spark, sf_dir)
-    judged = baselines.longer_than_cutoff(train, val, test, LOC).select("label", "pred", "score")
-    measured = _rounded(evaluation.f1_accuracy(judged), "f1", "accuracy")
-    return measured.select(
-        _rounded(evaluation.auc(judged), "auc").scalar().alias("auc"), "f1", "accuracy",
-        judged.agg(F.count("*")).scalar().alias("n_rows"),
-    )
+    judged = baselines.longer_than_cutoff(train, val, test, LOC)
+    return _rounded(evaluation.report_metrics(judged), "auc", "f1", "accuracy")
+
+
+@query("baseline_comparison", f"""{BASE}, judged AS (
+  SELECT 'always fail' AS model, label, 0 AS pred, (SELECT 1 - avg(label) FROM train) AS score FROM test
+  UNION ALL
+  SELECT 'lines > median', label, ({LOC} > (SELECT median({LOC}) FROM train))::INTEGER, {LOC}::DOUBLE FROM test),
+a AS ({auc_sql('judged', by='model')}),
+f AS (SELECT model, coalesce({F1_SQL}, 0) AS f1, {ACC_SQL} AS accuracy, count(*) AS n_rows FROM judged GROUP BY model)
+SELECT f.model, round(a.auc, 6) AS auc, round(f.f1, 6) AS f1, round(f.accuracy, 6) AS accuracy, f.n_rows
+FROM f JOIN a ON f.model = a.model""")
+def baseline_comparison(spark, sf_dir):
+    """Two baselines side by side; tasks of test are never in train, so the overall median holds."""
+    train, _, test = _folds(spark, sf_dir)
+    judged = {
+        "always fail": baselines.always_fail(train, test),
+        "lines > median": baselines.longer_than_median(train, test, loc=LOC),
+    }
+    tall = [df.select(F.lit(m).alias("model"), "label", "pred", "score") for m, df in judged.items()]
+    measured = evaluation.report_metrics(tall[0].unionByName(tall[1]), keys=["model"])
+    return _rounded(measured, "auc", "f1", "accuracy").orderBy(F.desc("auc"), "model")
 
 
 # ---------------------------------------------------------------- bootstrap

@@ -58,6 +58,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _scanned_bytes(df: DataFrame) -> int:
+    """Estimated size of the tables a frame reads; nothing is run."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def spread(df: DataFrame, bytes_per_task: int = 4 << 20) -> DataFrame:
     """Give a small input enough partitions for work that is costly per byte.
 
@@ -66,6 +72,12 @@ def spread(df: DataFrame, bytes_per_task: int = 4 << 20) -> DataFrame:
     rows are dealt out again; a large input is left as it is, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    scanned = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.repartition(cores) if scanned < cores * bytes_per_task else df
+    return df.repartition(cores) if _scanned_bytes(df) < cores * bytes_per_task else df
+
+
+def compact(df: DataFrame, bytes_per_task: int = 8 << 20) -> DataFrame:
+    """Fewer, fuller partitions for iterative work, where every pass pays per task.
+
+    A merge of neighbours, no shuffle; an input of many full partitions is unchanged.
+    """
+    return df.coalesce(max(1, -(-_scanned_bytes(df) // bytes_per_task)))
