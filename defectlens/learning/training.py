@@ -16,7 +16,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.evaluation import auc, binary_metrics
-from ..operators.relational import union_all
+from ..operators.relational import label_at, union_all
 from ..session import compact
 from .preparation import with_balanced_weight, with_positive_weight
 
@@ -32,7 +32,7 @@ STATIC_TREES = [
 TFIDF_TREES = [
     {"rounds": n, "step": lr, "depth": 6, "columns": "0.3"} for n in (300, 500) for lr in (0.05, 0.1)
 ]
-PLAIN_TREES = {"rounds": 400, "step": 0.05, "depth": 6, "columns": "0.8"}
+PLAIN_TREES = {"rounds": 400, "step": 0.05, "depth": 6, "columns": "0.8", "leaf": 1}
 ROW_SHARE, LEAF_ROWS, STOP_AFTER = 0.8, 20, 50
 FOREST_TREES, FOREST_LEAF = 400, 2
 
@@ -62,6 +62,14 @@ def fit_all(estimators: Sequence, train: DataFrame, parallelism: int = 4) -> lis
         return list(pool.map(lambda estimator: estimator.fit(train), estimators))
 
 
+def with_predictions(df: DataFrame, models: dict[str, object], cutoff: float = 0.5) -> DataFrame:
+    """Add ``<name>_prob`` and ``<name>_pred`` per model: the predictions table."""
+    for name, model in models.items():
+        df = score(model, df, f"{name}_prob")
+        df = df.withColumn(f"{name}_pred", label_at(F.col(f"{name}_prob"), cutoff))
+    return df
+
+
 def pick_best(models: Sequence, candidates: Sequence, val: DataFrame) -> Search:
     """The candidate with the best validation AUC, the first one on ties.
 
@@ -124,6 +132,12 @@ def search_boosted(
     return pick_best(models, grid, val)
 
 
+def fit_boosted(train: DataFrame, params: dict | None = None, seed: int = 42):
+    """One fixed setting, unweighted."""
+    flat = train.withColumn("weight", F.lit(1.0))
+    return boosted(PLAIN_TREES if params is None else params, seed).fit(compact(flat))
+
+
 def select_columns(train: DataFrame, n_features: int, features: str = "features"):
     """Keep the ``n_features`` columns that separate the classes best, before tree growing."""
     selector = UnivariateFeatureSelector(

@@ -62,9 +62,9 @@ def max_normalise(df: DataFrame, col: str, out: str) -> DataFrame:
     return df.withColumn(out, F.col(col) / F.when(top != 0, top))
 
 
-def label_at(score: Column, cutoff) -> Column:
-    """1 where the score reaches the cutoff."""
-    return (score >= F.lit(cutoff) if not isinstance(cutoff, Column) else score >= cutoff).cast("int")
+def label_at(score: Column, cutoff: float | Column) -> Column:
+    """1 where the score reaches the cutoff, a number or a column."""
+    return (score >= cutoff).cast("int")
 
 
 def union_all(*frames: DataFrame) -> DataFrame:

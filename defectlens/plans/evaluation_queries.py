@@ -333,14 +333,15 @@ def linear_score(spark, sf_dir):
 _SHAP_SQL = {f: f"{w!r}::DOUBLE * ({f} - (SELECT avg({f}) FROM lineitem WHERE l_linestatus = 'F'))" for f, w in WEIGHTS.items()}
 
 
+# Adding 0.0 turns a rounded negative zero into zero.
 @query("linear_shap", f"""
-SELECT l_orderkey, l_linenumber, {', '.join(f'round({sql}, 6) AS shap_{f}' for f, sql in _SHAP_SQL.items())}
+SELECT l_orderkey, l_linenumber, {', '.join(f'round({sql}, 6) + 0.0::DOUBLE AS shap_{f}' for f, sql in _SHAP_SQL.items())}
 FROM lineitem""")
 def linear_shap(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     explained = explain.linear_shap(lines, lines.where(F.col("l_linestatus") == "F"), WEIGHTS)
     return explained.select(
-        "l_orderkey", "l_linenumber", *[F.round(f"shap_{f}", 6).alias(f"shap_{f}") for f in WEIGHTS]
+        "l_orderkey", "l_linenumber", *[(F.round(f"shap_{f}", 6) + 0.0).alias(f"shap_{f}") for f in WEIGHTS]
     )
 
 

@@ -61,13 +61,13 @@ def impute_median(spark, sf_dir):
 
 @query("standardise", """
 SELECT l_orderkey, l_linenumber,
-       round((l_extendedprice - (SELECT avg(l_extendedprice) FROM lineitem)) / (SELECT stddev_pop(l_extendedprice) FROM lineitem), 6) AS l_extendedprice,
-       round((l_tax - (SELECT avg(l_tax) FROM lineitem)) / (SELECT stddev_pop(l_tax) FROM lineitem), 6) AS l_tax
+       round((l_extendedprice - (SELECT avg(l_extendedprice) FROM lineitem)) / (SELECT stddev_pop(l_extendedprice) FROM lineitem), 6) + 0.0::DOUBLE AS l_extendedprice,
+       round((l_tax - (SELECT avg(l_tax) FROM lineitem)) / (SELECT stddev_pop(l_tax) FROM lineitem), 6) + 0.0::DOUBLE AS l_tax
 FROM lineitem""")
 def standardise(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_tax")
     scaled = preparation.standardise(lines, ["l_extendedprice", "l_tax"])
-    return scaled.withColumns({c: F.round(c, 6) for c in ("l_extendedprice", "l_tax")})
+    return scaled.withColumns({c: F.round(c, 6) + 0.0 for c in ("l_extendedprice", "l_tax")})
 
 
 @query("lr_static")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from defectlens.learning import holdout, preparation as P, training as M
 from defectlens.operators import explain
-from defectlens.operators.evaluation import auc
+from defectlens.operators.evaluation import auc, model_comparison
 from defectlens.operators.splits import stratified_group_folds
 from defectlens.operators.textvectors import UNITS, fit_tfidf
 from defectlens.sources import writers
@@ -87,6 +87,18 @@ def test_trees_and_importance(table):
     assert M.report(M.fit_forest(table, trees=5), {"train": table}, "forest").first()["auc"] > 0.7
 
 
+def test_predictions_table(spark, table, tmp_path):
+    models = {"logreg": M.search_logistic(table, table, [1.0]).model, "gbt": M.fit_boosted(table, {**M.PLAIN_TREES, "rounds": 2})}
+    predicted = M.with_predictions(table, models).drop("features")
+    assert predicted.columns[-4:] == ["logreg_prob", "logreg_pred", "gbt_prob", "gbt_pred"]
+    path = str(tmp_path / "predictions")
+    writers.write_table(predicted, path)
+    back = spark.read.parquet(path)
+    assert back.where("gbt_pred <> cast(gbt_prob >= 0.5 as int)").count() == 0
+    writers.write_metrics(model_comparison(back, ["logreg_prob", "gbt_prob"]), str(tmp_path / "metrics"))
+    assert {r["model"] for r in spark.read.json(str(tmp_path / "metrics")).collect()} == {"logreg_prob", "gbt_prob"}
+
+
 def test_crossval(table):
     folds = table.drop("features").join(stratified_group_folds(table, k=3), "task_id")
     search = M.crossval_logistic(folds, COLUMNS, grid=(0.1, 1.0), iterations=50)

@@ -160,7 +160,9 @@ def test_column_helpers(spark):
     assert relational.with_defaults(df, {"ast_for_count": 0, "gone": 1}).first()["ast_for_count"] == 0
 
 
-def test_fixed_tables():
+def test_fixed_tables(spark):
+    families = relational.family_table(spark, schema.MODEL_FAMILIES)
+    assert families.count() == families.select("model_name").distinct().count() == 41
     assert len(schema.FEATURE_COLUMNS) == 18
     assert len(schema.MODEL_ALIASES) == 20
     assert {f: len(m) for f, m in schema.MODEL_FAMILIES.items()} == {
