@@ -113,10 +113,13 @@ def relative_length(
 
     Line counts take few distinct values, and the median aggregate holds value counts
     combined before the shuffle, so even a task with a third of all rows stays small.
-    A row without a key has no median and gets null.
+    The medians are written first: with their size known, the planner need not shuffle
+    the rows by task. A row without a key has no median and gets null.
     """
     keys = list(keys)
-    medians = df.groupBy(*keys).agg(F.greatest(F.median(loc), F.lit(1.0)).alias("_median"))
+    medians = materialise(
+        df.groupBy(*keys).agg(F.greatest(F.median(loc), F.lit(1.0)).alias("_median"))
+    )
     return df.join(medians, keys, "left").select(
         *df.columns, F.round(F.col(loc) / F.col("_median"), 4).alias("smell_relative_length")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import normalise_name, text_or_empty
+from ..session import materialise
 
 TASK_TEXTS = ("complete_prompt", "instruct_prompt", "libs", "entry_point")
 
@@ -44,7 +45,9 @@ def match_labels(samples: DataFrame, evals: DataFrame, aliases: DataFrame) -> Da
     ``samples``: split, sample_model, task_id, solution.
     ``evals``: split, eval_model, task_id, status.
     """
-    pairs = model_pairs(samples, evals, aliases).where(F.col("eval_model").isNotNull())
+    # Written first, so that the planner sees how small the name table is: texts are then
+    # not shuffled by model, of which there are few and some with very many rows.
+    pairs = materialise(model_pairs(samples, evals, aliases).where(F.col("eval_model").isNotNull()))
     results = evals.where(F.col("status").isNotNull())
     return (
         samples.join(pairs, ["split", "sample_model"])

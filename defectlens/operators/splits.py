@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import materialise
 from .ordering import hash_rank
 
 FOLDS = ("train", "val", "test")
@@ -32,8 +33,14 @@ def assign_groups(
 
 
 def group_split(df: DataFrame, group: str = "task_id", **options) -> DataFrame:
-    """Rows with their ``fold``; rows without a group fall out."""
-    return df.join(assign_groups(df, group, **options), group)
+    """Rows with their ``fold``; rows without a group fall out.
+
+    The assignment is written first. Its size is then known when the join is planned:
+    up to the session's broadcast limit the rows, which carry whole texts, stay where
+    they are, and a group with a third of them does not matter. Beyond it both sides
+    are shuffled by group, with adaptive splitting of the hot ones.
+    """
+    return df.join(materialise(assign_groups(df, group, **options)), group)
 
 
 def split_summary(df: DataFrame, group: str = "task_id") -> DataFrame:
