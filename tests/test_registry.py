@@ -4,14 +4,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from defectlens.plans import oracles, registered
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-ORACLES = entry_point.oracle_sql()
+ORACLES = oracles()
 # Training queries run for half a minute each; test_learning covers their parts.
-QUICK = sorted(n for n in entry_point.queries() if n in ORACLES or n in ("code_nodes", "bootstrap_poisson"))
+QUICK = sorted(n for n in registered() if n in ORACLES or n in ("code_nodes", "bootstrap_poisson"))
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +34,7 @@ def rows(frame):
 
 @pytest.mark.parametrize("name", QUICK)
 def test_query(spark, duck, sf_dir, name):
-    got = entry_point.queries()[name](spark, sf_dir).toPandas()
+    got = registered()[name](spark, sf_dir).toPandas()
     if name not in ORACLES:
         assert len(got)
         return
@@ -49,4 +50,5 @@ def test_entry(spark):
 
 
 def test_no_oracle_without_a_query():
-    assert set(ORACLES) <= set(entry_point.queries())
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
+    assert set(registered()) <= set(entry_point.queries())
