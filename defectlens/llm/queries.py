@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import linededup, quality, sharding
+from . import bpe, linededup, pii, quality, sharding
 from .oracles import LINES_SQL, QUALITY_SQL, SHARDS_SQL
 from .tables import documents
 
@@ -15,6 +16,7 @@ _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
 SHARD_BYTES = 1 << 20
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -35,6 +37,23 @@ def oracles() -> dict[str, str]:
     return dict(_oracles)
 
 
+@_query("op1_bpe_codes")
+def bpe_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
+
+
+@_query("op4_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(documents(spark, sf_dir))
+    base = F.concat(*[pii.digest(F.col(f"{k}s"), k) for k in pii.BASE])
+    every = F.concat(*[pii.digest(F.col(f"{k}s"), k) for k in pii.PATTERNS])
+    return found.select(
+        "doc_id", *[F.size(f"{k}s").cast("long").alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(every, ",").alias("spans"))
+
+
 @_query("op7_quality_rules", QUALITY_SQL)
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select(

@@ -14,6 +14,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
+from .tables import ship
+
 CHUNK_BYTES = 4 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x2545F4914F6CDD1D | 1
@@ -153,3 +155,6 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     skip = np.cumsum(counts) - counts
     return np.arange(total) - np.repeat(skip - starts, counts)
+
+
+ship(__name__)
