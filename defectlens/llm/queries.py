@@ -7,9 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, linededup, pii, quality, sharding
+from . import bpe, langid, linededup, pii, quality, sharding
 from .oracles import LINES_SQL, QUALITY_SQL, SHARDS_SQL
-from .tables import documents
+from .tables import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -54,6 +54,14 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(every, ",").alias("spans"))
 
 
+@_query("op6_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    references = langid.learn(docs.where(fold(4) != 2))
+    return langid.identify(docs, references).select(
+        "doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 @_query("op7_quality_rules", QUALITY_SQL)
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select(
