@@ -7,9 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, linededup, pii, quality, sharding
+from . import bpe, decontamination, langid, linededup, neardup, pii, quality, sharding
 from .oracles import LINES_SQL, QUALITY_SQL, SHARDS_SQL
-from .tables import documents, fold
+from .tables import benchmark, documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -43,6 +43,16 @@ def bpe_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
 
 
+@_query("op2_benchmark_leaks")
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+@_query("op3_near_duplicates")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 @_query("op4_personal_data")
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(documents(spark, sf_dir))

@@ -14,9 +14,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def keyed_texts(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text and the named columns; any other columns, whatever their names, are left out."""
-    return docs.select("doc_id", "text", *more)
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 
 
 def fold(modulus: int):
@@ -30,4 +29,4 @@ def ship(*module_names: str) -> None:
         cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
-__all__ = ["documents", "keyed_texts", "fold", "materialise", "ship"]
+__all__ = ["benchmark", "documents", "fold", "materialise", "ship"]

@@ -35,6 +35,9 @@ def _byte_values() -> np.ndarray:
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: For looser matching: ASCII signs part words too.
+SIGNS = np.zeros(256, dtype=bool)
+SIGNS[[b for b in range(0x80) if not chr(b).isalnum()]] = True
 _PLAIN = _byte_values()
 _LOWER = _PLAIN.copy()
 _LOWER[ord("A"):ord("Z") + 1] = _PLAIN[ord("a"):ord("z") + 1]
@@ -97,12 +100,12 @@ def chunks(batch: pa.RecordBatch, text: str = "text", size: int = CHUNK_BYTES) -
         yield batch.slice(a, b - a)
 
 
-def find_words(texts: Texts) -> Words:
+def find_words(texts: Texts, breaks: np.ndarray = _SPACE) -> Words:
     data, offsets = texts
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(none, none, np.zeros(len(offsets), np.int64))
-    inside = ~_SPACE[data]
+    inside = ~breaks[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     before = np.empty(len(data), dtype=bool)
