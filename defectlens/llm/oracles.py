@@ -102,3 +102,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   max_symbol_rate, max_dup_line_rate, max_repeat_rate, max_mean_word
 FROM rates r JOIN wide w ON r.lang IS NOT DISTINCT FROM w.lang AND r.source IS NOT DISTINCT FROM w.source
 """
+
+PASSAGES_SQL = """
+WITH cut AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
+  FROM documents),
+spots AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS pos FROM cut),
+windows AS (
+  SELECT doc_id, pos, words[pos] AS word,
+    CASE WHEN pos + 49 <= len(words) THEN md5(array_to_string(words[pos : pos + 49], ' ')) END AS name
+  FROM spots),
+least AS (SELECT name, min(doc_id) AS least FROM windows WHERE name IS NOT NULL GROUP BY name),
+marked AS (SELECT w.doc_id, w.pos, w.word, l.least < w.doc_id AS copied FROM windows w LEFT JOIN least l USING (name)),
+covered AS (
+  SELECT doc_id, pos, word, coalesce(bool_or(copied) OVER (
+    PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone FROM marked),
+kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed,
+    coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '') AS kept
+  FROM covered GROUP BY doc_id)
+SELECT c.doc_id, len(c.words)::BIGINT AS n_words, coalesce(k.n_removed, 0) AS n_removed,
+  sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM cut c LEFT JOIN kept k USING (doc_id)
+"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontamination, langid, linededup, neardup, pii, quality, sharding
-from .oracles import LINES_SQL, QUALITY_SQL, SHARDS_SQL
+from . import bpe, decontamination, langid, linededup, neardup, pii, quality, sharding, substrings
+from .oracles import LINES_SQL, PASSAGES_SQL, QUALITY_SQL, SHARDS_SQL
 from .tables import benchmark, documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,15 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(every, ",").alias("spans"))
 
 
+@_query("op5_repeated_passages", PASSAGES_SQL)
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = F.when(F.col("kept_text") == "", 0).otherwise(
+        F.length("kept_text") - F.length(F.translate("kept_text", " ", "")) + 1)
+    return substrings.dedup_passages(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", (F.col("n_words") - left).alias("n_removed"),
+        F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @_query("op6_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
