@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontamination, langid, linededup, neardup, pii, quality, sharding, substrings
+from . import bpe, decontamination, langid, linededup, lm, neardup, pii, quality, sharding, substrings
 from .oracles import LINES_SQL, PASSAGES_SQL, QUALITY_SQL, SHARDS_SQL
 from .tables import benchmark, documents, fold
 
@@ -88,6 +88,15 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", *[F.col(f"max_{r}").cast("long").alias(f"max_{r}") for r in quality.SLACK])
 
 
+@_query("op8_lm_scores")
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = lm.score_documents(docs.select("doc_id", "text", (fold(5) != 1).alias("learn")))
+    return scored.select(
+        "doc_id", F.coalesce(fold(5) == 1, F.lit(True)).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score")
+
+
 @_query("op9_line_dedup", LINES_SQL)
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(documents(spark, sf_dir)).select(
