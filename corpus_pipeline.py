@@ -1,6 +1,16 @@
 """The cleaning pipeline over ``documents``: each stage's table is the next one's input.
 
-The stages are added in :data:`STAGES`, in order; each takes (spark, docs, sf_dir).
+Stages, in order, each with the operator it calls and what it does to the documents:
+
+- language id: a document without a letter, or whose best language needs more than ``MAX_BITS`` bits
+  per symbol, goes; the others stay as they are.
+- line dedup: repeated line runs are cut out of the texts; every document stays.
+- near-duplicates: of each group the document of smallest id stays. A document without id takes no
+  part and stays.
+- decontamination: documents that hold a passage of a test item go.
+- byte-pair codes: doc_id, the token ids and their number, and the digest of the decoded text.
+
+All but the last return the columns they got. An empty table passes through all of them.
 """
 
 from __future__ import annotations
@@ -8,30 +18,64 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from defectlens.llm import linededup
-from defectlens.llm.tables import documents
-from defectlens.session import scratch_folder
+from defectlens.llm import bpe, decontamination, langid, linededup, neardup
+from defectlens.llm.tables import benchmark, documents
+from defectlens.session import materialise, scratch_folder
+
+#: Phrases of less than two symbols, for references of some 14 bits: no learned language.
+MAX_BITS = 8.0
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is not among ``ids``, in the columns they have."""
+    mark = f"gone_{uuid.uuid4().hex}"
+    gone = ids.select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[mark], "left_anti")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = langid.identify(docs, langid.learn(docs))
+    rejected = materialise(found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("bits") > MAX_BITS)))
+    return _without(docs, rejected)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that repeat earlier ones; every document stays."""
     result = linededup.dedup_lines(docs)
     return result.select([
         F.col("kept_text").alias(c) if c == "text"
         else F.length("kept_text").cast("long").alias(c) if c == "n_chars"
-        else F.col(f"doc.{c}") for c in docs.columns
+        else F.col(f"doc.`{c}`").alias(c) for c in docs.columns
     ])
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = materialise(neardup.near_duplicates(docs))
+    return _without(docs, groups.where(~F.col("kept")))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, materialise(decontamination.find_leaks(docs, benchmark(spark, sf_dir)).select("doc_id")))
+
+
+def bpe_codes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY))
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language id", language_id),
     ("line dedup", repeated_lines),
+    ("near-duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("byte-pair codes", bpe_codes),
 ]
 
-#: Language ID, line runs over the survivors, near-duplicates and byte-pair codes are not SQL.
+#: Cross-parsing, alignment and byte-pair codes are not SQL; a brute-force version stands in the tests.
 ORACLE_SQL: str | None = None
 
 
@@ -41,6 +85,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{i}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        result = stage(spark, docs, sf_dir)
+        result.write.parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
     return docs
