@@ -1,8 +1,8 @@
 """Program text -> array of the syntax nodes that features read.
 
 The only step that leaves the JVM. It works row by row inside an Arrow batch, needs
-no shuffle, and hands back compact structs; every feature is then a native array
-expression over them.
+no shuffle, and hands back what stands where; marks, decisions, libraries and every
+feature are then native array expressions over that.
 """
 
 from __future__ import annotations
@@ -22,12 +22,17 @@ from .shipping import ship_by_value
 
 ship_by_value(__name__)
 
+#: What is told of a node; nothing is counted or judged here.
 _NODE_TYPE = pa.struct([
-    ("kind", pa.string()),
-    ("depth", pa.int32()),
-    ("complexity", pa.int32()),
-    ("mark", pa.string()),
-    ("libs", pa.list_(pa.string())),
+    ("kind", pa.string()),  # class of the syntax node
+    ("parent", pa.int32()),  # place of the told node around it, -1 for the module
+    ("role", pa.string()),  # the field of its own parent that holds it
+    ("scope", pa.int32()),  # place of the definition whose body holds it, -1 module, -2 neither
+    ("depth", pa.int32()),  # compound statements around it, itself included
+    ("sizes", pa.list_(pa.int32())),  # lengths of its list fields, in the grammar's order
+    ("head", pa.string()),  # class of the expression or pattern it is about
+    ("name", pa.string()),  # name called by that expression, or type of that constant
+    ("modules", pa.list_(pa.string())),  # dotted names that it imports from
 ])
 _PARSE_TYPE = pa.struct([
     ("nodes", pa.list_(_NODE_TYPE)),
@@ -39,13 +44,13 @@ _COMMENT_OR_STRING = re.compile(r"#|[bru]{0,2}['\"]", re.IGNORECASE)
 _LAYOUT = {tokenize.NL, tokenize.NEWLINE, tokenize.ENDMARKER, tokenize.INDENT, tokenize.DEDENT}
 _UNPARSABLE = (SyntaxError, ValueError, RecursionError, MemoryError)
 
-_FUNCTIONS = {ast.FunctionDef, ast.AsyncFunctionDef}
-_SCOPES = _FUNCTIONS | {ast.ClassDef}
-_NESTING = {ast.If, ast.For, ast.While, ast.With, ast.Try, ast.ExceptHandler}
-_KEPT = _NESTING | _SCOPES | {ast.Return, ast.Import, ast.ImportFrom, ast.Pass}
-
-# Nodes below which nothing is counted.
-_LEAVES = {ast.Name, ast.Constant, ast.Load, ast.Store, ast.Del, ast.alias, ast.arg}
+_DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+_NESTING = (ast.If, ast.For, ast.While, ast.With, ast.Try, ast.ExceptHandler)
+_TOLD = (ast.stmt, ast.ExceptHandler, ast.match_case, ast.IfExp, ast.BoolOp, ast.comprehension)
+#: The field that a node is about.
+_SUBJECT = {"Expr": "value", "Return": "value", "Raise": "exc", "match_case": "pattern"}
+# Nodes that hold nothing to tell.
+_LEAVES = (ast.Name, ast.Constant, ast.expr_context, ast.alias, ast.arg)
 
 
 def _parse(code):
@@ -57,135 +62,52 @@ def _parse(code):
         return None
 
 
-def _match_points(node):
-    catch_all = any(
-        type(case.pattern) is ast.MatchAs and case.pattern.pattern is None for case in node.cases
-    )
-    return max(0, len(node.cases) - catch_all)
-
-
-# Decision points that one node adds to the function or class around it.
-_POINTS = {
-    ast.If: lambda node: 1,
-    ast.IfExp: lambda node: 1,
-    ast.Assert: lambda node: 1,
-    ast.For: lambda node: 1 + bool(node.orelse),
-    ast.AsyncFor: lambda node: 1 + bool(node.orelse),
-    ast.While: lambda node: 1 + bool(node.orelse),
-    ast.Try: lambda node: len(node.handlers) + bool(node.orelse),
-    ast.BoolOp: lambda node: len(node.values) - 1,
-    ast.comprehension: lambda node: 1 + len(node.ifs),
-    ast.Match: _match_points,
-}
-
-
-def _constant_body(node):
-    steps = [step for step in node.body if type(step) is not ast.Expr]
-    if len(steps) == 1 and type(steps[0]) is ast.Return and type(steps[0].value) is ast.Constant:
-        return "constant_body"
-
-
-def _ellipsis(node):
-    if type(node.value) is ast.Constant and node.value.value is Ellipsis:
-        return "ellipsis"
-
-
-def _not_implemented(node):
-    raised = node.exc
-    if type(raised) is ast.Call and type(raised.func) is ast.Name:
-        if raised.func.id == "NotImplementedError":
-            return "not_implemented"
-
-
-# Placeholder and hard-coded-return marks.
-_MARKS = {
-    ast.FunctionDef: _constant_body,
-    ast.AsyncFunctionDef: _constant_body,
-    ast.Expr: _ellipsis,
-    ast.Raise: _not_implemented,
-}
-
-
-def _imports(node):
-    if type(node) is ast.Import:
-        return [alias.name.split(".")[0] for alias in node.names]
-    if type(node) is ast.ImportFrom and node.module:
-        return [node.module.split(".")[0]]
-    return None
-
-
-class _Block:
-    """Decision count of one function or class while its body is being walked."""
-
-    def __init__(self, is_class):
-        self.is_class = is_class
-        self.points = 1
-        self.methods = []
-
-    def complexity(self):
-        """Functions: 1 + decisions. Classes: mean over the methods, plus one."""
-        total = self.points + sum(method.points for method in self.methods)
-        if not self.methods:
-            return total
-        return total // len(self.methods) + (len(self.methods) > 1)
-
-
-_MODULE = _Block(is_class=False)
+def _subject(node):
+    """Class and name of the expression or pattern that a node is about."""
+    subject = getattr(node, _SUBJECT.get(type(node).__name__, ""), None)
+    if subject is None:
+        return None, None
+    if isinstance(subject, ast.Constant):
+        name = type(subject.value).__name__
+    elif isinstance(subject, ast.Call):
+        name = getattr(subject.func, "id", None)
+    else:  # a pattern: the name it binds, if it tests nothing more
+        name = None if getattr(subject, "pattern", subject) else "any"
+    return type(subject).__name__, name
 
 
-def _open_block(kind, outer):
-    """The block of a function or class; closures and inner classes have none."""
-    if kind is ast.ClassDef:
-        return _Block(is_class=True) if outer is _MODULE else None
-    if outer is _MODULE:
-        return _Block(is_class=False)
-    if outer is not None and outer.is_class:
-        method = _Block(is_class=False)
-        outer.methods.append(method)
-        return method
-    return None
+def _modules(node):
+    if isinstance(node, ast.Import):
+        return [part.name for part in node.names]
+    return [node.module] if isinstance(node, ast.ImportFrom) and node.module else None
 
 
 def _nodes(tree):
     """Walk with an explicit stack, so deep programs cannot exhaust Python's own."""
-    found, blocks = [], []
-    stack = [(tree, 0, _MODULE)]
+    told = []
+    stack = [(tree, -1, None, -1, 0)]
     while stack:
-        node, depth, block = stack.pop()
-        kind = type(node)
-        if kind in _NESTING:
-            depth += 1
-        if block is not None and kind in _POINTS:
-            block.points += _POINTS[kind](node)
-        mark = _MARKS[kind](node) if kind in _MARKS else None
-
-        # Decorators, defaults and base classes belong to no block, neither does an assert's inside.
-        inner, body = block, None
-        if kind in _SCOPES:
-            inner, body = _open_block(kind, block), node.body
-        elif kind is ast.Assert:
-            inner = None
-        if mark or kind in _KEPT:
-            entry = {
-                "kind": kind.__name__, "depth": depth, "complexity": None, "mark": mark,
-                "libs": _imports(node),
-            }
-            found.append(entry)
-            if body is not None and inner is not None:
-                blocks.append((entry, inner))
-
-        for name in node._fields:
-            value = getattr(node, name, None)
-            if type(value) is list:
-                owner = inner if body is None or value is body else None
-                for child in value:
-                    if type(child) not in _LEAVES and isinstance(child, ast.AST):
-                        stack.append((child, depth, owner))
-            elif type(value) not in _LEAVES and isinstance(value, ast.AST):
-                stack.append((value, depth, inner if body is None else None))
-    for entry, block in blocks:
-        entry["complexity"] = block.complexity()
-    return found
+        node, parent, role, scope, depth = stack.pop()
+        depth += isinstance(node, _NESTING)
+        fields = list(ast.iter_fields(node))
+        if isinstance(node, _TOLD):
+            head, name = _subject(node)
+            told.append({
+                "kind": type(node).__name__, "parent": parent, "role": role, "scope": scope, "depth": depth,
+                "sizes": [len(value) for _, value in fields if isinstance(value, list)],
+                "head": head, "name": name, "modules": _modules(node),
+            })
+            parent = len(told) - 1
+        for field, value in fields:
+            inside = scope
+            if isinstance(node, _DEFINITIONS):  # decorators, defaults and bases are in neither scope
+                inside = parent if field == "body" else -2
+            elif isinstance(node, ast.Assert):
+                inside = -2
+            for child in value if isinstance(value, list) else [value]:
+                if isinstance(child, ast.AST) and not isinstance(child, _LEAVES):
+                    stack.append((child, parent, field, inside, depth))
+    return told
 
 
 def _source_lines(code, tree):

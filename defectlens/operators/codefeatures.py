@@ -15,6 +15,7 @@ from ..session import materialise, spread
 from .relational import available
 
 PARSED = "_parsed"
+FUNCTION_KINDS = ("FunctionDef", "AsyncFunctionDef")
 
 KEY_COLUMNS = (
     "sample_id", "task_id", "model_name", "split", "fold", "label", "entry_point", "libs",
@@ -38,13 +39,35 @@ def count_kind(*kinds: str) -> Column:
     return _count(lambda n: n["kind"].isin(*kinds))
 
 
-def count_mark(*marks: str) -> Column:
-    return _count(lambda n: n["mark"].isin(*marks))
+def _none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def placeholder_nodes() -> Column:
+    """Nodes that stand for missing work: pass, a bare ellipsis, raising "not implemented" by call."""
+    return _count(lambda n: (
+        (n["kind"] == "Pass")
+        | ((n["kind"] == "Expr") & (n["head"] == "Constant") & (n["name"] == "ellipsis"))
+        | ((n["kind"] == "Raise") & (n["head"] == "Call") & (n["name"] == "NotImplementedError"))
+    ))
+
+
+def constant_functions() -> Column:
+    """Functions whose body, bare expressions aside, is one return of a constant."""
+    def alone(r: Column) -> Column:
+        beside = F.filter(_nodes(), lambda n: (
+            (n["parent"] == r["parent"]) & (n["role"] == "body") & (n["kind"] != "Expr")))
+        owner = F.get(_nodes(), r["parent"])
+        return owner["kind"].isin(*FUNCTION_KINDS) & (F.size(beside) == 1)
+
+    return _count(lambda n: (
+        (n["kind"] == "Return") & (n["head"] == "Constant") & (n["role"] == "body") & (n["parent"] >= 0) & alone(n)))
 
 
 def imported_libs() -> Column:
-    named = F.flatten(F.transform(_nodes(), lambda n: F.coalesce(n["libs"], F.array().cast("array<string>"))))
-    return F.coalesce(F.array_distinct(named), F.array().cast("array<string>"))
+    """First parts of the imported names, each once, in order of first sight."""
+    named = F.flatten(F.transform(_nodes(), lambda n: F.coalesce(n["modules"], _none("string"))))
+    return F.coalesce(F.array_distinct(F.transform(named, lambda m: F.split_part(m, F.lit("."), F.lit(1)))), _none("string"))
 
 
 def nesting_depth() -> Column:
@@ -55,12 +78,55 @@ def source_lines(code: Column) -> Column:
     return F.coalesce(F.col(f"{PARSED}.source_lines"), nonblank_lines(code))
 
 
+def _decisions(n: Column) -> Column:
+    """Decision points that a node adds to the definition whose body holds it."""
+    def more(k: int) -> Column:
+        return (F.get(n["sizes"], F.lit(k)) > 0).cast("int")
+
+    return (
+        F.when(n["kind"].isin("If", "IfExp", "Assert"), 1)
+        .when(n["kind"].isin("For", "AsyncFor", "While"), 1 + more(1))  # body, else
+        .when(n["kind"] == "Try", F.get(n["sizes"], F.lit(1)) + more(2))  # body, handlers, else
+        .when(n["kind"] == "BoolOp", F.get(n["sizes"], F.lit(0)) - 1)
+        .when(n["kind"] == "comprehension", 1 + F.get(n["sizes"], F.lit(0)))
+        .when((n["kind"] == "match_case") & ~F.coalesce(n["name"] == "any", F.lit(False)), 1)
+        .otherwise(0)
+    )
+
+
 def complexity(code: Column) -> Column:
-    """Sum over functions, methods and classes; 1 without any, 0 if blank or unparsable."""
-    blocks = F.filter(F.transform(_nodes(), lambda n: n["complexity"]), lambda c: c.isNotNull())
-    total = F.aggregate(blocks, F.lit(0), lambda acc, c: acc + c)
+    """Sum over functions, methods and classes; 1 without any, 0 if blank or unparsable.
+
+    A function or method counts one and its decisions; a class, its own and its methods' over the
+    number of methods, and one if there are several. Only top-level definitions and methods of
+    top-level classes count, not what is defined inside these.
+    """
+    nodes = _nodes()
+    is_function = lambda n: n["kind"].isin(*FUNCTION_KINDS)
+    counted = F.filter(
+        F.transform(nodes, lambda n, i: F.struct(i.alias("at"), n["scope"].alias("scope"), n["kind"].alias("kind"))),
+        lambda d: F.when(d["scope"] == -1, is_function(d) | (d["kind"] == "ClassDef")).otherwise(
+            is_function(d) & (d["scope"] >= 0) & (F.get(nodes, d["scope"])["kind"] == "ClassDef")
+            & (F.get(nodes, d["scope"])["scope"] == -1)))
+    points = F.filter(
+        F.transform(nodes, lambda n: F.struct(n["scope"].alias("scope"), _decisions(n).alias("points"))),
+        lambda p: (p["points"] > 0) & (p["scope"] >= 0))
+
+    def own(d: Column) -> Column:
+        return F.aggregate(points, F.lit(1), lambda total, p: total + F.when(p["scope"] == d["at"], p["points"]).otherwise(0))
+
+    sized = F.transform(counted, lambda d: F.struct(d["at"], d["scope"], d["kind"], own(d).alias("points")))
+
+    def block(d: Column) -> Column:
+        methods = F.filter(sized, lambda m: is_function(m) & (m["scope"] == d["at"]))
+        total = F.aggregate(methods, d["points"], lambda acc, m: acc + m["points"])
+        several = F.size(methods)
+        return F.when((d["kind"] != "ClassDef") | (several == 0), d["points"]).otherwise(
+            F.floor(total / several).cast("int") + (several > 1).cast("int"))
+
+    total = F.aggregate(F.transform(sized, block), F.lit(0), lambda acc, c: acc + c)
     usable = F.col(f"{PARSED}.raw_ok") & (nonblank_lines(code) > 0)
-    return F.when(~usable, 0).when(F.size(blocks) == 0, 1).otherwise(total)
+    return F.when(~usable, 0).when(F.size(counted) == 0, 1).otherwise(total)
 
 
 def feature_columns(code: str, prompt: str, libs: str) -> dict[str, Column]:
@@ -68,9 +134,7 @@ def feature_columns(code: str, prompt: str, libs: str) -> dict[str, Column]:
     text = text_or_empty(F.col(code))
     required, imported = parse_libs(F.col(libs)), imported_libs()
     tries = count_kind("Try")
-    placeholders = (
-        count_kind("Pass") + count_mark("ellipsis", "not_implemented") + marker_hits(text)
-    )
+    placeholders = placeholder_nodes() + marker_hits(text)
     return {
         "meta_parse_error": _nodes().isNull().cast("int"),
         "classical_loc": source_lines(text),
@@ -87,7 +151,7 @@ def feature_columns(code: str, prompt: str, libs: str) -> dict[str, Column]:
         "align_lib_coverage": lib_coverage(required, imported),
         "align_missing_libs": missing_libs(required, imported),
         "align_length_ratio": length_ratio(F.col(code), F.col(prompt)),
-        "smell_hardcoded_return_funcs": count_mark("constant_body"),
+        "smell_hardcoded_return_funcs": constant_functions(),
         "smell_placeholder_hits": placeholders,
         "smell_is_very_short": is_very_short(text),
     }

@@ -18,12 +18,21 @@ ROW_FEATURES = [
 ]
 
 
-@query("code_nodes")
+_KIND_COUNTS = {
+    "If": "ifs + deep", "For": "fors + deep", "While": "whiles + deep", "Try": "tries", "ExceptHandler": "tries",
+    "FunctionDef": "1 + const + later + cls", "ClassDef": "cls", "Return": "1 + const", "Import": "i1 + i2",
+    "ImportFrom": "i3", "Pass": "skip", "Raise": "later", "Expr": "doc + cls", "BoolOp": "deep",
+    "Assign": "ifs + fors + whiles + 2 * tries + deep",
+}
+
+
+@query("code_nodes", f"""WITH {CODE_FEATURES}, kinds AS (
+{' UNION ALL '.join(f"SELECT sample_id, '{kind}' AS kind, ok * ({n}) AS n FROM need" for kind, n in _KIND_COUNTS.items())})
+SELECT sample_id, kind, n::BIGINT AS n FROM kinds WHERE n > 0""")
 def code_nodes(spark, sf_dir):
     parsed = codefeatures.with_nodes(code_samples(spark, sf_dir).select("sample_id", "solution"), "solution")
-    return parsed.select("sample_id", F.explode(f"{codefeatures.PARSED}.nodes").alias("n")).select(
-        "sample_id", "n.kind", "n.depth", "n.complexity", "n.mark", F.concat_ws("|", "n.libs").alias("libs")
-    )
+    kinds = parsed.select("sample_id", F.explode(f"{codefeatures.PARSED}.nodes.kind").alias("kind"))
+    return kinds.groupBy("sample_id", "kind").agg(F.count("*").alias("n"))
 
 
 @query("code_features", f"""WITH {CODE_FEATURES}
@@ -64,12 +73,11 @@ def code_features_agg(spark, sf_dir):
     return codefeatures.feature_report(codefeatures.feature_table(code_samples(spark, sf_dir)))
 
 
-_RANKED = ["classical_loc", "ast_if_count", "ast_try_count", "align_length_ratio", "align_lib_coverage", "meta_parse_error"]
 
 
 @query("code_feature_correlation", f"""WITH {CODE_FEATURES}, c AS (
-{' UNION ALL '.join(f"SELECT '{c}' AS feature, round(corr({c}, label), 6) AS correlation FROM code_features" for c in _RANKED)})
-SELECT * FROM c ORDER BY abs(correlation) DESC, feature LIMIT 4""")
+{' UNION ALL '.join(f"SELECT '{c}' AS feature, round(corr({c}, label), 6) AS correlation FROM code_features" for c in ROW_FEATURES)})
+SELECT * FROM c ORDER BY abs(correlation) DESC, feature LIMIT 10""")
 def code_feature_correlation(spark, sf_dir):
     features = codefeatures.extract_features(code_samples(spark, sf_dir))
-    return profiling.correlations(features, _RANKED, "label", k=4)
+    return profiling.correlations(features, ROW_FEATURES, "label", k=10)

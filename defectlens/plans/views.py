@@ -227,14 +227,3 @@ FULL_CODE_FEATURES = CODE_FEATURES + """, task_medians AS (
   SELECT task_id, median(classical_loc) AS m FROM code_features GROUP BY task_id), full_features AS (
   SELECT f.*, round(f.classical_loc / greatest(t.m, 1.0::DOUBLE), 4) AS smell_relative_length
   FROM code_features f JOIN task_medians t ON f.task_id = t.task_id)"""
-
-
-def code_families(samples: DataFrame) -> DataFrame:
-    """Brands in four families by their number."""
-    number = F.substring_index("model_name", "#", -1).cast("int")
-    return samples.select("model_name").distinct().select(
-        F.concat(F.lit("family"), (number % 4).cast("string")).alias("family"), "model_name"
-    )
-
-
-CODE_FAMILY = "'family' || (split_part(model_name, '#', 2)::INTEGER % 4)"
