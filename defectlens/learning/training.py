@@ -8,7 +8,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier,
+)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.evaluation import auc, binary_metrics
 from ..operators.relational import label_at, union_all
-from ..session import compact
+from ..session import placed
 from .preparation import with_balanced_weight, with_positive_weight
 
 # The parameter grids of the searches.
@@ -34,7 +36,7 @@ TFIDF_TREES = [
 ]
 PLAIN_TREES = {"rounds": 400, "step": 0.05, "depth": 6, "columns": "0.8", "leaf": 1}
 ROW_SHARE, LEAF_ROWS, STOP_AFTER = 0.8, 20, 50
-FOREST_TREES, FOREST_LEAF = 400, 2
+FOREST_TREES, FOREST_LEAF, FOREST_DEPTH = 400, 2, 30
 
 
 @dataclass
@@ -55,9 +57,9 @@ def score(model, df: DataFrame, out: str = "score") -> DataFrame:
     )
 
 
-def fit_all(estimators: Sequence, train: DataFrame, parallelism: int = 4) -> list:
+def fit_all(estimators: Sequence, train: DataFrame, parallelism: int = 4, ident: str = "sample_id") -> list:
     """Fitted candidates, a few at a time."""
-    train = compact(train)
+    train = placed(train, ident)
     with ThreadPoolExecutor(parallelism) as pool:
         return list(pool.map(lambda estimator: estimator.fit(train), estimators))
 
@@ -118,24 +120,51 @@ def boosted(params: dict, seed: int = 42) -> GBTClassifier:
     )
 
 
+def best_round(losses: Sequence[float], patience: int = STOP_AFTER) -> int:
+    """Number of rounds up to the least loss, if rounds stop once ``patience`` of them in a row
+    have not gone below it; the first of equal ones."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def fit_stopping(
+    estimator: GBTClassifier, train: DataFrame, val: DataFrame, patience: int = STOP_AFTER
+) -> GBTClassificationModel:
+    """All rounds are fitted and measured on the validation rows; if the best round is not the
+    last, the rounds up to it are fitted again. Every round draws from the seed and its number, so
+    these are the same trees."""
+    model = estimator.fit(train)
+    rounds = best_round(model.evaluateEachIteration(val), patience)
+    return model if rounds == model.getNumTrees else estimator.copy({estimator.maxIter: rounds}).fit(train)
+
+
 def search_boosted(
-    train: DataFrame, val: DataFrame, grid: Sequence[dict] = STATIC_TREES, seed: int = 42
+    train: DataFrame, val: DataFrame, grid: Sequence[dict] = STATIC_TREES, seed: int = 42,
+    patience: int = STOP_AFTER, parallelism: int = 4, ident: str = "sample_id",
 ) -> Search:
-    """Validation rows ride along with an indicator, so fitting stops when they no
-    longer improve."""
+    """Each setting with its best number of rounds on the validation rows."""
     grid = list(grid)
-    marked = union_all(
-        with_positive_weight(train).withColumn("is_val", F.lit(False)),
-        val.withColumn("weight", F.lit(1.0)).withColumn("is_val", F.lit(True)),
-    )
-    models = fit_all([boosted(p, seed).setValidationIndicatorCol("is_val") for p in grid], marked)
-    return pick_best(models, grid, val)
-
-
-def fit_boosted(train: DataFrame, params: dict | None = None, seed: int = 42):
+    weighted = placed(with_positive_weight(train), ident).persist()
+    measured = val.withColumn("weight", F.lit(1.0)).persist()
+    try:
+        with ThreadPoolExecutor(parallelism) as pool:
+            models = list(pool.map(
+                lambda p: fit_stopping(boosted(p, seed), weighted, measured, patience), grid))
+        return pick_best(models, grid, val)
+    finally:
+        weighted.unpersist()
+        measured.unpersist()
+
+
+def fit_boosted(train: DataFrame, params: dict | None = None, seed: int = 42, ident: str = "sample_id"):
     """One fixed setting, unweighted."""
     flat = train.withColumn("weight", F.lit(1.0))
-    return boosted(PLAIN_TREES if params is None else params, seed).fit(compact(flat))
+    return boosted(PLAIN_TREES if params is None else params, seed).fit(placed(flat, ident))
 
 
 def select_columns(train: DataFrame, n_features: int, features: str = "features"):
@@ -148,11 +177,14 @@ def select_columns(train: DataFrame, n_features: int, features: str = "features"
     ).fit(train)
 
 
-def fit_forest(train: DataFrame, trees: int = FOREST_TREES, seed: int = 42):
+def fit_forest(
+    train: DataFrame, trees: int = FOREST_TREES, seed: int = 42, depth: int = FOREST_DEPTH, ident: str = "sample_id",
+):
+    """Trees grow until leaves are pure or small; the library's largest depth ends them."""
     return RandomForestClassifier(
         featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees,
-        minInstancesPerNode=FOREST_LEAF, seed=seed,
-    ).fit(compact(with_balanced_weight(train)))
+        maxDepth=depth, minInstancesPerNode=FOREST_LEAF, seed=seed,
+    ).fit(placed(with_balanced_weight(train), ident))
 
 
 def _impute_stages(columns: Sequence[str], scale: bool) -> list:
@@ -169,7 +201,7 @@ def _impute_stages(columns: Sequence[str], scale: bool) -> list:
 
 def crossval_logistic(
     train: DataFrame, columns: Sequence[str], fold_col: str = "foldCol",
-    grid: Iterable[float] = CROSSVAL_C, iterations: int = 2000, parallelism: int = 4,
+    grid: Iterable[float] = CROSSVAL_C, iterations: int = 2000, parallelism: int = 4, ident: str = "sample_id",
 ) -> Search:
     """Grid search over given group folds by AUC, refitted on all of train."""
     grid = list(grid)
@@ -183,16 +215,18 @@ def crossval_logistic(
         estimatorParamMaps=[{learner.regParam: 1.0 / (c * n_rows)} for c in grid],
         evaluator=BinaryClassificationEvaluator(labelCol="label", numBins=0),
         numFolds=folds, foldCol=fold_col, parallelism=parallelism,
-    ).fit(compact(weighted))
+    ).fit(placed(weighted, ident))
     best = int(np.argmax(search.avgMetrics))
     return Search(search.bestModel, grid[best], list(zip(grid, search.avgMetrics)))
 
 
-def refit_logistic(df: DataFrame, columns: Sequence[str], c: float, iterations: int = 2000):
+def refit_logistic(
+    df: DataFrame, columns: Sequence[str], c: float, iterations: int = 2000, ident: str = "sample_id"
+):
     """The chosen setting fitted again, on train and validation together."""
     weighted = with_balanced_weight(df).withColumns({x: F.col(x).cast("double") for x in columns})
     learner = logistic(c, df.count(), iterations, standardise=False)
-    return Pipeline(stages=[*_impute_stages(columns, scale=True), learner]).fit(compact(weighted))
+    return Pipeline(stages=[*_impute_stages(columns, scale=True), learner]).fit(placed(weighted, ident))
 
 
 def random_tree_settings(draws: int = 20, seed: int = 42) -> list[dict]:
@@ -215,7 +249,7 @@ def random_tree_settings(draws: int = 20, seed: int = 42) -> list[dict]:
 
 def crossval_boosted(
     train: DataFrame, columns: Sequence[str], fold_col: str = "foldCol",
-    settings: Sequence[dict] | None = None, parallelism: int = 4, seed: int = 42,
+    settings: Sequence[dict] | None = None, parallelism: int = 4, seed: int = 42, ident: str = "sample_id",
 ) -> Search:
     """Random search over given group folds by AUC."""
     settings = random_tree_settings() if settings is None else list(settings)
@@ -235,7 +269,7 @@ def crossval_boosted(
         estimatorParamMaps=maps,
         evaluator=BinaryClassificationEvaluator(labelCol="label", numBins=0),
         numFolds=folds, foldCol=fold_col, parallelism=parallelism,
-    ).fit(compact(flat))
+    ).fit(placed(flat, ident))
     best = int(np.argmax(search.avgMetrics))
     return Search(search.bestModel, settings[best], list(zip(settings, search.avgMetrics)))
 

@@ -321,28 +321,36 @@ def family_drop(in_family: DataFrame, held_out: DataFrame, families: DataFrame)
     )
 
 
-def _poisson_draw(rate: Column, u1: Column, u2: Column) -> Column:
-    """Poisson count for an integer rate: exact inversion up to 64, normal beyond."""
-    steps = F.sequence(F.lit(1), (rate + 12 * F.sqrt(rate) + 20).cast("int"))
-    start = F.struct(
-        F.lit(0).cast("long").alias("k"), F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf")
-    )
-    inverted = F.aggregate(
-        steps,
-        start,
-        lambda s, k: F.when(
-            u1 >= s["cdf"],
-            F.struct(
-                k.cast("long").alias("k"),
-                (s["p"] * rate / k).alias("p"),
-                (s["cdf"] + s["p"] * rate / k).alias("cdf"),
-            ),
-        ).otherwise(s),
-        lambda s: s["k"],
+def _log_factorial(m: Column) -> Column:
+    """ln m!, by the product up to 20 and Stirling's series (to 1e-13) beyond."""
+    x = F.greatest(m, F.lit(1)).cast("double")
+    series = (
+        x * F.log(x) - x + F.log(2 * F.pi() * x) / 2
+        + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5))
     )
-    normal = F.sqrt(-2 * F.log(F.greatest(u1, F.lit(1e-300)))) * F.cos(2 * F.pi() * u2)
-    approximate = F.greatest(F.round(rate + F.sqrt(rate) * normal), F.lit(0.0)).cast("long")
-    return F.when(rate <= 64, inverted).otherwise(approximate)
+    return F.when(m <= 20, F.log(F.factorial(F.least(m, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
+
+
+def _poisson_draw(rate: Column, u: Column) -> Column:
+    """Poisson count by inversion, at any rate: the mass of the mode, then of its neighbours on
+    either side in turn, is taken off ``u`` until nothing is left. About sqrt(rate) steps."""
+    mode = F.floor(rate).cast("long")
+    mass = F.exp(mode * F.log(rate) - rate - _log_factorial(mode))
+    start = F.struct(
+        (u - mass).alias("left"), mass.alias("up"), mass.alias("down"), F.when(u < mass, mode).alias("k"))
+
+    def step(s: Column, i: Column) -> Column:
+        above, below = mode + i, mode - i
+        up = s["up"] * rate / above
+        down = F.when(below >= 0, s["down"] * (below + 1) / rate).otherwise(0.0)
+        after_up = s["left"] - up
+        found = F.when(after_up < 0, above).when(after_up - down < 0, below)
+        return F.when(s["k"].isNotNull(), s).otherwise(F.struct(
+            (after_up - down).alias("left"), up.alias("up"), down.alias("down"), found.alias("k")))
+
+    # Beyond twelve deviations less mass is left than a double can tell from 1.
+    steps = F.sequence(F.lit(1), (12 * F.sqrt(rate) + 20).cast("int"))
+    return F.aggregate(steps, start, step, lambda s: F.coalesce(s["k"], mode))
 
 
 def _drawn_cells(
@@ -362,11 +370,10 @@ def _drawn_cells(
         .withColumn("draw", F.explode(F.sequence("_start", F.least(F.col("_start") + chunk, n) - 1)))
         .withColumn("rank", hash_long(seed, F.col("replicate"), F.col("draw")) % n)
     )
-    return (
-        draws.groupBy("replicate", "rank").agg(F.count("*").alias("w"))
-        .join(numbered, "rank")
-        .groupBy("replicate", F.col(label), F.col(value)).agg(F.sum("w").alias("w"))
-    )
+    # Draws of one replicate fall into its (label, value) cells before anything is shuffled by
+    # cell; the numbered rows are the small side as long as they fit the session's limit.
+    return draws.join(numbered, "rank").groupBy("replicate", F.col(label), F.col(value)).agg(
+        F.count("*").alias("w"))
 
 
 def _poisson_cells(df: DataFrame, label: str, value: str, n_boot: int, seed) -> DataFrame:
@@ -379,9 +386,7 @@ def _poisson_cells(df: DataFrame, label: str, value: str, n_boot: int, seed) ->
         "replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long")))
     )
     names = [F.col("replicate"), F.col(label), F.col(value)]
-    weight = _poisson_draw(
-        F.col("c").cast("double"), hash_uniform(seed, *names), hash_uniform(f"{seed}b", *names)
-    )
+    weight = _poisson_draw(F.col("c").cast("double"), hash_uniform(seed, *names))
     return spread.withColumn("w", weight).where(F.col("w") > 0)
 
 

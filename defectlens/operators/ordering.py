@@ -1,9 +1,11 @@
 """Running totals, exact quantiles and ranks without a single-task window.
 
 A plain ``Window.orderBy`` sends every row to one task. Here an order is cut into
-buckets that depend only on the value itself. Running totals inside a bucket come from
+buckets at values drawn from the data itself. Running totals inside a bucket come from
 a window partitioned by the bucket; totals of the lower buckets come from a second
 window over bucket sums, whose number is bounded whatever the size of the data.
+
+NaN is the largest value, as in Spark's own ordering.
 """
 
 from __future__ import annotations
@@ -15,18 +17,29 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import hash_text
 
-_SMALLEST = 1e6  # values below 1e-6 share the buckets next to zero
-_BUCKETS_PER_E = 4096
+_SPLITS = 1023  # one less than a power of two, for the search by halves
 
 
-def magnitude_bucket(value: Column) -> Column:
-    """Monotone bucket number of a double, about 0.02 % wide at any magnitude.
+def split_points(cells: DataFrame, value: str) -> DataFrame:
+    """One row: up to ``_SPLITS`` of the distinct values, in order.
 
-    Probabilities fall into fewer than 57,000 buckets, values up to 1e12 into 170,000
-    on each side of zero.
+    The values of least hash are a sample that does not depend on how often they occur,
+    on their size or spacing, nor on the plan: computed twice it is the same.
     """
-    x = value.cast("double")
-    return F.floor(F.signum(x) * F.log1p(F.abs(x) * _SMALLEST) * _BUCKETS_PER_E)
+    values = cells.select((F.col(value).cast("double") + 0.0).alias("_v")).distinct()
+    least = values.orderBy(F.xxhash64("_v"), "_v").limit(_SPLITS)
+    return least.agg(F.sort_array(F.collect_list("_v")).alias("_splits"))
+
+
+def bucket_of(value: Column, splits: Column) -> Column:
+    """How many split points the value reaches, found by halves; 0 for a null."""
+    steps = F.array(*[F.lit((_SPLITS + 1) >> k) for k in range(1, _SPLITS.bit_length() + 1)])
+
+    def onward(at: Column, step: Column) -> Column:
+        reached = (at + step <= F.size(splits)) & (F.get(splits, at + step - 1) <= value)
+        return F.when(reached, at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), onward)
 
 
 def _join_offsets(rows: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -44,7 +57,9 @@ def running_totals(
     ``<sum>_below`` adds up the rows of the same keys with a strictly lower value.
     """
     keys = list(keys)
-    bucketed = cells.withColumn("_b", magnitude_bucket(F.col(value)))
+    # One row of bounded size on the other side.
+    placed = cells.crossJoin(F.broadcast(split_points(cells, value)))
+    bucketed = placed.withColumn("_b", bucket_of(F.col(value).cast("double"), F.col("_splits"))).drop("_splits")
 
     within = Window.partitionBy(*keys, "_b").orderBy(value)
     lower = within.rowsBetween(Window.unboundedPreceding, -1)

@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.text import identifiers, text_or_empty
-from ..functions.vectors import sparse_vector
+from ..session import materialise
 
 MAX_FEATURES = 10_000
 WORD_SIZES = (1, 2)
@@ -183,7 +184,10 @@ def assemble(
     ident: str = "sample_id", out: str = "features",
 ) -> DataFrame:
     """One sparse vector per row: static features first, then each block shifted behind
-    the ones before it. Rows without any block term keep their static part."""
+    the ones before it. Rows without any block term keep their static part.
+
+    The vector is the struct that the vector type is stored as; :func:`as_vectors` reads it.
+    """
     fixed = F.filter(
         F.array(*[
             F.struct(F.lit(i).alias("i"), F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias("w"))
@@ -204,5 +208,16 @@ def assemble(
     whole = joined.withColumn("_all", F.concat(*parts))
     return whole.select(
         *static.columns,
-        sparse_vector(F.lit(start), F.col("_all.i"), F.col("_all.w")).alias(out),
+        F.struct(
+            F.lit(0).cast("tinyint").alias("type"), F.lit(start).cast("int").alias("size"),
+            F.col("_all.i").alias("indices"), F.col("_all.w").alias("values"),
+        ).alias(out),
     )
+
+
+def as_vectors(assembled: DataFrame, column: str = "features") -> DataFrame:
+    """Write the rows and read the struct column as vectors; no row passes through Python."""
+    schema = T.StructType([
+        T.StructField(f.name, VectorUDT(), f.nullable) if f.name == column else f for f in assembled.schema
+    ])
+    return materialise(assembled, schema)

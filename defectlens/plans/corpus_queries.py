@@ -140,11 +140,11 @@ def task_difficulty(spark, sf_dir):
 WITH tries AS (SELECT p_brand AS model_name, p_type AS task_id,
     CASE WHEN p_size < 2 + p_partkey % 4 THEN 1 ELSE 0 END AS label FROM part),
 rates AS (SELECT model_name, round(avg(label), 6) AS rate FROM tries GROUP BY 1),
-best AS (SELECT model_name FROM rates ORDER BY rate DESC, model_name LIMIT 3),
-worst AS (SELECT model_name FROM rates ORDER BY rate, model_name LIMIT 3),
+best AS (SELECT model_name FROM rates ORDER BY rate DESC, model_name LIMIT 5),
+worst AS (SELECT model_name FROM rates ORDER BY rate, model_name LIMIT 5),
 solved AS (SELECT task_id, model_name, max(label) AS s FROM tries GROUP BY ALL),
-f AS (SELECT task_id FROM solved JOIN best USING (model_name) GROUP BY task_id HAVING sum(s) = 0 AND count(*) = 3),
-g AS (SELECT task_id FROM solved JOIN worst USING (model_name) GROUP BY task_id HAVING sum(s) = 0 AND count(*) = 3)
+f AS (SELECT task_id FROM solved JOIN best USING (model_name) GROUP BY task_id HAVING sum(s) = 0 AND count(*) = 5),
+g AS (SELECT task_id FROM solved JOIN worst USING (model_name) GROUP BY task_id HAVING sum(s) = 0 AND count(*) = 5)
 SELECT count(*) AS n_failed_by_best, count(g.task_id) AS n_shared,
        round(count(g.task_id)::DOUBLE / nullif(count(*), 0), 6) AS overlap
 FROM f LEFT JOIN g ON f.task_id = g.task_id""")
@@ -153,7 +153,7 @@ def failure_overlap(spark, sf_dir):
         F.col("p_brand").alias("model_name"), F.col("p_type").alias("task_id"),
         (F.col("p_size") < 2 + F.col("p_partkey") % 4).cast("int").alias("label"),
     )
-    return profiling.failure_overlap(tries, k=3)
+    return profiling.failure_overlap(tries)
 
 
 @query("library_pass_rate", f"""WITH {CODE_SAMPLES}, used AS (

@@ -262,7 +262,7 @@ def baseline_comparison(spark, sf_dir):
 
 # ---------------------------------------------------------------- bootstrap
 
-BOOTSTRAPS = 200
+BOOTSTRAPS = 1000
 
 
 def _draws_sql(relation):
@@ -346,8 +346,8 @@ def linear_shap(spark, sf_dir):
 
 
 @query("shap_ranking", f"""
-WITH bg AS (SELECT * FROM orders WHERE o_orderstatus = 'F' ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 2000),
-te AS (SELECT * FROM orders WHERE o_orderstatus <> 'F' ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 3000),
+WITH bg AS (SELECT * FROM orders WHERE o_orderstatus = 'F'),
+te AS (SELECT * FROM orders WHERE o_orderstatus <> 'F'),
 s AS (SELECT 0.00001::DOUBLE * (o_totalprice - (SELECT avg(o_totalprice) FROM bg)) AS price,
              -0.003::DOUBLE * (o_custkey - (SELECT avg(o_custkey) FROM bg)) AS cust FROM te),
 r AS (SELECT 'o_totalprice' AS feature, round(avg(abs(price)), 6) AS mean_abs_shap, round(avg(price), 6) AS mean_signed_shap FROM s

@@ -50,7 +50,7 @@ def scored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _given_score() -> Column:
-    logit = (F.least(F.col("n_text_chars"), F.lit(6000)) - 1500) / 1200 + (F.col("n_text_lines") % 7) * 0.1
+    logit = (F.col("n_text_chars") - 1500) / 1200 + (F.col("n_text_lines") % 7) * 0.1
     return F.round(1 / (1 + F.exp(-logit)), 6)
 
 
@@ -58,7 +58,7 @@ SCORED_TEXTS = TEXT_SAMPLES + """, measured AS (
   SELECT sample_id, task_id, model_name, split, label, length(solution) AS n_text_chars,
          length(solution) - length(replace(solution, chr(10), '')) + 1 AS n_text_lines
   FROM text_samples), scored_texts AS (
-  SELECT *, round(1 / (1 + exp(-((least(n_text_chars, 6000) - 1500)::DOUBLE / 1200
+  SELECT *, round(1 / (1 + exp(-((n_text_chars - 1500)::DOUBLE / 1200
                                  + (n_text_lines % 7)::DOUBLE * 0.1::DOUBLE))), 6) AS score
   FROM measured)"""
 
@@ -139,7 +139,9 @@ def code_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 == 0, "[]").when(k % 5 == 1, "oops").when(k % 5 == 2, "['os']")
         .when(k % 5 == 3, "['pandas', 'requests']").otherwise("['pandas', 'numpy', 'os']")
     )
-    return table(spark, sf_dir, "part").select(
+    # The keys of few files are dealt out before programs are spelled out from them.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf_dir, "part").repartition(n, "p_partkey").select(
         k.alias("sample_id"),
         F.concat(F.lit("task"), F.floor(k / 25).cast("string")).alias("task_id"),
         F.col("p_brand").alias("model_name"),

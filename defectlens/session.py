@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 
 def build_session(app: str = "defectlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,37 +48,37 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame) -> DataFrame:
+_written: list[str] = []
+
+
+def materialise(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     """Cut lineage: write the frame once as a table in the shared folder and read it back.
 
     Unlike a cached frame it outlives its executors, and later reads prune columns and
-    push filters down.
+    push filters down. ``schema`` may read a column as a user type stored the same way.
     """
     path = f"{scratch_folder(df.sparkSession).rstrip('/')}/defectlens-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+    _written.append(path)
+    return df.sparkSession.read.schema(df.schema if schema is None else schema).parquet(path)
 
-def _scanned_bytes(df: DataFrame) -> int:
-    """Estimated size of the tables a frame reads; nothing is run."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this process has written by :func:`materialise`.
 
-def spread(df: DataFrame, bytes_per_task: int = 4 << 20) -> DataFrame:
-    """Give a small input enough partitions for work that is costly per byte.
-
-    Few or small files, and small shuffles that adaptive execution merges, are processed
-    by few tasks. If the scanned tables are below ``bytes_per_task`` for every core the
-    rows are dealt out again; a large input is left as it is, without a shuffle.
+    Call it when no frame that was read from one is needed any more.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if _scanned_bytes(df) < cores * bytes_per_task else df
+    context = spark.sparkContext
+    while _written:
+        path = context._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def compact(df: DataFrame, bytes_per_task: int = 8 << 20) -> DataFrame:
-    """Fewer, fuller partitions for iterative work, where every pass pays per task.
+def placed(df: DataFrame, ident: str) -> DataFrame:
+    """Rows dealt out by their id and sorted by it, for work whose result depends on place.
 
-    A merge of neighbours, no shuffle; an input of many full partitions is unchanged.
+    Learners that draw rows draw per partition: with this the draw depends on the ids and
+    on ``spark.sql.shuffle.partitions``, not on how many files or cores there are.
     """
-    return df.coalesce(max(1, -(-_scanned_bytes(df) // bytes_per_task)))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, F.col(ident)).sortWithinPartitions(ident)

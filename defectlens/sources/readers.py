@@ -59,9 +59,10 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     """Task JSON lines; of several lines with one task_id the last in the file order wins.
 
     Lines are keyed by file position, and duplicates are combined by ``max_by`` before the
-    shuffle, so a much-repeated task costs one row per scan task.
+    shuffle, so a much-repeated task costs one row per scan task. A cut or mistyped line
+    fails the read.
     """
-    raw = spark.read.schema(TASKS).json(path).select(
+    raw = spark.read.schema(TASKS).option("mode", "FAILFAST").json(path).select(
         "*",
         F.struct(
             F.col("_metadata.file_path").alias("f"),
@@ -74,10 +75,14 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_code_files(spark: SparkSession, folder: str, split: str) -> DataFrame:
-    """All ``<model>--bigcodebench*.jsonl`` of one split: split, sample_model, task_id, solution."""
+    """All ``<model>--bigcodebench*.jsonl`` of one split: split, sample_model, task_id, solution.
+
+    A cut or mistyped line fails the read.
+    """
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl$", "")
     return (
         spark.read.schema(CODE_LINES)
+        .option("mode", "FAILFAST")
         .option("pathGlobFilter", "*.jsonl")
         .json(f"{folder}/{split}")
         .select(
@@ -90,7 +95,10 @@ def read_code_files(spark: SparkSession, folder: str, split: str) -> DataFrame:
 
 
 def read_eval_maps(spark: SparkSession, folder: str, split: str) -> DataFrame:
-    """All ``<model>--<split>_eval_results.json`` maps: split, eval_model, task_id, status."""
+    """All ``<model>--<split>_eval_results.json`` maps: split, eval_model, task_id, status.
+
+    A cut file, or a status that is no whole number, fails the read.
+    """
     suffix = EVAL_SUFFIX.format(split=split)
     return (
         spark.read.option("wholetext", True)
@@ -99,7 +107,7 @@ def read_eval_maps(spark: SparkSession, folder: str, split: str) -> DataFrame:
         .select(
             F.lit(split).alias("split"),
             F.replace(F.url_decode(F.col("_metadata.file_name")), F.lit(suffix), F.lit("")).alias("eval_model"),
-            F.explode(F.from_json("value", "map<string,int>")).alias("task_id", "status"),
+            F.explode(F.from_json("value", "map<string,int>", {"mode": "FAILFAST"})).alias("task_id", "status"),
         )
     )
 

@@ -102,7 +102,7 @@ def test_poisson_draws(spark, rate):
     from defectlens.functions.hashing import hash_uniform
 
     draws = spark.range(4000).select(
-        E._poisson_draw(F.lit(float(rate)), hash_uniform(1, F.col("id")), hash_uniform(2, F.col("id"))).alias("w")
+        E._poisson_draw(F.lit(float(rate)), hash_uniform(1, F.col("id"))).alias("w")
     ).toPandas()["w"]
     assert draws.mean() == pytest.approx(rate, rel=0.06)
     assert draws.var() == pytest.approx(rate, rel=0.12)
@@ -159,3 +159,16 @@ def test_family_drop(spark):
     )
     (row,) = E.family_drop(inside, held, families).collect()
     assert (row["n_models"], row["auc_drop"], row["f1_drop"], row["full_pct"]) == (2, 0.0477, 0.05, 66.0)
+
+
+@pytest.mark.parametrize("rate", [1, 5, 64, 65, 400, 30_000])
+def test_poisson_draws_follow_the_distribution(spark, rate):
+    n = 20_000
+    drawn = spark.range(n).select(E._poisson_draw(F.lit(float(rate)), (F.col("id") + 0.5) / n).alias("k")).toPandas()["k"]
+    # An even grid of u gives each count in proportion to its mass.
+    from math import exp, lgamma, log
+
+    counts = drawn.value_counts()
+    worst = max(abs(c / n - exp(k * log(rate) - rate - lgamma(k + 1))) for k, c in counts.items())
+    assert worst <= 2 / n
+    assert abs(drawn.mean() - rate) < 0.02 * rate ** 0.5 and abs(drawn.var() / rate - 1) < 0.02

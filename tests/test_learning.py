@@ -166,3 +166,32 @@ def test_held_out_family_never_reaches_training(spark):
     model = holdout.TextModel(others, ["loc"], grid=(1.0,), iterations=10)
     assert model.names().where("name like '%secret%'").count() == 0
     assert model.scored().count() == 80
+
+
+def test_boosting_goes_on_past_one_tree(spark, table):
+    params = {"rounds": 30, "step": 0.1, "depth": 3, "columns": "all"}
+    search = M.search_boosted(table.where("sample_id % 4 <> 0"), table.where("sample_id % 4 = 0"), [params])
+    assert 1 < search.model.getNumTrees <= 30
+
+
+def test_best_round():
+    assert M.best_round([3.0, 2.0, 1.0]) == 3
+    assert M.best_round([3.0, 1.0, 1.0, 2.0, 0.5], patience=3) == 5
+    assert M.best_round([3.0, 1.0, 1.0, 2.0, 2.0, 0.5], patience=3) == 2
+
+
+def test_trees_do_not_depend_on_files(spark, table, tmp_path):
+    params = {"rounds": 4, "step": 0.1, "depth": 3, "columns": "0.7"}
+    rows = table.drop("features")
+    models = []
+    for n in (1, 8):
+        rows.repartition(n).write.parquet(str(tmp_path / str(n)))
+        models.append(M.fit_boosted(P.static_vectors(spark.read.parquet(str(tmp_path / str(n))), COLUMNS), {**M.PLAIN_TREES, **params}))
+    assert models[0].toDebugString.split("\n")[1:] == models[1].toDebugString.split("\n")[1:]
+
+
+def test_fits_take_frames_made_in_memory(spark, rows):
+    x, y = rows
+    data = [(i, int(y[i]), *map(float, x[i])) for i in range(60)]
+    frame = P.static_vectors(spark.createDataFrame(data, "sample_id int, label int, a double, b double, c double"), COLUMNS)
+    assert M.search_logistic(frame, frame, [1.0]).best == 1.0

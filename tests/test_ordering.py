@@ -69,6 +69,25 @@ def test_null_key_is_a_group_of_its_own(spark):
 @given(st.lists(st.floats(-1e15, 1e15, allow_nan=False), min_size=2, max_size=40))
 def test_buckets_are_monotone(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    rows = sorted((r["v"], r["b"]) for r in df.select("v", O.magnitude_bucket(F.col("v")).alias("b")).collect())
-    buckets = [b for _, b in rows]
-    assert buckets == sorted(buckets)
+    placed = df.crossJoin(O.split_points(df, "v")).select("v", O.bucket_of(F.col("v"), F.col("_splits")).alias("b"))
+    rows = sorted((r["v"], r["b"]) for r in placed.collect())
+    assert [b for _, b in rows] == [len({w for w in values if w <= v}) for v, _ in rows]
+
+
+@pytest.mark.parametrize("expression", [
+    "1.7e9 + id", "1 - id / 1e10", "id * id * id", "if(id < 2, -1e300, id * 1e-12)", "if(id % 100 = 0, id, 0.5 + id / 1e9)",
+])
+def test_no_bucket_is_large(spark, expression):
+    df = spark.range(40_000).select(F.expr(expression).cast("double").alias("v"))
+    placed = df.crossJoin(O.split_points(df, "v")).select(O.bucket_of(F.col("v"), F.col("_splits")).alias("b"))
+    sizes = placed.groupBy("b").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] < 0.02 * 40_000 and sizes[1] > 1000
+
+
+def test_nan_is_the_largest_value(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(-1.0,), (1.0,), (2.0,), (3.0,), (nan,)], "v double")
+    got = {r["prob"]: r["quantile"] for r in O.exact_quantiles(df, "v", [0.0, 0.5, 1.0]).collect()}
+    assert got[0.0] == -1.0 and got[0.5] == 2.0 and np.isnan(got[1.0])
+    ranked = O.value_rank(spark.createDataFrame([(1, nan), (2, 0.5)], "id int, v double"), "v", "id")
+    assert {r["id"]: r["rank"] for r in ranked.collect()} == {2: 0, 1: 1}

@@ -168,3 +168,20 @@ def test_fixed_tables(spark):
     assert {f: len(m) for f, m in schema.MODEL_FAMILIES.items()} == {
         "GPT": 4, "Claude": 4, "Llama": 10, "DeepSeek": 12, "Mistral": 5, "Qwen": 6,
     }
+
+
+@pytest.mark.parametrize("text", ['{"t1": 1, "t2": ', '{"t1": "yes"}', "[1]"])
+def test_broken_eval_map_fails_the_read(spark, tmp_path, text):
+    (tmp_path / "good--complete_eval_results.json").write_text('{"t1": 1}')
+    (tmp_path / "bad--complete_eval_results.json").write_text(text)
+    with pytest.raises(Exception):
+        readers.read_eval_maps(spark, str(tmp_path), "complete").collect()
+
+
+@pytest.mark.parametrize("line", ['{"task_id": "t1", "solution": "x', "no object"])
+def test_broken_line_fails_the_read(spark, tmp_path, line):
+    folder = tmp_path / "complete"
+    folder.mkdir()
+    (folder / "m--bigcodebench.jsonl").write_text('{"task_id": "t0", "solution": "y"}\n' + line + "\n")
+    with pytest.raises(Exception):
+        readers.read_code_files(spark, str(tmp_path), "complete").collect()

@@ -98,6 +98,6 @@ def test_tfidf(spark, kind, limit):
 def test_assembled_row_lines_up(spark):
     static = spark.createDataFrame([(1, 2.0, None), (2, 0.0, 3.0)], "sample_id int, a double, b double")
     block = spark.createDataFrame([(1, 0, 0.5), (1, 2, 0.25)], "sample_id int, idx int, weight double")
-    rows = V.assemble(static, ["a", "b"], [block, block], [3, 3]).orderBy("sample_id").collect()
+    rows = V.as_vectors(V.assemble(static, ["a", "b"], [block, block], [3, 3])).orderBy("sample_id").collect()
     assert rows[0]["features"].toArray().tolist() == [2.0, 0.0, 0.5, 0.0, 0.25, 0.5, 0.0, 0.25]
     assert rows[1]["features"].toArray().tolist() == [0.0, 3.0, 0, 0, 0, 0, 0, 0]
