@@ -77,7 +77,7 @@ long AS (
   UNPIVOT (SELECT doc_id, lang, source, symbol_rate, dup_line_rate, repeat_rate, mean_word FROM rates)
   ON symbol_rate, dup_line_rate, repeat_rate, mean_word INTO NAME rate VALUE step),
 slack AS (
-  SELECT * FROM (VALUES ('symbol_rate', 100), ('dup_line_rate', 300), ('repeat_rate', 150), ('mean_word', 30))
+  SELECT * FROM (VALUES ('symbol_rate', 40), ('dup_line_rate', 400), ('repeat_rate', 300), ('mean_word', 30))
   t(rate, slack)),
 own AS (
   SELECT lang, source, rate, quantile_disc(step, 0.25) AS low, quantile_disc(step, 0.75) AS high

@@ -28,8 +28,9 @@ WINDOW = 8
 STEPS = 1000
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Rate -> slack, in steps: thousandths, and tenths of a character for the mean word.
-SLACK = {"symbol_rate": 100, "dup_line_rate": 300, "repeat_rate": 150, "mean_word": 30}
+#: Rate -> slack, in steps: thousandths, and tenths of a character for the mean word. Wide enough
+#: that ordinary texts of a group in which a rate hardly varies are kept.
+SLACK = {"symbol_rate": 40, "dup_line_rate": 400, "repeat_rate": 300, "mean_word": 30}
 SPREAD = 6
 
 
