@@ -159,12 +159,8 @@ def fit_tfidf(
     return counted.withColumn("idf", inverse_frequency(n_documents, F.col("df")))
 
 
-def tfidf_weights(
-    units: DataFrame, ident: str, kind: str, fitted: DataFrame, max_features: int = MAX_FEATURES
-) -> DataFrame:
-    """(id, idx, weight): (1 + ln tf) * idf, scaled to unit length per document."""
-    lookup = fitted.select("term", "idx", "idf")
-    counts = vocabulary_counts(units, ident, kind, lookup, max_features)
+def _scaled(counts: DataFrame, ident: str) -> DataFrame:
+    """(id, idx, weight) from (id, idx, tf, idf)."""
     raw = counts.select(ident, "idx", ((1 + F.log("tf")) * F.col("idf")).alias("_w"))
     # At most max_features rows per document, placed by document already.
     whole = Window.partitionBy(ident)
@@ -174,6 +170,42 @@ def tfidf_weights(
     )
 
 
+def tfidf_weights(
+    units: DataFrame, ident: str, kind: str, fitted: DataFrame, max_features: int = MAX_FEATURES
+) -> DataFrame:
+    """(id, idx, weight) under a fitted vectoriser: (1 + ln tf) * idf, of unit length per document."""
+    lookup = fitted.select("term", "idx", "idf")
+    return _scaled(vocabulary_counts(units, ident, kind, lookup, max_features), ident)
+
+
+def fit_and_weigh(
+    units: DataFrame, ident: str, kind: str, n_documents: Column, max_features: int = MAX_FEATURES,
+    train: Column | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The fitted vectoriser, and the weights of all documents under it.
+
+    ``train`` tells the units to fit on, by columns that ride along with them. Terms are cut,
+    looked up and counted once, in a written table of (id, idx, tf): document frequencies and
+    weights both follow from it.
+    """
+    flag = F.lit(True) if train is None else train
+    flagged = units.select(ident, "unit", "n", flag.alias("_train"))
+    vocab = materialise(vocabulary(flagged.where("_train"), kind, max_features)).select("term", "idx")
+    known = _bounded(vocab, max_features)
+    if kind == "word":  # a term is a unit, which each document has once
+        counts = _terms(flagged, kind, ident, "_train").join(known, "term").select(
+            ident, "_train", "idx", F.col("n").alias("tf"))
+    else:
+        cut = _terms(flagged.repartition(ident), kind, ident, "_train").join(known, "term")
+        counts = cut.groupBy(ident, "_train", "idx").agg(F.sum("n").alias("tf"))
+    counts = materialise(counts)
+    frequency = counts.where("_train").groupBy("idx").agg(F.count("*").alias("df"))
+    fitted = materialise(known.join(frequency, "idx").select(
+        "term", "idx", "df", inverse_frequency(n_documents, F.col("df")).alias("idf")))
+    lookup = _bounded(fitted.select("idx", "idf"), max_features)
+    return fitted, _scaled(counts.drop("_train").join(lookup, "idx"), ident)
+
+
 def with_term(weights: DataFrame, fitted: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
     """Weights with the term of each position."""
     return weights.join(_bounded(fitted.select("idx", "term"), max_features), "idx")

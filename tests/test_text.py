@@ -101,3 +101,18 @@ def test_assembled_row_lines_up(spark):
     rows = V.as_vectors(V.assemble(static, ["a", "b"], [block, block], [3, 3])).orderBy("sample_id").collect()
     assert rows[0]["features"].toArray().tolist() == [2.0, 0.0, 0.5, 0.0, 0.25, 0.5, 0.0, 0.25]
     assert rows[1]["features"].toArray().tolist() == [0.0, 3.0, 0, 0, 0, 0, 0, 0]
+
+
+@pytest.mark.parametrize("kind", ["word", "char"])
+def test_fitting_and_weighing_at_once(spark, kind):
+    df = spark.createDataFrame(list(enumerate(SAMPLES)), "id int, t string")
+    units = V.UNITS[kind](df, "id", "t")
+    some = F.col("id") % 2 == 0
+    n = sum(i % 2 == 0 for i in range(len(SAMPLES)))
+    fitted, weights = V.fit_and_weigh(units, "id", kind, F.lit(n), 50, some)
+    alone = V.fit_tfidf(units.where(some), "id", kind, F.lit(n), 50)
+    order = ["term", "idx", "df", "idf"]
+    assert sorted(fitted.select(order).collect()) == sorted(alone.select(order).collect())
+    apart = V.tfidf_weights(units, "id", kind, alone, 50)
+    got = {(r["id"], r["idx"]): r["weight"] for r in weights.collect()}
+    assert got == pytest.approx({(r["id"], r["idx"]): r["weight"] for r in apart.collect()})
