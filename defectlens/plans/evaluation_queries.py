@@ -315,6 +315,33 @@ def family_eval(spark, sf_dir):
     return _rounded(evaluation.family_metrics(scored, text_families(scored)), "auc", "f1")
 
 
+_HALF = "sample_id % 2 = 0"
+
+
+@query("family_drop_given", f"""{PREDICTED}, fam AS (
+  SELECT sample_id, model_name, label, score, {TEXT_FAMILY} AS family, (score >= 0.39::DOUBLE)::INTEGER AS pred FROM predicted),
+half AS (SELECT * FROM fam WHERE {_HALF}),
+a AS ({auc_sql('fam', by='family')}), f AS (SELECT family, coalesce({F1_SQL}, 0) AS f1 FROM fam GROUP BY family),
+b AS ({auc_sql('half', by='family')}),
+g AS (SELECT family, coalesce({F1_SQL}, 0) AS f1, count(*) AS n FROM half GROUP BY family),
+m AS (SELECT family, count(DISTINCT model_name) AS n FROM fam GROUP BY family)
+SELECT a.family, m.n AS n_models, g.n AS n_test_rows, round(a.auc, 4) AS in_dist_auc, round(b.auc, 4) AS ood_auc,
+       round(a.auc - b.auc, 4) AS auc_drop, round(f.f1, 4) AS in_dist_f1, round(g.f1, 4) AS ood_f1,
+       round(f.f1 - g.f1, 4) AS f1_drop, 0.39::DOUBLE AS ood_threshold, round(a.auc * 100, 1) AS full_pct,
+       round(b.auc * 100, 1) AS loo_pct
+FROM a JOIN f USING (family) JOIN b USING (family) JOIN g USING (family) JOIN m USING (family)""")
+def family_drop_given(spark, sf_dir):
+    """The loss per family between two given results: on all rows, and on every other row."""
+    scored = scored_texts(spark, sf_dir)
+    families = text_families(scored)
+    half = scored.where(_HALF)
+    sizes = half.join(families, "model_name").groupBy("family").agg(F.count("*").alias("n_test_rows"))
+    held_out = evaluation.family_metrics(half, families).select(
+        "family", F.col("auc").alias("ood_auc"), F.col("f1").alias("ood_f1"), F.lit(0.39).alias("ood_threshold")
+    ).join(sizes, "family")
+    return evaluation.family_drop(evaluation.family_metrics(scored, families), held_out, families)
+
+
 # ---------------------------------------------------------------- explanation
 
 WEIGHTS = {"l_quantity": -0.031, "l_extendedprice": 0.00002, "l_discount": 1.7, "l_tax": -2.5}
@@ -360,6 +387,15 @@ def shap_ranking(spark, sf_dir):
     return explain.explain_linear(done, open_, {"o_totalprice": 0.00001, "o_custkey": -0.003}, key="o_orderkey")
 
 
+@query("top_coefficients_given", """
+WITH c AS (SELECT s_name AS name, s_acctbal AS coefficient FROM supplier)
+SELECT * FROM (SELECT name, coefficient, 'fail' AS side FROM c ORDER BY coefficient, name LIMIT 20)
+UNION ALL SELECT * FROM (SELECT name, coefficient, 'pass' AS side FROM c ORDER BY coefficient DESC, name LIMIT 20)""")
+def top_coefficients_given(spark, sf_dir):
+    given = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("coefficient"))
+    return explain.top_coefficients(given)
+
+
 # ---------------------------------------------------------------- triage
 
 @query("risk_ranking", f"""WITH {SCORED_TEXTS}, r AS (

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..learning import holdout, preparation, training
 from ..operators import codefeatures, evaluation, explain
+from ..operators.relational import union_all
 from ..operators.splits import group_split, stratified_group_folds
 from ..schema import FEATURE_COLUMNS
 from ..session import materialise
@@ -87,7 +88,7 @@ def gbt_static(spark, sf_dir):
 @query("rf_static")
 def rf_static(spark, sf_dir):
     folds = _static(spark, sf_dir)
-    return training.report(training.fit_forest(folds["train"], trees=50), folds, "random forest, static")
+    return training.report(training.fit_forest(folds["train"]), folds, "random forest, static")
 
 
 @query("gbt_fixed")
@@ -98,6 +99,61 @@ def gbt_fixed(spark, sf_dir):
     return training.report(model, folds, "boosted trees, one setting")
 
 
+def _static_models(spark, sf_dir):
+    """Features by fold with their vectors, and two models fitted on them."""
+    features = materialise(_features(spark, sf_dir))
+    folds = _by_fold(materialise(preparation.static_vectors(features, FEATURE_COLUMNS)))
+    models = {
+        "logreg": training.search_logistic(folds["train"], folds["val"]).model,
+        "boosted": training.search_boosted(folds["train"], folds["val"], SHORT_TREES[:1]).model,
+    }
+    return folds, models
+
+
+@query("model_predictions")
+def model_predictions(spark, sf_dir):
+    """The predictions table of the test fold: probability and call of each model."""
+    folds, models = _static_models(spark, sf_dir)
+    predicted = training.with_predictions(folds["test"].select("sample_id", "label", "features"), models)
+    return predicted.drop("features")
+
+
+@query("model_cutoffs")
+def model_cutoffs(spark, sf_dir):
+    """Each model on test at the default cutoff and at the one that is best on validation."""
+    folds, models = _static_models(spark, sf_dir)
+    return union_all(*[
+        evaluation.threshold_apply(training.score(m, folds["val"]), training.score(m, folds["test"])).select(
+            F.lit(name).alias("model"), "setting", "threshold", *[F.round(c, 4).alias(c) for c in ("auc", "f1", "accuracy")])
+        for name, m in models.items()
+    ])
+
+
+@query("model_intervals")
+def model_intervals(spark, sf_dir):
+    """Resampled intervals of AUC and F1 on test, one row per model."""
+    folds, models = _static_models(spark, sf_dir)
+    predicted = materialise(training.with_predictions(folds["test"].select("sample_id", "label", "features"), models).drop("features"))
+    rows = []
+    for name in models:
+        interval = {
+            metric: evaluation.bootstrap_interval(predicted, metric, f"{name}_{column}", seed=SEED).select(
+                F.round("point", 4).alias(metric), F.round("low", 4).alias(f"{metric}_low"), F.round("high", 4).alias(f"{metric}_high"))
+            for metric, column in (("auc", "prob"), ("f1", "pred"))
+        }
+        # Both sides are one row.
+        rows.append(interval["auc"].crossJoin(interval["f1"]).select(F.lit(name).alias("model"), "*"))
+    return union_all(*rows)
+
+
+@query("model_contributions")
+def model_contributions(spark, sf_dir):
+    """What each feature adds to the fitted logistic model's scores on test."""
+    folds, models = _static_models(spark, sf_dir)
+    weights = dict(zip(FEATURE_COLUMNS, models["logreg"].coefficients.toArray().tolist()))
+    return explain.explain_linear(folds["train"], folds["test"], weights)
+
+
 @query("tree_importance")
 def tree_importance(spark, sf_dir):
     folds = _static(spark, sf_dir)
