@@ -3,10 +3,10 @@
 A window is ``WINDOW`` consecutive words of one document; it is a copy if its words also start in a
 document of smaller id. All documents are reference and text to parse at once:
 
-1. Anchors cut every text at places that depend on its words alone: of each window, the ``GRAM``-word
-   sequence of least hash. An anchor stands for a run of consecutive windows, and equal windows
-   have equal anchors at equal places. Runs whose anchor no other document has are done: this
-   leaves the repeated part of the texts, and is the only step that shuffles a row per run.
+1. Anchors cut every text at places that depend on its words alone: of each window, the least hash
+   of its ``GRAM``-word sequences. An anchor stands for a run of consecutive windows, and equal
+   windows have equal anchors. Runs whose anchor no other document has are done: this leaves the
+   repeated part of the texts. A word repeated over and over is one run.
 2. The reference is indexed in blocks by anchor. Runs of one anchor with equal words throughout are
    one entry, with its smallest document, so the inside of copies, of whole texts too, is settled
    here without looking at words again.
@@ -21,8 +21,8 @@ Phrases are compared by 64-bit hash. Words are maximal runs of characters other
 any document, but not of each other. Equal rows of one doc_id are judged alike, and rows of one doc_id
 with different texts are no copies of each other. Only doc_id and text are read; an empty table
 gives no rows. An anchor or phrase that a third of all documents hold is one value: smallest
-documents are found with partial minima before the shuffle, and joins back are ordinary ones that
-adaptive execution can split.
+documents are found with partial minima before the shuffle and written, so that the joins back are
+exchanges of their own, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -68,10 +68,11 @@ def anchors(first: np.ndarray, hashes: np.ndarray, window: int, gram: int) -> tu
     starts = ranges(first[:-1], np.maximum(np.diff(first) - window + 1, 0))
     chosen = least[starts] if len(starts) else np.zeros(0, np.int64)
     new = np.ones(len(starts), dtype=bool)
-    new[1:] = (np.diff(chosen) != 0) | (np.diff(text) != 0)
+    anchor = grams[chosen]
+    new[1:] = (anchor[1:] != anchor[:-1]) | (np.diff(text) != 0)
     begin = np.flatnonzero(new)
     count = np.diff(np.append(begin, len(starts)))
-    return grams[chosen[begin]], text[begin], starts[begin] - first[text[begin]], count
+    return anchor[begin], text[begin], starts[begin] - first[text[begin]], count
 
 
 def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,16 +138,18 @@ def _per_text(runs: DataFrame) -> DataFrame:
 
 def copied_runs(texts: DataFrame, window: int, gram: int) -> DataFrame:
     """(id, name, start, count): runs of windows that also start in a text of smaller id."""
-    every = _runs(texts, window, gram).repartition("anchor")  # one exchange: count and join
-    shared = every.groupBy("anchor").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    runs = materialise(every.join(shared.select("anchor", "first"), "anchor"))
-    entries = runs.groupBy("anchor", "words").agg(F.min("id").alias("least"))
+    every = materialise(_runs(texts, window, gram))
+    ends = every.groupBy("anchor").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    shared = materialise(ends.where("first < last").select("anchor"))
+    runs = materialise(every.join(shared, "anchor", "left_semi"))
+    entries = materialise(runs.groupBy("anchor", "words").agg(F.min("id").alias("least")))
     differing = entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1").select("anchor")
     known = materialise(runs.join(entries, ["anchor", "words"]))
     whole = known.where("least < id").select("id", "name", "start", "count")
-    edges = known.where("least = id").join(differing, "anchor", "left_semi")
+    edges = known.where("least = id").join(materialise(differing), "anchor", "left_semi")
     phrases = materialise(_phrases(texts.join(_per_text(edges), ["id", "name"]), window))
-    least = phrases.groupBy("phrase").agg(F.min("id").alias("least"))
+    least = materialise(phrases.groupBy("phrase").agg(F.min("id").alias("least"), F.max("id").alias("last"))
+                        .where("least < last").select("phrase", "least"))
     single = phrases.join(least, "phrase").where("least < id")
     return whole.unionByName(single.select("id", "name", F.col("at").alias("start"), F.lit(1).alias("count")))
 
