@@ -1,8 +1,7 @@
 """Predictors that need no training: each returns the test rows with ``pred`` and ``score``.
 
-Percentiles here are of line counts. Those take few distinct values, bounded by the
-longest program, and the exact percentile aggregate holds value counts combined before
-the shuffle, so one aggregate is enough at any number of rows.
+Medians and percentiles are exact and come from counts of equal values, cut into buckets:
+no task holds all values of a column.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import hash_uniform
 from .evaluation import f1_of
+from .ordering import exact_quantiles
 from .relational import max_normalise
 
 LOC = "classical_loc"
@@ -38,8 +38,8 @@ def longer_than_median(
 ) -> DataFrame:
     """Pass if longer than the train median of the task, or than the overall train median
     for tasks that train does not have (all of them after a split by task)."""
-    by_task = train.groupBy(group).agg(F.median(loc).alias("_median"))
-    overall = train.agg(F.median(loc)).scalar()
+    by_task = exact_quantiles(train, loc, [0.5], [group]).select(group, F.col("quantile").alias("_median"))
+    overall = exact_quantiles(train, loc, [0.5]).select("quantile").scalar()
     judged = test.join(by_task, group, "left").withColumn(
         "pred", (F.col(loc) > F.coalesce("_median", overall)).cast("int")
     )
@@ -48,13 +48,10 @@ def longer_than_median(
 
 def loc_cutoffs(train: DataFrame, loc: str = LOC) -> DataFrame:
     """One row, one array: (percent, cutoff) at percentiles 10, 15 ... 90 of train line counts."""
-    shares = F.array(*[F.lit(p / 100) for p in PERCENTS])
-    names = F.array(*[F.lit(p) for p in PERCENTS])
-    return train.agg(F.percentile(loc, shares).alias("_q")).select(
-        F.zip_with(
-            names, "_q", lambda p, q: F.struct(p.alias("percent"), q.alias("cutoff"))
-        ).alias("cutoffs")
-    )
+    cuts = exact_quantiles(train, loc, [p / 100 for p in PERCENTS])  # one row each
+    percent = F.round(F.col("prob") * 100).cast("int")
+    return cuts.agg(
+        F.sort_array(F.collect_list(F.struct(percent.alias("percent"), F.col("quantile").alias("cutoff")))).alias("cutoffs"))
 
 
 def best_loc_cutoff(

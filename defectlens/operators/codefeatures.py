@@ -12,6 +12,7 @@ from ..functions.text import (
     parse_libs, text_or_empty,
 )
 from ..session import materialise
+from .ordering import exact_quantiles
 from .relational import available
 
 PARSED = "_parsed"
@@ -175,15 +176,13 @@ def relative_length(
 ) -> DataFrame:
     """Add ``smell_relative_length`` = loc / max(median loc of the same keys, 1).
 
-    Line counts take few distinct values, and the median aggregate holds value counts
-    combined before the shuffle, so even a task with a third of all rows stays small.
-    The medians are written first: with their size known, the planner need not shuffle
-    the rows by task. A row without a key has no median and gets null.
+    Medians come from counts of equal values, so a task with a third of all rows is no
+    single group. They are written first: with their size known, the planner need not
+    shuffle the rows by task. A row without a key has no median and gets null.
     """
     keys = list(keys)
-    medians = materialise(
-        df.groupBy(*keys).agg(F.greatest(F.median(loc), F.lit(1.0)).alias("_median"))
-    )
+    halves = exact_quantiles(df, loc, [0.5], keys)
+    medians = materialise(halves.select(*keys, F.greatest("quantile", F.lit(1.0)).alias("_median")))
     return df.join(medians, keys, "left").select(
         *df.columns, F.round(F.col(loc) / F.col("_median"), 4).alias("smell_relative_length")
     )

@@ -53,17 +53,13 @@ def split_summary(df: DataFrame, group: str = "task_id") -> DataFrame:
 
 def split_overlap(df: DataFrame, group: str = "task_id") -> DataFrame:
     """Number of groups that two folds share; every count is 0 for a clean split."""
-    def groups(fold):
-        return df.where(F.col("fold") == fold).select(group)
-
+    folds = ("train", "val", "test")
+    held = df.groupBy(group).agg(*[F.bool_or(F.col("fold") == f).alias(f) for f in folds])
     pairs = [("train", "val"), ("train", "test"), ("val", "test")]
-    counts = [
-        groups(a).intersect(groups(b)).agg(
-            F.lit(f"{a}-{b}").alias("pair"), F.count("*").alias("n_shared")
-        )
-        for a, b in pairs
-    ]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    counts = held.agg(F.array(*[
+        F.struct(F.lit(f"{a}-{b}").alias("pair"), F.count_if(F.col(a) & F.col(b)).alias("n_shared")) for a, b in pairs
+    ]).alias("counts"))
+    return counts.select(F.explode("counts").alias("c")).select("c.*")
 
 
 def stratified_group_folds(

@@ -21,7 +21,7 @@ MAX_FEATURES = 10_000
 WORD_SIZES = (1, 2)
 CHAR_SIZES = (2, 4)
 
-# Broadcasting the vocabulary is limited to this many rows; above it the join shuffles.
+# The vocabulary is broadcast, so it may have this many rows at most.
 _BROADCAST_TERMS = 100_000
 
 
@@ -115,7 +115,9 @@ def vocabulary(units: DataFrame, kind: str, max_features: int = MAX_FEATURES) ->
 
 
 def _bounded(table: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(table) if rows <= _BROADCAST_TERMS else table
+    if rows > _BROADCAST_TERMS:
+        raise ValueError(f"a vocabulary may have {_BROADCAST_TERMS} terms, not {rows}")
+    return F.broadcast(table)
 
 
 def vocabulary_counts(
