@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .tables import materialise
+from .tables import join_apart, materialise
 
 _FIRST = -(1 << 63)
 
@@ -54,7 +54,7 @@ def _repeated(level: DataFrame) -> DataFrame:
         level.groupBy("name").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1").select("name", "first")
     )
-    return level.join(intervals, "name").select(*level.columns, (at != F.col("first")).alias("later"))
+    return join_apart(level, intervals, "name").select(*level.columns, (at != F.col("first")).alias("later"))
 
 
 def levels(docs: DataFrame, long_line: int) -> list[tuple[int, DataFrame]]:
