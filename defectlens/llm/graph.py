@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .tables import materialise
+from .tables import join_apart, materialise
 
 
 def _pointed(edges: DataFrame, larger: DataFrame) -> DataFrame:
     """(v, m): the far ends v of ``larger`` (u, v) with the smallest node m next to u, or u."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return larger.join(least, "u")
+    return join_apart(larger, least, "u")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ nothing. Two sets are linked if their intersection has ``PERCENT`` of their unio
    values at a time. In a region, classes are sorted by the next values, so that those with the
    longest common prefix are neighbours; neighbours whose sketches agree in ``LEAST`` of all values
    are candidates, and if a region does not hang together by its neighbours all its pairs of
-   sketches are compared. Only a spanning forest of candidates leaves a region.
+   sketches are compared. Only a spanning forest of candidates leaves a region. A region that is
+   crowded at the greatest depth is dealt over parts that have ``HUBS`` or so members in common.
 3. Candidates hang together in families. The texts of a family's classes are hashed again, and its
    links are confirmed on the whole sets by a search through an inverted index, which yields a
    spanning forest of the links. A family beyond ``BLOCK`` sets is dealt over blocks, and every
@@ -19,8 +20,10 @@ nothing. Two sets are linked if their intersection has ``PERCENT`` of their unio
 4. Components of the links name the groups.
 
 A pair at the limit shares no region with probability (1 - 0.75 ** 4) ** 32, about five in a million.
-Rows of equal doc_id are judged by their own text each. A row without doc_id takes no part: its
-component is null. Only doc_id and text are read; an empty table gives no rows.
+A row belongs to the class of its text; classes are named by their smallest doc_id, and different
+texts that give the same name (rows of one doc_id) count as one class with the links of each. A
+row without doc_id takes no part: its component is null. Only doc_id and text are read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
-from .tables import materialise, ship
+from .tables import join_apart, materialise, ship
 from .words import as_texts, chunks, find_words, mix, ranges, span_hashes, window_hashes
 
 SHINGLE = 5
@@ -41,8 +44,9 @@ VALUES = 128
 TREES, DEPTH, DEEPER = 32, 4, 2
 LEAST = 0.55
 CROWDED = 2048
-PAIRS = 512
-BLOCK = 4096
+HUBS = 64
+PAIRS = 4096
+BLOCK = 1024
 SET_CHUNK = 2 << 20
 
 
@@ -148,19 +152,24 @@ def forest(classes: DataFrame) -> DataFrame:
 def _regions(trees: DataFrame) -> DataFrame:
     """Members of regions of two or more, each region at the depth where it is not crowded."""
     def sized(rows: DataFrame) -> DataFrame:
-        rows = rows.repartition("region")  # one exchange serves the count and the join
         sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        return materialise(rows.join(sizes, "region"))
+        return materialise(join_apart(rows, sizes, "region"))
 
     def split(rows: DataFrame, by: str) -> DataFrame:
         return rows.where(F.col("members") > CROWDED).select(
             "node", F.xxhash64("region", by).alias("region"), "near", "far")
 
-    top = sized(trees)
+    top = sized(materialise(trees))
     middle = sized(split(top, "near"))
     deep = sized(split(middle, "far"))
     calm = F.col("members") <= CROWDED
-    return top.where(calm).unionByName(middle.where(calm)).unionByName(deep).drop("members")
+    parts = F.ceil(F.col("members") / CROWDED).cast("int")
+    hub = F.pmod(F.xxhash64("node", F.lit(1)), F.col("members")) < HUBS
+    own = F.when(hub, F.sequence(F.lit(0), parts - 1)).otherwise(
+        F.array(F.pmod(F.xxhash64("node"), parts).cast("int")))
+    dealt = deep.where(~calm).withColumn("part", F.explode(own)).withColumn("region", F.xxhash64("region", "part"))
+    calmed = top.where(calm).unionByName(middle.where(calm)).unionByName(deep.where(calm))
+    return calmed.unionByName(dealt.drop("part")).drop("members")
 
 
 class Forest:
