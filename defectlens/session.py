@@ -63,15 +63,21 @@ def materialise(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema if schema is None else schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that this process has written by :func:`materialise`.
+def written_tables() -> list[str]:
+    """The folders that :func:`materialise` has written and :func:`release` has not deleted."""
+    return list(_written)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete these tables, or all, that this process has written by :func:`materialise`.
 
     Call it when no frame that was read from one is needed any more.
     """
     context = spark.sparkContext
-    while _written:
-        path = context._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in list(_written) if paths is None else [p for p in paths if p in _written]:
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _written.remove(name)
 
 
 def placed(df: DataFrame, ident: str) -> DataFrame:
