@@ -10,10 +10,10 @@ of token pairs. The table of all pairs would have the vocabulary's square as its
 gadgets are kept as they were applied (``left``, ``right``, ``born``, ``lost``) and an arc is worked
 out when first asked for, then read from the table.
 
-A word is encoded left to right: every prefix has one tokenisation, whose last token is the state
-at that place; from it, every vocabulary token that the next bytes spell is tried as an arc, and
-marks the state at its end. Reading the states back gives the tokens. The work is linear in the
-word for a bounded token length; nothing depends on a merge queue.
+A word is encoded by following arcs from the start, the longest vocabulary token that the next bytes
+spell first, a shorter one if the table has no arc or its way ends. A prefix has one tokenisation,
+so a place that was left is never tried again: the work is linear in the word for a bounded
+token length, and nothing depends on a merge queue.
 
 Texts are cut into words by the byte-level pattern of the vocabulary, special strings first. A
 null text has no tokens and decodes to an empty text. Equal rows are encoded alike; other columns
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -37,7 +38,7 @@ from .words import chunks
 
 #: Fixed value: the word pattern of byte-level vocabularies.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 CACHE_WORD_CHARS = 64
 PAIR_CACHE = 2_000_000
 
@@ -50,6 +51,43 @@ def byte_letters() -> dict[str, int]:
     return letters
 
 
+def plane_pattern() -> re.Pattern:
+    """The word pattern for texts of the basic plane, its classes spelled out: the standard library
+    looks up a class of such characters in one step. They are taken from the same engine as the
+    general pattern, so that both cut alike."""
+    plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+
+    def spelled(name: str) -> str:
+        runs = (m.span() for m in regex.finditer(f"{name}+", plane))
+        return "".join(f"\\u{ord(plane[a]):04x}-\\u{ord(plane[b - 1]):04x}" for a, b in runs)
+
+    classes = {name: spelled(f"\\{name}") for name in ("p{L}", "p{N}", "s")}
+    pattern = WORD_PATTERN.replace("[^\\s\\p{L}\\p{N}]", "[^" + "".join(classes.values()) + "]")
+    pattern = pattern.replace("\\S", f"[^{classes['s']}]")
+    for name, members in classes.items():
+        pattern = pattern.replace(f"\\{name}", f"[{members}]")
+    return re.compile(pattern)
+
+
+_BEYOND_PLANE = re.compile("[\U00010000-\U0010ffff]")
+
+
+class Words(dict):
+    """Token ids, four bytes each, of words met before; a new word is encoded and kept if it is
+    short and there is room, for which all others are let go."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array(self.encode(word.encode()), dtype="<u4").tobytes()
+        if len(word) <= CACHE_WORD_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Vocabulary:
     """Labels and merges, small enough to send to every executor: bounded by the file's size."""
 
@@ -89,9 +127,10 @@ class Automaton:
             if token not in self.special.values() and self._reachable(token):
                 self._spell(label, token)
         names = sorted(self.special, key=len, reverse=True)
-        self.words = regex.compile(WORD_PATTERN)
+        self.words, self.plane_words = regex.compile(WORD_PATTERN), plane_pattern()
+        self.label_of = [self.labels.get(i, b"") for i in range(size)]
         self.marks = regex.compile("|".join(map(regex.escape, names))) if names else None
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.known = Words(self._word)
 
     def _add_gadget(self, step: int, a: int, b: int, ab: int) -> None:
         self.lost.setdefault((a, b), step)
@@ -138,60 +177,68 @@ class Automaton:
             node = after
         self.token_at[node] = token
 
-    def _word(self, data: bytes) -> tuple[int, ...]:
-        trie, token_at, arcs, follows = self.trie, self.token_at, self.arcs, self.follows
-        n = len(data)
-        state, back = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(n):
-            at, node = state[i], 0
-            for j in range(i, n):
-                node = trie[node].get(data[j])
-                if node is None:
-                    break
-                token = token_at[node]
-                if token >= 0:
-                    if at < 0:  # the start of the word
-                        allowed = True
-                    else:
-                        allowed = arcs.get(at << 32 | token)
-                        if allowed is None:
-                            allowed = follows(at, token)
-                    if allowed:
-                        state[j + 1], back[j + 1] = token, i
-        out, i = [], n
-        while i:
-            out.append(state[i])
-            i = back[i]
-        return tuple(out[::-1])
+    def _spelled(self, data: bytes, start: int) -> list[tuple[int, int]]:
+        """End and token of each vocabulary token that the bytes from ``start`` on spell."""
+        trie, token_at, found, node = self.trie, self.token_at, [], 0
+        for end in range(start, len(data)):
+            node = trie[node].get(data[end])
+            if node is None:
+                break
+            if token_at[node] >= 0:
+                found.append((end + 1, token_at[node]))
+        return found
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
+    def _word(self, data: bytes) -> list[int]:
+        arcs, follows, n = self.arcs, self.follows, len(data)
+        tokens, ends, dead, state = [], [0], set(), -1
+        open_ = [self._spelled(data, 0)]
+        while True:
+            options = open_[-1]
+            while options:
+                end, token = options.pop()
+                if end in dead:
+                    continue
+                allowed = state < 0 or arcs.get(state << 32 | token)
+                if allowed is None:
+                    allowed = follows(state, token)
+                if allowed:
+                    break
+            else:  # no way on: this place is not on the path
+                dead.add(ends.pop())
+                open_.pop()
+                tokens.pop()
+                state = tokens[-1] if tokens else -1
+                continue
+            tokens.append(token)
+            if end == n:
+                return tokens
+            ends.append(end)
+            open_.append(self._spelled(data, end))
+            state = token
+
+    def encode_bytes(self, text: str | None) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
         if not text:
-            return out
-        start = 0
+            return b""
+        parts, start = [], 0
         if self.marks is not None:
             for mark in self.marks.finditer(text):
-                self._plain(text[start:mark.start()], out)
-                out.append(self.special[mark[0]])
+                parts.append(self._plain(text[start:mark.start()]))
+                parts.append(np.array([self.special[mark[0]]], dtype="<u4").tobytes())
                 start = mark.end()
-        self._plain(text[start:] if start else text, out)
-        return out
-
-    def _plain(self, text: str, out: list[int]) -> None:
-        cache = self.cache
-        for word in self.words.findall(text):
-            ids = cache.get(word)
-            if ids is None:
-                ids = self._word(word.encode())
-                if len(word) <= CACHE_WORD_CHARS:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    cache[word] = ids
-            out += ids
+        parts.append(self._plain(text[start:] if start else text))
+        return b"".join(parts)
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), dtype="<u4").tolist()
+
+    def _plain(self, text: str) -> bytes:
+        words = self.words if _BEYOND_PLANE.search(text) else self.plane_words
+        return b"".join(map(self.known.__getitem__, words.findall(text)))
 
     def decode(self, ids) -> str:
         """The labels of the arcs, in order; bytes that are not UTF-8 become the replacement sign."""
-        return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", errors="replace")
+        return b"".join(map(self.label_of.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
 _built: dict[str, Automaton] = {}
@@ -222,10 +269,11 @@ def encode_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
             for part in chunks(batch):
                 counts, ids, digests = [], [], []
                 for text in part.column("text").to_pylist():
-                    tokens = automaton.encode(text)
-                    counts.append(len(tokens))
-                    ids.append(np.array(tokens, dtype="<u4").tobytes())
-                    digests.append(hashlib.sha256(automaton.decode(tokens).encode()).hexdigest())
+                    coded = automaton.encode_bytes(text)
+                    counts.append(len(coded) // 4)
+                    ids.append(coded)
+                    decoded = automaton.decode(np.frombuffer(coded, dtype="<u4").tolist())
+                    digests.append(hashlib.sha256(decoded.encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()),
                      pa.array(ids, pa.binary()), pa.array(digests, pa.string())],
