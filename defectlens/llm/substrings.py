@@ -21,8 +21,8 @@ Phrases are compared by 64-bit hash. Words are maximal runs of characters other
 any document, but not of each other. Equal rows of one doc_id are judged alike, and rows of one doc_id
 with different texts are no copies of each other. Only doc_id and text are read; an empty table
 gives no rows. An anchor or phrase that a third of all documents hold is one value: smallest
-documents are found with partial minima before the shuffle and written, so that the joins back are
-exchanges of their own, which adaptive execution splits.
+documents are found with partial minima before the shuffle, and the joins back have exchanges of
+their own, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .tables import materialise, ship
+from .tables import join_apart, materialise, ship
 from .words import as_texts, chunks, find_words, mix, ranges, span_hashes, window_hashes
 
 WINDOW = 50
@@ -140,17 +140,19 @@ def copied_runs(texts: DataFrame, window: int, gram: int) -> DataFrame:
     """(id, name, start, count): runs of windows that also start in a text of smaller id."""
     every = materialise(_runs(texts, window, gram))
     ends = every.groupBy("anchor").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    shared = materialise(ends.where("first < last").select("anchor"))
-    runs = materialise(every.join(shared, "anchor", "left_semi"))
-    entries = materialise(runs.groupBy("anchor", "words").agg(F.min("id").alias("least")))
+    shared = ends.where("first < last").select("anchor")
+    runs = materialise(join_apart(every, shared, "anchor", "left_semi"))
+    entries = runs.groupBy("anchor", "words").agg(F.min("id").alias("least"))
     differing = entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1").select("anchor")
-    known = materialise(runs.join(entries, ["anchor", "words"]))
+    # Joined by the hash of both, so that the exchanges are not those of the grouping.
+    both = F.xxhash64("anchor", "words").alias("both")
+    pairs = entries.select(both, F.col("anchor").alias("of"), F.col("words").alias("all"), "least")
+    known = materialise(runs.withColumn("both", both).join(pairs, "both").where("anchor = of and words = all"))
     whole = known.where("least < id").select("id", "name", "start", "count")
-    edges = known.where("least = id").join(materialise(differing), "anchor", "left_semi")
+    edges = join_apart(known.where("least = id"), differing, "anchor", "left_semi")
     phrases = materialise(_phrases(texts.join(_per_text(edges), ["id", "name"]), window))
-    least = materialise(phrases.groupBy("phrase").agg(F.min("id").alias("least"), F.max("id").alias("last"))
-                        .where("least < last").select("phrase", "least"))
-    single = phrases.join(least, "phrase").where("least < id")
+    ends = phrases.groupBy("phrase").agg(F.min("id").alias("least"), F.max("id").alias("last"))
+    single = join_apart(phrases, ends.where("least < last").select("phrase", "least"), "phrase").where("least < id")
     return whole.unionByName(single.select("id", "name", F.col("at").alias("start"), F.lit(1).alias("count")))
 
 
