@@ -10,11 +10,13 @@ Stages, in order, each with the operator it calls and what it does to the docume
 - decontamination: documents that hold a passage of a test item go.
 - byte-pair codes: doc_id, the token ids and their number, and the digest of the decoded text.
 
-All but the last return the columns they got. An empty table passes through all of them.
+All but the last return the columns they got. An empty table passes through all of them. A stage's
+result has been written when the next stage begins, which then deletes the helper tables behind it.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -23,13 +25,30 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from defectlens.llm import bpe, decontamination, langid, linededup, neardup
 from defectlens.llm.tables import benchmark, documents
-from defectlens.session import materialise, scratch_folder
+from defectlens.session import materialise, release, scratch_folder, written_tables
 
 #: Phrases of less than two symbols, for references of some 14 bits: no learned language.
 MAX_BITS = 8.0
 VOCABULARY = "byte_bpe_50k.json"
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_spent: list[str] = []
+
+
+def _stage(function: Stage) -> Stage:
+    """Delete the helper tables of the stage before, and remember those of this one."""
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _spent)
+        before = set(written_tables())
+        result = function(spark, docs, sf_dir)
+        _spent[:] = [path for path in written_tables() if path not in before]
+        return result
+
+    return run_stage
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose id is not among ``ids``, in the columns they have."""
     mark = f"gone_{uuid.uuid4().hex}"
@@ -37,12 +56,14 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"] == gone[mark], "left_anti")
 
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = langid.identify(docs, langid.learn(docs))
     rejected = materialise(found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("bits") > MAX_BITS)))
     return _without(docs, rejected)
 
 
+@_stage
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     result = linededup.dedup_lines(docs)
     return result.select([
@@ -52,21 +73,22 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     ])
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = materialise(neardup.near_duplicates(docs))
     return _without(docs, groups.where(~F.col("kept")))
 
 
+@_stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(docs, materialise(decontamination.find_leaks(docs, benchmark(spark, sf_dir)).select("doc_id")))
 
 
+@_stage
 def bpe_codes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY))
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
 STAGES: list[tuple[str, Stage]] = [
     ("language id", language_id),
     ("line dedup", repeated_lines),
