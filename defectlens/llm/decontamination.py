@@ -1,22 +1,23 @@
-"""Passages of test items in training texts: rare n-gram seeds, then local alignment.
+"""Passages of test items in training texts: n-gram seeds, then local alignment.
 
 Words are runs of letters and digits (bytes above 0x7F count as letters), A-Z as a-z, so that
-signs and spacing do not matter. Of every item, those ``GRAM``-word sequences are seeds that
-chance would hardly bring: from the corpus counts of their words, all of them counted, the
-expected number of chance occurrences is at most ``CHANCE``. How often a passage itself occurs
-plays no part, so one that thousands of documents share is found in each. An item all of whose
-sequences are common keeps its rarest one.
-
-A seed found in a text joins the text to the item. Seeds of one item that lie near each other
-span a region, and the Smith-Waterman alignment of the item's words with the region (match +2,
-anything else -1) gives the score, divided by that of a perfect copy: inserted, dropped and
-exchanged words cost little. A document is contaminated by an item from ``MIN_SCORE`` on, or if
-``LONG_PART`` words of it match in one alignment that loses at most a fifth of their score.
+signs and spacing do not matter. Every ``GRAM``-word sequence of every item is a seed, however
+common its words are: nothing about the corpus decides which are looked for, so a passage that a
+third of all documents share is found in each, whichever of its words were changed.
+
+A seed found in a text joins the text to the item. Around it lies the region that any alignment
+through the seed that could count is within; regions that touch are one. The Smith-Waterman
+alignment of the item's words with the region (match +2, anything else -1) gives the score, divided
+by that of a perfect copy: inserted, dropped and exchanged words cost little. A document is
+contaminated by an item from ``MIN_SCORE`` on, or if ``LONG_PART`` words of it match in one
+alignment that loses at most a fifth of their score. Regions whose words, in whatever order, cannot
+give either are not aligned; that bound is never below the score.
 
 Items are sent to the executors in blocks of at most ``BLOCK_WORDS`` words, one pass over the
-texts for each block; nothing about documents comes to the driver but the counts of the block's
-words. Items of fewer than ``MIN_WORDS`` words, or null, contaminate nothing; null and empty texts
-are never contaminated. Equal documents or items are reported each. Other columns are not read.
+texts for each block; nothing about documents comes to the driver. A task joins at most some
+``PAIRS`` seeds found to items at a time. Items of fewer than ``MIN_WORDS`` words, or null,
+contaminate nothing; null and empty texts are never contaminated. Equal documents or items are
+reported each. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .tables import ship
-from .words import SIGNS, as_texts, chunks, find_words, owners, span_hashes, window_hashes
+from .words import SIGNS, as_texts, chunks, find_words, owners, ranges, span_hashes, window_hashes
 
 GRAM = 3
-CHANCE = 0.01
 MIN_WORDS = 5
 MIN_SCORE = 0.5
 LONG_PART = 20
 BLOCK_WORDS = 1 << 21
+PAIRS = 1 << 20
 _BLOOM_BITS = 22
 
 
@@ -94,21 +95,20 @@ def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int, int]:
     return best
 
 
-def _regions(at: np.ndarray, place: np.ndarray, size: int, n: int) -> Iterator[tuple[int, int]]:
-    """Parts of a text of n words that seeds at ``at``, from ``place`` in the item, point to."""
-    margin = size // 4 + 4
-    first = np.maximum(at - place - margin, 0)
-    last = np.minimum(at - place + size + margin, n)
-    order = np.argsort(first, kind="stable")
-    start = end = -1
-    for k in order:
-        if first[k] <= end:
-            end = max(end, int(last[k]))
-        else:
-            if start >= 0:
-                yield start, end
-            start, end = int(first[k]), int(last[k])
-    yield start, end
+def _regions(
+    doc: np.ndarray, item: np.ndarray, start: np.ndarray, end: np.ndarray, n: int,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, item, start and end, those of one document and item that touch as one; n words in all."""
+    order = np.lexsort((start, item, doc))
+    doc, item, start, end = doc[order], item[order], start[order], end[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+    shift = np.cumsum(new) * (n + 1)  # places of one document and item are above those of the one before
+    reach = np.maximum.accumulate(end + shift)
+    new[1:] = start[1:] + shift[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first, len(doc))[1:] - 1
+    return doc[first], item[first], start[first], (reach - shift)[last]
 
 
 class Items:
@@ -116,28 +116,55 @@ class Items:
 
     def __init__(self, ids: list, words: list[np.ndarray]):
         self.ids, self.words = ids, words
-        self.vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
-
-    def seeds(self, counts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted seed hashes with the item and the place of each."""
-        grams, item, place = [], [], []
-        share = np.log((counts + 1.0) / (total + 1.0))
-        for k, words in enumerate(self.words):
-            hashes = window_hashes(words, GRAM)
-            rare = share[np.searchsorted(self.vocabulary, words)]
-            expected = np.log(total + 1.0) + sum(rare[j:j + len(hashes)] for j in range(GRAM))
-            taken = np.flatnonzero(expected <= np.log(CHANCE))
-            if not len(taken):
-                taken = np.array([expected.argmin()])
-            grams.append(hashes[taken])
-            item.append(np.full(len(taken), k))
-            place.append(taken)
-        if not grams:
-            none = np.zeros(0, np.int64)
-            return np.zeros(0, np.uint64), none, none
-        grams, item, place = map(np.concatenate, (grams, item, place))
-        order = np.argsort(grams, kind="stable")
-        return grams[order], item[order], place[order]
+
+    def seeds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted seed hashes, the items of each, and its first and last place in the item."""
+        grams = [window_hashes(words, GRAM) for words in self.words]
+        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        place = np.concatenate([np.arange(len(g)) for g in grams])
+        grams = np.concatenate(grams)
+        order = np.lexsort((place, item, grams))
+        grams, item, place = grams[order], item[order], place[order]
+        new = np.ones(len(grams), dtype=bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (item[1:] != item[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(grams)) - 1
+        return grams[first], item[first].astype(np.int32), place[first].astype(np.int32), place[last].astype(np.int32)
+
+
+class Measure:
+    """When an alignment with an item counts, and which parts of a text could have one."""
+
+    def __init__(self, min_score: float, long_part: int):
+        self.min_score, self.long_part = min_score, long_part
+
+    def counts(self, size: int, score: int, matched: int) -> bool:
+        return score / (2 * size) >= self.min_score or (matched >= self.long_part and score >= 1.6 * matched)
+
+    def margin(self, size: np.ndarray) -> np.ndarray:
+        """Most words that an alignment that counts can have beside the item's."""
+        return np.ceil(size * max(2 - 2 * self.min_score, 0.4)).astype(np.int64)
+
+    def part(self, vocabulary: np.ndarray, times: np.ndarray, region: np.ndarray) -> tuple[int, int] | None:
+        """From the first to the last word of the item in the region, if an alignment could count.
+
+        At most each word of the item is matched as often as both have it, and a word of the
+        region gives 2 if the item has it, else takes 1.
+        """
+        at = np.searchsorted(vocabulary, region)
+        at[at == len(vocabulary)] = 0
+        known = vocabulary[at] == region
+        matched = int(np.minimum(np.bincount(at[known], minlength=len(times)), times).sum())
+        size = int(times.sum())
+        if matched / size < self.min_score and matched < self.long_part:
+            return None
+        total = np.zeros(len(region) + 1, dtype=np.int64)
+        np.cumsum(np.where(known, 2, -1), out=total[1:])
+        score = min(int((total - np.minimum.accumulate(total)).max()), 2 * matched)
+        if score / (2 * size) < self.min_score and (matched < self.long_part or score < 1.6 * self.long_part):
+            return None
+        where = np.flatnonzero(known)
+        return int(where[0]), int(where[-1]) + 1
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Items]:
@@ -159,72 +186,60 @@ def _blocks(benchmark: DataFrame) -> Iterator[Items]:
             yield Items(ids, words)
 
 
-def _word_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-    """How often each word of the sorted vocabulary occurs in all texts, and all words."""
-    box = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(box.value)
-        counts = np.zeros(len(box.value) + 1, dtype=np.int64)  # the last: all words
-        for batch in batches:
-            for part in chunks(batch):
-                hashes, _ = _hashed(part.column("text"))
-                _, key = lookup.find(hashes)
-                counts[:-1] += np.bincount(key, minlength=len(counts) - 1)
-                counts[-1] += len(hashes)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["word", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = np.zeros(len(vocabulary) + 1, dtype=np.int64)
-    for word, n in counted.collect():  # at most one row per word of the block
-        counts[word] = n
-    return counts[:-1], int(counts[-1])
+RESULT = "doc_id long, item_id long, score double, matched long, first_word long, end_word long"
 
 
-RESULT = "doc_id long, item_id long, score double, matched long, first_word long, end_word long"
+def _shares(load: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose load is about ``PAIRS``, or one item of more."""
+    piece = np.cumsum(load) // PAIRS
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(load)]
+    yield from zip(cuts, cuts[1:])
 
 
 def _search(docs: DataFrame, items: Items, min_score: float, long_part: int) -> DataFrame:
-    counts, total = _word_counts(docs, items.vocabulary)
-    box = docs.sparkSession.sparkContext.broadcast((items.ids, items.words, *items.seeds(counts, total)))
+    box = docs.sparkSession.sparkContext.broadcast((items.ids, items.words, *items.seeds()))
+    measure = Measure(min_score, long_part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, item_words, grams, seed_item, seed_place = box.value
-        keys, first_seed = np.unique(grams, return_index=True)
-        n_seeds = np.diff(np.append(first_seed, len(grams)))
+        ids, item_words, grams, seed_item, low, high = box.value
+        keys, seed_key = np.unique(grams, return_inverse=True)
+        seed_rank = seed_key * len(ids) + seed_item  # ascending
         lookup = Lookup(keys)
+        sizes = np.array([len(words) for words in item_words])
+        margins = measure.margin(sizes)
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for part in chunks(batch):
                 hashes, first = _hashed(part.column("text"))
-                windows = window_hashes(hashes, GRAM)
-                at, key = lookup.find(windows)
+                at, key = lookup.find(window_hashes(hashes, GRAM))
                 owner = owners(first)
                 inside = owner[at] == owner[at + GRAM - 1]
                 at, key = at[inside], key[inside]
-                repeat = n_seeds[key]
-                seed = np.repeat(first_seed[key], repeat) + (
-                    np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat))
-                at = np.repeat(at, repeat)
-                doc, item, place = owner[at], seed_item[seed], seed_place[seed]
-                order = np.lexsort((at, item, doc))
-                doc, item, place, at = doc[order], item[order], place[order], at[order]
-                cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0)) + 1 if len(doc) else []
-                doc_ids = part.column("doc_id").to_pylist()
-                out: list[tuple] = []
-                for a, b in zip([0, *cuts], [*cuts, len(doc)]):
-                    if a == b:
-                        continue
-                    d, k = doc[a], item[a]
-                    text = hashes[first[d]:first[d + 1]]
-                    words = item_words[k]
-                    best = max(
-                        ((*align(words, text[x:y]), x) for x, y in
-                         _regions(at[a:b] - first[d], place[a:b], len(words), len(text))),
-                        key=lambda r: (r[0], -r[4]))
-                    score = best[0] / (2 * len(words))
-                    if score >= min_score or (best[1] >= long_part and best[0] >= 1.6 * best[1]):
-                        out.append((doc_ids[d], ids[k], score, best[1], best[4] + best[2], best[4] + best[3]))
+                found = np.bincount(key, minlength=len(keys))
+                load = np.bincount(seed_item, weights=found[seed_key], minlength=len(ids))
+                doc_ids = part.column("doc_id")
+                best: dict[tuple[int, int], tuple] = {}
+                for lowest, end in _shares(load):
+                    since = np.searchsorted(seed_rank, key * len(ids) + lowest)
+                    repeat = np.searchsorted(seed_rank, key * len(ids) + end) - since
+                    seed, place = ranges(since, repeat), np.repeat(at, repeat)
+                    doc, item = owner[place], seed_item[seed]
+                    regions = _regions(
+                        doc, item, np.maximum(place - high[seed] - margins[item], first[doc]),
+                        np.minimum(place - low[seed] + sizes[item] + margins[item], first[doc + 1]), len(hashes))
+                    for d, k, x, y in zip(*(r.tolist() for r in regions)):
+                        if k not in known:
+                            known[k] = np.unique(item_words[k], return_counts=True)
+                        inner = measure.part(*known[k], hashes[x:y])
+                        if inner is None:
+                            continue
+                        x, y = x + inner[0], x + inner[1]
+                        score, matched, a, b = align(item_words[k], hashes[x:y])
+                        if measure.counts(len(item_words[k]), score, matched) and (
+                                (d, k) not in best or score > best[d, k][0]):
+                            best[d, k] = score, matched, x - int(first[d]) + a, x - int(first[d]) + b
+                out = [(doc_ids[d].as_py(), ids[k], r[0] / (2 * len(item_words[k])), *r[1:])
+                       for (d, k), r in best.items()]
                 yield pa.RecordBatch.from_pylist(
                     [dict(zip(names, r)) for r in out], schema=schema)
 

@@ -86,6 +86,64 @@ def test_scores_against_all_pairs(tables):
                 assert got[doc_id, k] == pytest.approx(score)
 
 
+@pytest.fixture(scope="module")
+def hot(spark):
+    """One item of twelve words, a third of all documents with a copy that has one or two words changed."""
+    draw = random.Random(11)
+    item = sentence(draw, 12)
+    rows, want = [], {}
+    for d in range(300):
+        words = sentence(draw, 8)
+        if d % 3 == 0:
+            copy = list(item)
+            for k in range(1 + d % 2):
+                copy[(d // 3 + 5 * k) % 12] = f"new{d}"
+            words = words[:4] + copy + words[4:]
+        rows.append((d, " ".join(words)))
+        score = plain_score(item, words) / 24
+        if score >= D.MIN_SCORE:
+            want[d] = score
+    assert set(want) >= set(range(0, 300, 3))
+    return (spark.createDataFrame(rows, "doc_id long, text string").repartition(3),
+            spark.createDataFrame([(0, " ".join(item))], "item_id long, text string"), want)
+
+
+def test_edited_copies_in_a_third_of_all_documents(hot):
+    docs, bench, want = hot
+    got = {r["doc_id"]: r["score"] for r in D.find_leaks(docs, bench).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_pairs_in_shares_give_the_same(hot, tables, monkeypatch):
+    monkeypatch.setattr(D, "PAIRS", 3)
+    docs, bench, want = hot
+    assert {r["doc_id"]: r["score"] for r in D.find_leaks(docs, bench).collect()} == pytest.approx(want)
+    docs, bench, want, _, _ = tables
+    assert {(r["doc_id"], r["item_id"]) for r in D.find_leaks(docs, bench).collect()} == want
+
+
+def test_texts_without_a_seed(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "one"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, "a b c d e f")], "item_id long, text string")
+    assert D.find_leaks(docs.repartition(1), bench).count() == 0
+
+
+def test_only_parts_that_cannot_count_are_left_out():
+    draw, measure = random.Random(5), D.Measure(D.MIN_SCORE, 6)
+    left_out = 0
+    for _ in range(2000):
+        item = np.array([draw.randrange(12) for _ in range(draw.randrange(5, 16))], dtype=np.uint64)
+        region = np.array([draw.randrange(20) for _ in range(draw.randrange(3, 30))], dtype=np.uint64)
+        score, matched, start, end = D.align(item, region)
+        part = measure.part(*np.unique(item, return_counts=True), region)
+        if part is None:
+            left_out += 1
+            assert not measure.counts(len(item), score, matched)
+        else:
+            assert score == D.align(item, region[part[0]:part[1]])[0]
+    assert left_out > 200
+
+
 def test_blocks_give_the_same(tables, monkeypatch):
     docs, bench, want, _, _ = tables
     monkeypatch.setattr(D, "BLOCK_WORDS", 150)
