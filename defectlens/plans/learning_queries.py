@@ -13,10 +13,8 @@ from ..session import materialise
 from .registry import query
 from .views import SEED, code_samples, table, text_families, text_samples
 
-# Logistic searches walk the library's own grids. Tree searches walk shorter ones: a round of
-# boosting is a few cluster jobs, and the full grids are thousands of rounds.
-SHORT_TREES = [{"rounds": 60, "step": 0.1, "depth": d, "columns": "0.8"} for d in (4, 7)]
-SHORT_TEXT_TREES = [{"rounds": 20, "step": 0.1, "depth": 6, "columns": "0.3"}]
+# All searches walk the library's own grids, in full: a round of boosting is a few cluster jobs, and
+# the tree searches are thousands of rounds.
 FOLDS = ("train", "val", "test")
 
 
@@ -80,7 +78,7 @@ def lr_static(spark, sf_dir):
 @query("gbt_static")
 def gbt_static(spark, sf_dir):
     folds = _static(spark, sf_dir)
-    search = training.search_boosted(folds["train"], folds["val"], SHORT_TREES)
+    search = training.search_boosted(folds["train"], folds["val"])
     return training.report(search.model, folds, "boosted trees, static").withColumn(
         "n_trees", F.lit(search.model.getNumTrees))
 
@@ -93,9 +91,9 @@ def rf_static(spark, sf_dir):
 
 @query("gbt_fixed")
 def gbt_fixed(spark, sf_dir):
-    """One fixed setting without validation rows; a quarter of its rounds, as above."""
+    """One fixed setting without validation rows."""
     folds = _static(spark, sf_dir)
-    model = training.fit_boosted(folds["train"], {**training.PLAIN_TREES, "rounds": 100})
+    model = training.fit_boosted(folds["train"])
     return training.report(model, folds, "boosted trees, one setting")
 
 
@@ -105,7 +103,7 @@ def _static_models(spark, sf_dir):
     folds = _by_fold(materialise(preparation.static_vectors(features, FEATURE_COLUMNS)))
     models = {
         "logreg": training.search_logistic(folds["train"], folds["val"]).model,
-        "boosted": training.search_boosted(folds["train"], folds["val"], SHORT_TREES[:1]).model,
+        "boosted": training.search_boosted(folds["train"], folds["val"]).model,
     }
     return folds, models
 
@@ -157,7 +155,7 @@ def model_contributions(spark, sf_dir):
 @query("tree_importance")
 def tree_importance(spark, sf_dir):
     folds = _static(spark, sf_dir)
-    search = training.search_boosted(folds["train"], folds["val"], SHORT_TREES[:1])
+    search = training.search_boosted(folds["train"], folds["val"])
     return training.tree_importance(search.model, FEATURE_COLUMNS)
 
 
@@ -178,9 +176,8 @@ def lr_crossval(spark, sf_dir):
 def gbt_random_search(spark, sf_dir):
     features = materialise(_features(spark, sf_dir))
     folds = _by_fold(features)
-    train = materialise(folds["train"].join(stratified_group_folds(folds["train"], k=3, seed=SEED), "task_id"))
-    settings = [{**s, "rounds": s["rounds"] // 20} for s in training.random_tree_settings(2)]
-    search = training.crossval_boosted(train, FEATURE_COLUMNS, settings=settings)
+    train = materialise(folds["train"].join(stratified_group_folds(folds["train"], seed=SEED), "task_id"))
+    search = training.crossval_boosted(train, FEATURE_COLUMNS)
     doubles = {f: df.withColumns({c: F.col(c).cast("double") for c in FEATURE_COLUMNS}) for f, df in folds.items()}
     return training.report(search.model, doubles, "boosted trees, random search")
 
@@ -194,7 +191,7 @@ def _text_tables(spark, sf_dir):
 
 @query("lr_tfidf")
 def lr_tfidf(spark, sf_dir):
-    model = holdout.TextModel(_text_tables(spark, sf_dir), FEATURE_COLUMNS, iterations=200)
+    model = holdout.TextModel(_text_tables(spark, sf_dir), FEATURE_COLUMNS)
     return evaluation.binary_metrics(model.scored(), keys=["fold"]).select(
         F.lit("logistic regression, static + TF-IDF").alias("model"), "fold",
         *[F.round(m, 4).alias(m) for m in ("auc", "f1", "accuracy")],
@@ -203,7 +200,7 @@ def lr_tfidf(spark, sf_dir):
 
 @query("top_coefficients")
 def top_coefficients(spark, sf_dir):
-    model = holdout.TextModel(_text_tables(spark, sf_dir), FEATURE_COLUMNS, grid=(1.0,), iterations=50)
+    model = holdout.TextModel(_text_tables(spark, sf_dir), FEATURE_COLUMNS)
     weights = model.search.model.coefficients.toArray()
     ranked = explain.coefficient_table(spark, model.names(), weights, FEATURE_COLUMNS)
     return explain.top_coefficients(ranked).select("name", F.round("coefficient", 6).alias("coefficient"), "side")
@@ -211,23 +208,18 @@ def top_coefficients(spark, sf_dir):
 
 @query("gbt_tfidf")
 def gbt_tfidf(spark, sf_dir):
-    """Boosted trees on the 200 best of the static and text columns."""
+    """Boosted trees on all static and text columns; the logistic model beside the vectors is not used."""
     model = holdout.TextModel(_text_tables(spark, sf_dir), FEATURE_COLUMNS, grid=(1.0,), iterations=5)
-    selector = training.select_columns(model.vectors.where(F.col("fold") == "train"), 200)
-    narrow = selector.transform(model.vectors).select("sample_id", "label", "fold", F.col("selected").alias("features"))
-    folds = _by_fold(materialise(narrow))
-    search = training.search_boosted(folds["train"], folds["val"], SHORT_TEXT_TREES)
+    folds = _by_fold(materialise(model.vectors.select("sample_id", "label", "fold", "features")))
+    search = training.search_boosted(folds["train"], folds["val"], training.TFIDF_TREES)
     return training.report(search.model, folds, "boosted trees, static + TF-IDF")
 
 
-HOLDOUT = {"grid": (1.0,), "iterations": 30}
-
-
 @query("lofo_eval")
 def lofo_eval(spark, sf_dir):
     tables = _text_tables(spark, sf_dir)
     families = materialise(text_families(tables.static))
-    return holdout.leave_families_out(tables, families, FEATURE_COLUMNS, **HOLDOUT).select(
+    return holdout.leave_families_out(tables, families, FEATURE_COLUMNS).select(
         "family", "n_test_rows", *[F.round(c, 4).alias(c) for c in ("ood_auc", "ood_f1")], "ood_threshold"
     )
 
@@ -236,7 +228,7 @@ def lofo_eval(spark, sf_dir):
 def family_drop(spark, sf_dir):
     tables = _text_tables(spark, sf_dir)
     families = materialise(text_families(tables.static))
-    held_out = holdout.leave_families_out(tables, families, FEATURE_COLUMNS, **HOLDOUT)
-    scored = holdout.TextModel(tables, FEATURE_COLUMNS, **HOLDOUT).scored()
+    held_out = holdout.leave_families_out(tables, families, FEATURE_COLUMNS)
+    scored = holdout.TextModel(tables, FEATURE_COLUMNS).scored()
     in_family = evaluation.family_metrics(scored.where(F.col("fold") == "test"), families)
     return evaluation.family_drop(in_family, held_out, families)

@@ -1,5 +1,7 @@
 """Weights, solvers, searches and explanations."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
@@ -11,6 +13,7 @@ from defectlens.operators import explain
 from defectlens.operators.evaluation import auc, model_comparison
 from defectlens.operators.splits import stratified_group_folds
 from defectlens.operators.textvectors import UNITS, fit_tfidf
+from defectlens.plans import learning_queries as Q, registered
 from defectlens.sources import writers
 
 COLUMNS = ["a", "b", "c"]
@@ -195,3 +198,63 @@ def test_fits_take_frames_made_in_memory(spark, rows):
     data = [(i, int(y[i]), *map(float, x[i])) for i in range(60)]
     frame = P.static_vectors(spark.createDataFrame(data, "sample_id int, label int, a double, b double, c double"), COLUMNS)
     assert M.search_logistic(frame, frame, [1.0]).best == 1.0
+
+
+class Taken(Exception):
+    """A search's arguments, in place of the search."""
+
+
+@pytest.mark.parametrize("name, place, function, want", [
+    ("gbt_static", M, "search_boosted", {"grid": M.STATIC_TREES}),
+    ("model_predictions", M, "search_boosted", {"grid": M.STATIC_TREES}),
+    ("tree_importance", M, "search_boosted", {"grid": M.STATIC_TREES}),
+    ("gbt_fixed", M, "fit_boosted", {"params": None}),
+    ("gbt_random_search", M, "crossval_boosted", {"settings": None, "folds": 5}),
+    ("lr_tfidf", holdout, "TextModel", {"grid": M.TFIDF_C, "iterations": 1000}),
+    ("top_coefficients", holdout, "TextModel", {"grid": M.TFIDF_C, "iterations": 1000}),
+    ("gbt_tfidf", M, "search_boosted", {"grid": M.TFIDF_TREES, "columns": 3}),
+    ("lofo_eval", holdout, "held_out_family", {"grid": M.HOLDOUT_C, "iterations": 200}),
+    ("family_drop", holdout, "held_out_family", {"grid": M.HOLDOUT_C, "iterations": 200}),
+    ("family_drop", holdout, "TextModel", {"grid": M.TFIDF_C, "iterations": 1000}),
+])
+def test_registered_searches_are_whole(spark, table, monkeypatch, name, place, function, want):
+    """Each registered query hands its learner the library's whole grid, on all columns and folds."""
+    signature = inspect.signature(getattr(place, function))
+
+    def take(*args, **named):
+        bound = signature.bind(*args, **named)
+        bound.apply_defaults()
+        taken = dict(bound.arguments) | dict(bound.arguments.get("options", {}))
+        if "folds" in want:
+            taken["folds"] = taken["train"].agg(F.max("foldCol")).first()[0] + 1
+        if "columns" in want:
+            taken["columns"] = taken["train"].first()["features"].size
+        raise Taken({k: taken[k] for k in want})
+
+    folded = table.select(
+        "sample_id", "task_id", "label", "features", F.lit("m").alias("model_name"),
+        F.element_at(F.array(*map(F.lit, Q.FOLDS)), 1 + (F.col("sample_id") % 3).cast("int")).alias("fold"))
+
+    class Tables:
+        static = folded
+
+        def fold(self, _):
+            return self
+
+    class Vectors:
+        vectors = folded
+
+    monkeypatch.setattr(Q, "_features", lambda *_: folded)
+    monkeypatch.setattr(Q, "_static", lambda *_: Q._by_fold(folded))
+    monkeypatch.setattr(Q.preparation, "static_vectors", lambda df, _: df)
+    monkeypatch.setattr(Q, "_text_tables", lambda *_: Tables())
+    monkeypatch.setattr(Q, "text_families", lambda df: df.select(F.lit("f").alias("family"), "model_name").distinct())
+    monkeypatch.setattr(M, "search_logistic", lambda *_: M.Search(None, None))
+    if name == "gbt_tfidf":
+        monkeypatch.setattr(holdout, "TextModel", lambda *_, **__: Vectors())
+    if function == "TextModel":
+        monkeypatch.setattr(holdout, "leave_families_out", lambda *_, **__: None)
+    monkeypatch.setattr(place, function, take)
+    with pytest.raises(Taken) as taken:
+        registered()[name](spark, None)
+    assert taken.value.args[0] == want
