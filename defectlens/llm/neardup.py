@@ -7,19 +7,20 @@ nothing. Two sets are linked if their intersection has ``PERCENT`` of their unio
 1. One pass hashes each text to its set's size, a 128-bit name of the set and a signature. Equal
    sets are one class from here on, named by the smallest doc_id, so copies cost a row each.
 2. The forest: ``TREES`` orders of the classes by different parts of the signature. Classes that
-   agree on the first ``DEPTH`` values of an order form a region; a crowded region goes deeper, two
-   values at a time. In a region, classes are sorted by the next values, so that those with the
-   longest common prefix are neighbours; neighbours whose sketches agree in ``LEAST`` of all values
-   are candidates, and if a region does not hang together by its neighbours all its pairs of
-   sketches are compared. Only a spanning forest of candidates leaves a region. A region that is
-   crowded at the greatest depth is dealt over parts that have ``HUBS`` or so members in common.
+   agree on the first ``DEPTH`` values of an order form a region; a crowded region is dealt over
+   blocks, and every pair of blocks is a region of its own, so that no pair of classes is lost and
+   no task grows with the region. In a region, classes are sorted by the next values, so that those
+   with the longest common prefix are neighbours; neighbours whose sketches agree in ``LEAST`` of
+   all values are candidates, and if a region does not hang together by its neighbours all its
+   pairs of sketches are compared. Only a spanning forest of candidates leaves a region.
 3. Candidates hang together in families. The texts of a family's classes are hashed again, and its
    links are confirmed on the whole sets by a search through an inverted index, which yields a
    spanning forest of the links. A family beyond ``BLOCK`` sets is dealt over blocks, and every
    pair of blocks is searched, so that no link is lost and no task grows with the family.
 4. Components of the links name the groups.
 
-A pair at the limit shares no region with probability (1 - 0.75 ** 4) ** 32, about five in a million.
+A pair at the limit shares no region with probability (1 - 0.75 ** 4) ** 32, about five in a million,
+however many rows there are and however crowded its regions.
 A row belongs to the class of its text; classes are named by their smallest doc_id, and different
 texts that give the same name (rows of one doc_id) count as one class with the links of each. A
 row without doc_id takes no part: its component is null. Only doc_id and text are read; an empty
@@ -44,7 +45,6 @@ VALUES = 128
 TREES, DEPTH, DEEPER = 32, 4, 2
 LEAST = 0.55
 CROWDED = 2048
-HUBS = 64
 PAIRS = 4096
 BLOCK = 1024
 SET_CHUNK = 2 << 20
@@ -150,26 +150,20 @@ def forest(classes: DataFrame) -> DataFrame:
 
 
 def _regions(trees: DataFrame) -> DataFrame:
-    """Members of regions of two or more, each region at the depth where it is not crowded."""
-    def sized(rows: DataFrame) -> DataFrame:
-        sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        return materialise(join_apart(rows, sizes, "region"))
-
-    def split(rows: DataFrame, by: str) -> DataFrame:
-        return rows.where(F.col("members") > CROWDED).select(
-            "node", F.xxhash64("region", by).alias("region"), "near", "far")
-
-    top = sized(materialise(trees))
-    middle = sized(split(top, "near"))
-    deep = sized(split(middle, "far"))
+    """Members of regions of two or more; of a crowded one, a region for each pair of its blocks."""
+    trees = materialise(trees)
+    sizes = trees.groupBy("region").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    sized = materialise(join_apart(trees, sizes, "region"))
     calm = F.col("members") <= CROWDED
-    parts = F.ceil(F.col("members") / CROWDED).cast("int")
-    hub = F.pmod(F.xxhash64("node", F.lit(1)), F.col("members")) < HUBS
-    own = F.when(hub, F.sequence(F.lit(0), parts - 1)).otherwise(
-        F.array(F.pmod(F.xxhash64("node"), parts).cast("int")))
-    dealt = deep.where(~calm).withColumn("part", F.explode(own)).withColumn("region", F.xxhash64("region", "part"))
-    calmed = top.where(calm).unionByName(middle.where(calm)).unionByName(deep.where(calm))
-    return calmed.unionByName(dealt.drop("part")).drop("members")
+    # Two blocks, about PAIRS members, are compared at a time. There are two blocks at least, so
+    # the pairs inside a block are compared with any other one.
+    blocks = F.greatest(F.lit(2), F.ceil(F.col("members") / (PAIRS // 2))).cast("int")
+    dealt = sized.where(~calm).select(
+        "node", "region", "near", "far", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"),
+        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).where("own <> other")
+    cells = dealt.select(
+        "node", F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "near", "far")
+    return sized.where(calm).select("node", "region", "near", "far").unionByName(cells)
 
 
 class Forest:
@@ -210,9 +204,8 @@ def _agreements(marks: np.ndarray, least: int) -> list[tuple[int, int]]:
 def _candidates(members: DataFrame) -> DataFrame:
     """Edges (u, v) between classes of a region, at most one less than it has members.
 
-    Rows come sorted by region and by the values that follow. A region is held up to ``PAIRS``
-    members at a time; a larger one goes on with the last quarter of those, its neighbours in
-    order, so that memory is bounded and the blocks hang together.
+    Rows come sorted by region and by the values that follow. A region is held as a whole: it has at
+    most ``CROWDED`` members, or those of two blocks.
     """
     least = int(np.ceil(LEAST * VALUES))
 
@@ -229,13 +222,9 @@ def _candidates(members: DataFrame) -> DataFrame:
             begin, stop = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(region)]])
             odd = np.isin(region[begin], loose) & (stop - begin > 2)
             for a, b in zip(begin[odd].tolist(), stop[odd].tolist()):
-                for x in range(a, b, PAIRS - PAIRS // 4):
-                    y = min(x + PAIRS, b)
-                    for i, j in _agreements(marks[x:y], least):
-                        us.append(nodes[x + i:x + i + 1])
-                        vs.append(nodes[x + j:x + j + 1])
-                    if y == b:
-                        break
+                for i, j in _agreements(marks[a:b], least):
+                    us.append(nodes[a + i:a + i + 1])
+                    vs.append(nodes[a + j:a + j + 1])
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))],
                                               names=["u", "v"])
 
@@ -246,11 +235,8 @@ def _candidates(members: DataFrame) -> DataFrame:
             nodes = np.concatenate([nodes, batch.column("node").to_numpy()])
             more = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, VALUES)
             marks = np.concatenate([marks, more])
-            done = last = int(np.flatnonzero(region == region[-1])[0])
-            if len(region) - last > 4 * PAIRS:  # a large region: let go of all but a last part
-                yield edges_of(region, nodes, marks)
-                done = len(region) - PAIRS // 4
-            elif done:
+            done = int(np.flatnonzero(region == region[-1])[0])
+            if done:
                 yield edges_of(region[:done], nodes[:done], marks[:done])
             region, nodes, marks = region[done:], nodes[done:], marks[done:]
         if len(region) > 1:

@@ -85,6 +85,19 @@ def test_crowded_regions(spark, texts, monkeypatch):
     check(N.near_duplicates(docs).collect(), texts)
 
 
+def test_all_pairs_of_a_crowded_region_meet(spark, monkeypatch):
+    monkeypatch.setattr(N, "CROWDED", 10)
+    monkeypatch.setattr(N, "PAIRS", 8)
+    rows = [(i, 1, i, i) for i in range(60)] + [(i, 2, i, 0) for i in range(7)] + [(99, 3, 0, 0)]
+    members = N._regions(spark.createDataFrame(rows, "node long, region long, near long, far long")).collect()
+    regions = {}
+    for r in members:
+        regions.setdefault(r["region"], set()).add(r["node"])
+    met = {p for nodes in regions.values() for p in itertools.combinations(sorted(nodes), 2)}
+    assert met == set(itertools.combinations(range(60), 2))
+    assert max(map(len, regions.values())) < 30 and 99 not in set.union(*regions.values())
+
+
 def test_rows_without_id_repeated_rows_and_no_rows(spark):
     text = "one two three four five six seven"
     docs = spark.createDataFrame([(5, text), (5, text), (None, text), (9, text)], "doc_id long, text string")
