@@ -8,6 +8,7 @@ Stages, in order, each with the operator it calls and what it does to the docume
 - near-duplicates: of each group the document of smallest id stays. A document without id takes no
   part and stays.
 - decontamination: documents that hold a passage of a test item go.
+  Here and in language id a row is judged by its own text, whether its id is null or repeated.
 - byte-pair codes: doc_id, the token ids and their number, and the digest of the decoded text.
 
 All but the last return the columns they got. An empty table passes through all of them. A stage's
@@ -21,7 +22,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from defectlens.llm import bpe, decontamination, langid, linededup, neardup
 from defectlens.llm.tables import benchmark, documents
@@ -49,18 +50,28 @@ def _stage(function: Stage) -> Stage:
     return run_stage
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is not among ``ids``, in the columns they have."""
+def _row_key(docs: DataFrame) -> Column:
+    """Names a row by its id and text, either of which may be null."""
+    return F.xxhash64(docs["doc_id"], docs["doc_id"].isNull(), docs["text"], docs["text"].isNull())
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The texts, with the name of the row in place of its id."""
+    return docs.select(_row_key(docs).alias("doc_id"), "text")
+
+
+def _without(docs: DataFrame, ids: DataFrame, key: Column | None = None) -> DataFrame:
+    """The documents whose key, the id by default, is not among ``ids``, in the columns they have."""
     mark = f"gone_{uuid.uuid4().hex}"
     gone = ids.select(F.col("doc_id").alias(mark)).distinct()
-    return docs.join(gone, docs["doc_id"] == gone[mark], "left_anti")
+    return docs.join(gone, (docs["doc_id"] if key is None else key) == gone[mark], "left_anti")
 
 
 @_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identify(docs, langid.learn(docs))
+    found = langid.identify(_keyed(docs), langid.learn(docs))
     rejected = materialise(found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("bits") > MAX_BITS)))
-    return _without(docs, rejected)
+    return _without(docs, rejected, _row_key(docs))
 
 
 @_stage
@@ -81,7 +92,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, materialise(decontamination.find_leaks(docs, benchmark(spark, sf_dir)).select("doc_id")))
+    leaks = materialise(decontamination.find_leaks(_keyed(docs), benchmark(spark, sf_dir)).select("doc_id"))
+    return _without(docs, leaks, _row_key(docs))
 
 
 @_stage

@@ -114,3 +114,16 @@ def test_odd_tables(spark, sf_dir, rows):
     left = sorted((r["doc_id"] or 0, r["text"]) for r in rows_of(docs))
     assert [d for d, _ in left] == ([0, 3, 3] if rows else [])
     assert P.STAGES[-1][1](spark, docs, sf_dir).count() == len(left)
+
+
+def test_rows_are_judged_by_their_own_text(spark, sf_dir):
+    """Null and repeated ids: the copy and the text without a letter go, the clean rows stay."""
+    item = P.benchmark(spark, sf_dir).first()["text"]
+    clean = "one two three four five"
+    rows = [(None, item), (None, clean), (None, "12 34"), (None, None), (5, item), (5, clean), (5, "12 34"), (6, clean)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], COLUMNS)
+    left = lambda frame: sorted((r["doc_id"] or 0, r["text"] or "") for r in rows_of(frame))
+    assert left(P.language_id(spark, docs, sf_dir)) == sorted(
+        [(0, item), (0, clean), (5, item), (5, clean), (6, clean)])
+    assert left(P.decontaminated(spark, docs, sf_dir)) == sorted(
+        [(0, clean), (0, "12 34"), (0, ""), (5, clean), (5, "12 34"), (6, clean)])
