@@ -125,3 +125,59 @@ SELECT c.doc_id, len(c.words)::BIGINT AS n_words, coalesce(k.n_removed, 0) AS n_
   sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM cut c LEFT JOIN kept k USING (doc_id)
 """
+
+
+def _crc32(value: str) -> str:
+    """The unsigned CRC-32 of a value written in ASCII."""
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = f"list_transform(string_split(({value})::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: {bits}), 4294967295)"
+
+
+def _fields(*values: str) -> str:
+    return "sha256(" + " || ".join(
+        f"coalesce(strlen(({v})::VARCHAR) || ':' || ({v})::VARCHAR, '-')" for v in values) + ")"
+
+
+MANIFEST_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS rank,
+    {_fields("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+    CASE WHEN {_crc32("doc_id")} % 7 = 0 THEN {_fields("doc_id", "source", "lang", "n_chars + 1", "text")} END AS tampered
+  FROM documents),
+levels AS (
+  SELECT tree, 0 AS level, rank AS pos, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2
+  FROM levels WHERE n > 1 GROUP BY tree, level, n, pos // 2),
+tops AS (
+  SELECT tree, level AS height, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS rank
+  FROM levels WHERE n = 1),
+crown AS (
+  SELECT 0 AS level, rank AS pos, subroot AS digest, count(*) OVER () AS n FROM tops
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2
+  FROM crown WHERE n > 1 GROUP BY level, n, pos // 2),
+root AS (SELECT level AS height, digest AS root FROM crown WHERE n = 1),
+ways AS (
+  SELECT doc_id, a.tree, unnest(range(t.height)) AS level, 0 AS base, a.rank FROM leaves a JOIN tops t USING (tree)
+  UNION ALL
+  SELECT doc_id, NULL, unnest(range(r.height)), t.height, t.rank FROM leaves a JOIN tops t USING (tree), root r),
+steps AS (
+  SELECT w.doc_id, w.base + w.level AS step, coalesce(l.digest, c.digest) AS sibling, (w.rank >> w.level) & 1 = 1 AS comes_first
+  FROM ways w
+  LEFT JOIN levels l ON l.tree = w.tree AND l.level = w.level AND l.pos = xor(w.rank >> w.level, 1)
+  LEFT JOIN crown c ON w.tree IS NULL AND c.level = w.level AND c.pos = xor(w.rank >> w.level, 1)),
+folds AS (
+  SELECT doc_id, 0::BIGINT AS step, coalesce(tampered, leaf) AS digest FROM leaves
+  UNION ALL
+  SELECT f.doc_id, f.step + 1, sha256(CASE WHEN s.sibling IS NULL THEN f.digest
+    WHEN s.comes_first THEN s.sibling || f.digest ELSE f.digest || s.sibling END)
+  FROM folds f JOIN steps s ON f.doc_id = s.doc_id AND f.step = s.step),
+proofs AS (
+  SELECT doc_id, sha256(coalesce(string_agg(sibling, '' ORDER BY step), '')) AS proof_sha256 FROM steps GROUP BY doc_id)
+SELECT a.doc_id, a.leaf, t.subroot, r.root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256,
+  f.digest AS folded_root, f.digest = r.root AS verified
+FROM leaves a JOIN tops t USING (tree) JOIN root r ON true LEFT JOIN proofs p ON p.doc_id = a.doc_id
+JOIN folds f ON f.doc_id = a.doc_id AND f.step = t.height + r.height
+"""

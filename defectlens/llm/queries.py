@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontamination, langid, linededup, lm, neardup, pii, quality, sharding, substrings
-from .oracles import LINES_SQL, PASSAGES_SQL, QUALITY_SQL, SHARDS_SQL
+from . import bpe, decontamination, langid, linededup, lm, merkle, neardup, pii, quality, sharding, substrings
+from .oracles import LINES_SQL, MANIFEST_SQL, PASSAGES_SQL, QUALITY_SQL, SHARDS_SQL
 from .tables import benchmark, documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,16 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(documents(spark, sf_dir), SHARD_BYTES).select(
         "doc_id", "n_bytes", "shard", F.col("depth").cast("long").alias("depth"), "shard_bytes", "fits")
+
+
+@_query("op11_merkle_manifest", MANIFEST_SQL)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    tampered = F.when(fold(7) == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    rows = docs.select("doc_id", "lang", *[
+        merkle.leaf_digest(*[F.col(c) for c in ("doc_id", "source", "lang")], n, F.col("text")).alias(name)
+        for name, n in (("digest", F.col("n_chars")), ("shown", tampered))])
+    proven = merkle.prove(rows, "lang", "doc_id", "digest", ["doc_id", "shown"])
+    return proven.withColumn("folded_root", merkle.folded(F.col("shown"), F.col("proof"))).select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
