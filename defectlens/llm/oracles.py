@@ -181,3 +181,44 @@ SELECT a.doc_id, a.leaf, t.subroot, r.root, coalesce(p.proof_sha256, sha256(''))
 FROM leaves a JOIN tops t USING (tree) JOIN root r ON true LEFT JOIN proofs p ON p.doc_id = a.doc_id
 JOIN folds f ON f.doc_id = a.doc_id AND f.step = t.height + r.height
 """
+
+TRIE_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT DISTINCT conv_id, {_crc32("conv_id")} % 4 AS taken, conv_id - conv_id % 20 AS head FROM turns),
+rebuilt AS (
+  SELECT c.conv_id, t.role, t.text, 0 AS part, t.pos FROM convs c JOIN turns t ON t.conv_id = c.head AND t.pos < c.taken
+  UNION ALL
+  SELECT c.conv_id, t.role, t.text, 1, t.pos FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos >= c.taken),
+named AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth,
+    sha256(strlen(role) || ':' || role || text) AS turn,
+    len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n_words
+  FROM rebuilt),
+paths AS (
+  SELECT conv_id, depth, n_words, sha256(string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS key FROM named
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM convs),
+nodes AS (
+  SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n_words) AS n_words
+  FROM paths GROUP BY key, depth),
+edges AS (
+  SELECT DISTINCT a.key AS up, b.key AS key FROM paths a JOIN paths b ON a.conv_id = b.conv_id AND b.depth = a.depth + 1),
+children AS (SELECT up AS key, count(*) AS n_children FROM edges GROUP BY up),
+under AS (
+  SELECT DISTINCT a.key AS top, b.key AS key FROM paths a JOIN paths b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+sums AS (
+  SELECT u.top AS key, count(*) FILTER (c.key IS NULL) AS n_leaves,
+    sum((n.n_convs - 1) * n.n_words)::BIGINT AS saved_tokens
+  FROM under u JOIN nodes n ON n.key = u.key LEFT JOIN children c ON c.key = u.key GROUP BY u.top),
+ends AS (
+  SELECT key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (
+    SELECT conv_id, arg_max(key, depth) AS key FROM paths GROUP BY conv_id) GROUP BY key)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children,
+  s.n_leaves, s.saved_tokens, sha256(coalesce(x.ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN edges e ON e.key = n.key LEFT JOIN nodes p ON p.key = e.up
+LEFT JOIN children c ON c.key = n.key JOIN sums s ON s.key = n.key LEFT JOIN ends x ON x.key = n.key
+"""

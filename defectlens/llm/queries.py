@@ -7,9 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontamination, langid, linededup, lm, merkle, neardup, pii, quality, sharding, substrings
-from .oracles import LINES_SQL, MANIFEST_SQL, PASSAGES_SQL, QUALITY_SQL, SHARDS_SQL
-from .tables import benchmark, documents, fold
+from . import bpe, decontamination, langid, linededup, lm, merkle, neardup, pii, quality, sharding, simhash, substrings, trie
+from .oracles import LINES_SQL, MANIFEST_SQL, PASSAGES_SQL, QUALITY_SQL, SHARDS_SQL, TRIE_SQL
+from .tables import benchmark, conversations, documents, fold, materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -121,3 +121,18 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proven.withColumn("folded_root", merkle.folded(F.col("shown"), F.col("proof"))).select(
         "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@_query("op12_conversation_trie", TRIE_SQL)
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = materialise(trie.encode_turns(conversations(spark, sf_dir)))
+    own = F.col("conv_id")
+    taken = F.crc32(own.cast("string").cast("binary")) % 4
+    return trie.prefix_trie(trie.with_shared_head(encoded, own - own % 20, taken, most=3))
+
+
+@_query("op13_simhash_groups")
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_groups(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

@@ -18,6 +18,10 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
 def fold(modulus: int):
     """The fold of a document: crc32 of its id as text."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
@@ -39,4 +43,4 @@ def ship(*module_names: str) -> None:
         cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
-__all__ = ["benchmark", "documents", "fold", "join_apart", "materialise", "ship"]
+__all__ = ["benchmark", "conversations", "documents", "fold", "join_apart", "materialise", "ship"]
