@@ -10,7 +10,7 @@ from defectlens.llm.queries import oracles, registered
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     connection = duckdb.connect()
-    for name in ("documents", "benchmark"):
+    for name in ("documents", "benchmark", "conversations"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     return connection
 
@@ -24,7 +24,7 @@ def rows(frame):
 @pytest.mark.parametrize("name", sorted(oracles()))
 def test_against_sql(spark, duck, sf_dir, name):
     got = registered()[name](spark, sf_dir).toPandas()
-    want = duck.execute(oracles()[name]).df()
+    want = duck.execute(oracles()[name]).to_arrow_table().to_pandas()  # null integers as in Spark's
     assert sorted(got.columns) == sorted(want.columns)
     for column in got.columns:
         assert got[column].dtype == want[column].dtype, column
