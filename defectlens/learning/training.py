@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import SparkContext
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier,
@@ -132,29 +134,59 @@ def best_round(losses: Sequence[float], patience: int = STOP_AFTER) -> int:
     return best + 1
 
 
-def fit_stopping(
-    estimator: GBTClassifier, train: DataFrame, val: DataFrame, patience: int = STOP_AFTER
-) -> GBTClassificationModel:
-    """All rounds are fitted and measured on the validation rows; if the best round is not the
-    last, the rounds up to it are fitted again. Every round draws from the seed and its number, so
-    these are the same trees."""
-    model = estimator.fit(train)
-    rounds = best_round(model.evaluateEachIteration(val), patience)
-    return model if rounds == model.getNumTrees else estimator.copy({estimator.maxIter: rounds}).fit(train)
+def first_rounds(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The model of the first ``rounds`` trees, which are those a fit of so many rounds grows."""
+    java, gateway = model._java_obj, SparkContext._active_spark_context._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(gateway.jvm.double, rounds)
+    all_trees, all_weights = java.trees(), java.treeWeights()
+    for i in range(rounds):
+        trees[i], weights[i] = all_trees[i], all_weights[i]
+    cut = GBTClassificationModel(gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        model.uid, trees, weights, model.numFeatures, model.numClasses))
+    return model._copyValues(cut)
+
+
+def fit_staged(
+    estimator: GBTClassifier, rounds: Sequence[int], train: DataFrame, val: DataFrame, patience: int = STOP_AFTER,
+) -> dict[int, GBTClassificationModel]:
+    """For each of ``rounds`` the model of the best of so many rounds on the validation rows.
+
+    Every round draws from the seed and its number, so a shorter fit is the beginning of a longer
+    one. ``patience`` rounds are fitted, then twice as many, and so on, until the best round lies
+    ``patience`` behind or the largest of ``rounds`` is reached; the models kept are cut out of the
+    last fit. At most four times the rounds up to the stop are fitted, whatever the limit is.
+    """
+    most, n = max(rounds), patience
+    while True:
+        n = min(n, most)
+        model = estimator.copy({estimator.maxIter: n}).fit(train)
+        losses = model.evaluateEachIteration(val)
+        if n == most or n - best_round(losses, patience) >= patience:
+            return {r: first_rounds(model, best_round(losses[:r], patience)) for r in rounds}
+        n *= 2
 
 
 def search_boosted(
     train: DataFrame, val: DataFrame, grid: Sequence[dict] = STATIC_TREES, seed: int = 42,
-    patience: int = STOP_AFTER, parallelism: int = 4, ident: str = "sample_id",
+    patience: int = STOP_AFTER, parallelism: int = 8, ident: str = "sample_id",
 ) -> Search:
-    """Each setting with its best number of rounds on the validation rows."""
+    """Each setting with its best number of rounds; those that differ in rounds only share a fit."""
     grid = list(grid)
+    shared = defaultdict(list)
+    for params in grid:
+        shared[tuple(sorted((k, v) for k, v in params.items() if k != "rounds"))].append(params)
     weighted = placed(with_positive_weight(train), ident).persist()
-    measured = val.withColumn("weight", F.lit(1.0)).persist()
+    measured = placed(val.withColumn("weight", F.lit(1.0)), ident).persist()
+
+    def fitted(group):
+        found = fit_staged(boosted(group[0], seed), [p["rounds"] for p in group], weighted, measured, patience)
+        return [(p, found[p["rounds"]]) for p in group]
+
     try:
         with ThreadPoolExecutor(parallelism) as pool:
-            models = list(pool.map(
-                lambda p: fit_stopping(boosted(p, seed), weighted, measured, patience), grid))
+            pairs = [pair for group in pool.map(fitted, shared.values()) for pair in group]
+        models = [next(m for p, m in pairs if p is params) for params in grid]
         return pick_best(models, grid, val)
     finally:
         weighted.unpersist()

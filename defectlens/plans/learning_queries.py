@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
 from pyspark.sql import functions as F
 
-from ..learning import holdout, preparation, training
+from ..learning import holdout, preparation, store, training
 from ..operators import codefeatures, evaluation, explain
 from ..operators.relational import union_all
 from ..operators.splits import group_split, stratified_group_folds
@@ -29,8 +30,27 @@ def _by_fold(df):
 
 
 def _static(spark, sf_dir):
+    """Rows by fold: sample_id, task_id, label, the features and their vector."""
     vectors = preparation.static_vectors(_features(spark, sf_dir), FEATURE_COLUMNS)
-    return _by_fold(materialise(vectors.select("sample_id", "task_id", "label", "fold", "features")))
+    return _by_fold(materialise(vectors.select("sample_id", "task_id", "label", "fold", *FEATURE_COLUMNS, "features")))
+
+
+def _fitted(spark, folds, name, search, load):
+    """The model of a search on train and validation rows, fitted once in an application."""
+    rows = [folds[f].drop("features") for f in ("train", "val")]
+    return store.stored(spark, name, rows, lambda: search(folds["train"], folds["val"]).model, load)
+
+
+def _static_logistic(spark, folds):
+    return _fitted(spark, folds, "logistic_static", training.search_logistic, LogisticRegressionModel.load)
+
+
+def _static_trees(spark, folds):
+    return _fitted(spark, folds, "boosted_static", training.search_boosted, GBTClassificationModel.load)
+
+
+def _static_models(spark, folds):
+    return {"logreg": _static_logistic(spark, folds), "boosted": _static_trees(spark, folds)}
 
 
 @query("class_weights", """
@@ -71,16 +91,14 @@ def standardise(spark, sf_dir):
 @query("lr_static")
 def lr_static(spark, sf_dir):
     folds = _static(spark, sf_dir)
-    search = training.search_logistic(folds["train"], folds["val"])
-    return training.report(search.model, folds, "logistic regression, static")
+    return training.report(_static_logistic(spark, folds), folds, "logistic regression, static")
 
 
 @query("gbt_static")
 def gbt_static(spark, sf_dir):
     folds = _static(spark, sf_dir)
-    search = training.search_boosted(folds["train"], folds["val"])
-    return training.report(search.model, folds, "boosted trees, static").withColumn(
-        "n_trees", F.lit(search.model.getNumTrees))
+    model = _static_trees(spark, folds)
+    return training.report(model, folds, "boosted trees, static").withColumn("n_trees", F.lit(model.getNumTrees))
 
 
 @query("rf_static")
@@ -97,41 +115,32 @@ def gbt_fixed(spark, sf_dir):
     return training.report(model, folds, "boosted trees, one setting")
 
 
-def _static_models(spark, sf_dir):
-    """Features by fold with their vectors, and two models fitted on them."""
-    features = materialise(_features(spark, sf_dir))
-    folds = _by_fold(materialise(preparation.static_vectors(features, FEATURE_COLUMNS)))
-    models = {
-        "logreg": training.search_logistic(folds["train"], folds["val"]).model,
-        "boosted": training.search_boosted(folds["train"], folds["val"]).model,
-    }
-    return folds, models
-
-
 @query("model_predictions")
 def model_predictions(spark, sf_dir):
     """The predictions table of the test fold: probability and call of each model."""
-    folds, models = _static_models(spark, sf_dir)
-    predicted = training.with_predictions(folds["test"].select("sample_id", "label", "features"), models)
-    return predicted.drop("features")
+    folds = _static(spark, sf_dir)
+    rows = folds["test"].select("sample_id", "label", "features")
+    return training.with_predictions(rows, _static_models(spark, folds)).drop("features")
 
 
 @query("model_cutoffs")
 def model_cutoffs(spark, sf_dir):
     """Each model on test at the default cutoff and at the one that is best on validation."""
-    folds, models = _static_models(spark, sf_dir)
+    folds = _static(spark, sf_dir)
     return union_all(*[
         evaluation.threshold_apply(training.score(m, folds["val"]), training.score(m, folds["test"])).select(
             F.lit(name).alias("model"), "setting", "threshold", *[F.round(c, 4).alias(c) for c in ("auc", "f1", "accuracy")])
-        for name, m in models.items()
+        for name, m in _static_models(spark, folds).items()
     ])
 
 
 @query("model_intervals")
 def model_intervals(spark, sf_dir):
     """Resampled intervals of AUC and F1 on test, one row per model."""
-    folds, models = _static_models(spark, sf_dir)
-    predicted = materialise(training.with_predictions(folds["test"].select("sample_id", "label", "features"), models).drop("features"))
+    folds = _static(spark, sf_dir)
+    models = _static_models(spark, folds)
+    rows = folds["test"].select("sample_id", "label", "features")
+    predicted = materialise(training.with_predictions(rows, models).drop("features"))
     rows = []
     for name in models:
         interval = {
@@ -147,16 +156,15 @@ def model_intervals(spark, sf_dir):
 @query("model_contributions")
 def model_contributions(spark, sf_dir):
     """What each feature adds to the fitted logistic model's scores on test."""
-    folds, models = _static_models(spark, sf_dir)
-    weights = dict(zip(FEATURE_COLUMNS, models["logreg"].coefficients.toArray().tolist()))
+    folds = _static(spark, sf_dir)
+    weights = dict(zip(FEATURE_COLUMNS, _static_logistic(spark, folds).coefficients.toArray().tolist()))
     return explain.explain_linear(folds["train"], folds["test"], weights)
 
 
 @query("tree_importance")
 def tree_importance(spark, sf_dir):
     folds = _static(spark, sf_dir)
-    search = training.search_boosted(folds["train"], folds["val"])
-    return training.tree_importance(search.model, FEATURE_COLUMNS)
+    return training.tree_importance(_static_trees(spark, folds), FEATURE_COLUMNS)
 
 
 @query("lr_crossval")

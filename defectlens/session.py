@@ -80,11 +80,16 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
         _written.remove(name)
 
 
-def placed(df: DataFrame, ident: str) -> DataFrame:
+#: Rows of a partition of a fit, by default.
+FIT_ROWS = 1 << 16
+
+
+def placed(df: DataFrame, ident: str, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Rows dealt out by their id and sorted by it, for work whose result depends on place.
 
-    Learners that draw rows draw per partition: with this the draw depends on the ids and
-    on ``spark.sql.shuffle.partitions``, not on how many files or cores there are.
+    Learners that draw rows draw per partition: with this the draw depends on the ids and on
+    ``fit_rows``, about which a partition holds, not on how many files, cores or shuffle
+    partitions there are.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, -(-df.count() // fit_rows))
     return df.repartition(n, F.col(ident)).sortWithinPartitions(ident)

@@ -5,10 +5,10 @@ import inspect
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
 from pyspark.sql import functions as F
 
-from defectlens.learning import holdout, preparation as P, training as M
+from defectlens.learning import holdout, preparation as P, store, training as M
 from defectlens.operators import explain
 from defectlens.operators.evaluation import auc, model_comparison
 from defectlens.operators.splits import stratified_group_folds
@@ -177,6 +177,48 @@ def test_boosting_goes_on_past_one_tree(spark, table):
     assert 1 < search.model.getNumTrees <= 30
 
 
+@pytest.mark.parametrize("patience", [2, 4])
+def test_staged_fits_keep_the_trees_of_the_full_fit(table, patience):
+    train, val = table.where("sample_id % 4 <> 0").withColumn("weight", F.lit(1.0)), table.where("sample_id % 4 = 0")
+    train, val = M.placed(train, "sample_id").cache(), val.withColumn("weight", F.lit(1.0)).cache()
+    learner = M.boosted({"rounds": 1, "step": 0.3, "depth": 3, "columns": "0.7"})
+    limits = [3, 12, 16]
+    full = learner.copy({learner.maxIter: 16}).fit(train)
+    losses = full.evaluateEachIteration(val)
+    staged = M.fit_staged(learner, limits, train, val, patience)
+    for limit in limits:
+        want = learner.copy({learner.maxIter: M.best_round(losses[:limit], patience)}).fit(train)
+        assert staged[limit].toDebugString.split("\n")[1:] == want.toDebugString.split("\n")[1:]
+        assert staged[limit].treeWeights == want.treeWeights
+        assert staged[limit].featureImportances == want.featureImportances
+
+
+def test_settings_that_differ_in_rounds_share_a_fit(table, monkeypatch):
+    fits = []
+    whole = M.fit_staged
+    monkeypatch.setattr(M, "fit_staged", lambda *a: fits.append(a[1]) or whole(*a))
+    grid = [{"rounds": n, "step": s, "depth": 2, "columns": "all"} for n in (2, 4) for s in (0.1, 0.3)]
+    search = M.search_boosted(table, table, grid, patience=2)
+    assert sorted(fits) == [[2, 4], [2, 4]] and [p for p, _ in search.scores] == grid
+
+
+def test_models_are_fitted_once_per_data(spark, table):
+    fits = []
+
+    def model(rows):
+        return store.stored(spark, "once", [rows.drop("features")], lambda: fits.append(1) or M.fit_boosted(
+            rows, {**M.PLAIN_TREES, "rounds": 2}), GBTClassificationModel.load)
+
+    first, again, other = model(table), model(table.repartition(3)), model(table.where("sample_id > 50"))
+    assert len(fits) == 2
+    assert first.toDebugString.split("\n")[1:] == again.toDebugString.split("\n")[1:] != other.toDebugString.split("\n")[1:]
+
+
+def test_placing_does_not_depend_on_the_session(spark):
+    assert M.placed(spark.range(10).toDF("id"), "id").rdd.getNumPartitions() == 1
+    assert M.placed(spark.range(10).toDF("id"), "id", 4).rdd.getNumPartitions() == 3
+
+
 def test_best_round():
     assert M.best_round([3.0, 2.0, 1.0]) == 3
     assert M.best_round([3.0, 1.0, 1.0, 2.0, 0.5], patience=3) == 5
@@ -250,6 +292,7 @@ def test_registered_searches_are_whole(spark, table, monkeypatch, name, place, f
     monkeypatch.setattr(Q, "_text_tables", lambda *_: Tables())
     monkeypatch.setattr(Q, "text_families", lambda df: df.select(F.lit("f").alias("family"), "model_name").distinct())
     monkeypatch.setattr(M, "search_logistic", lambda *_: M.Search(None, None))
+    monkeypatch.setattr(Q.store, "stored", lambda spark, name, tables, fit, load: fit())
     if name == "gbt_tfidf":
         monkeypatch.setattr(holdout, "TextModel", lambda *_, **__: Vectors())
     if function == "TextModel":
