@@ -3,7 +3,8 @@
 A word is a maximal run of bytes other than space and 0x09-0x0D, which is the same as a run of
 such characters because all other bytes of UTF-8 are above 0x7F or printable. A null text has
 no words. Texts are handled in chunks of about ``CHUNK_BYTES``; a longer text is a chunk of its
-own, so the memory of a task is bounded by the longest single text, never by the table.
+own, so the memory of a task is bounded by the longest single text, never by the table. Inside a
+chunk, bytes are looked at ``BLOCK_BYTES`` at a time: what stays is three numbers a word.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ import pyarrow as pa
 
 from .tables import ship
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 19
+BLOCK_BYTES, _BLOCK_WORDS = 1 << 18, 1 << 15
+#: Longer words are hashed in pieces of this many bytes.
+_PIECE = 1 << 12
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x2545F4914F6CDD1D | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,21 +45,15 @@ _PLAIN = _byte_values()
 _LOWER = _PLAIN.copy()
 _LOWER[ord("A"):ord("Z") + 1] = _PLAIN[ord("a"):ord("z") + 1]
 
-_powers = np.ones(1, dtype=np.uint64)
-_inverses = np.ones(1, dtype=np.uint64)
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """``base ** i`` modulo 2**64 for i < n."""
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``_BASE ** i`` and its inverse modulo 2**64 for i < n, kept for the next call."""
-    global _powers, _inverses
-    if len(_powers) < n:
-        def table(base: int) -> np.ndarray:
-            out = np.full(n, base, dtype=np.uint64)
-            out[0] = 1
-            return np.multiply.accumulate(out)
 
-        _powers, _inverses = table(_BASE), table(_INVERSE)
-    return _powers[:n], _inverses[:n]
+_PIECE_POWERS = _powers(_BASE, _PIECE)
 
 
 class Texts(NamedTuple):
@@ -102,31 +99,51 @@ def chunks(batch: pa.RecordBatch, text: str = "text", size: int = CHUNK_BYTES) -
 
 def find_words(texts: Texts, breaks: np.ndarray = _SPACE) -> Words:
     data, offsets = texts
-    if not len(data):
-        none = np.zeros(0, np.int64)
-        return Words(none, none, np.zeros(len(offsets), np.int64))
-    inside = ~breaks[data]
-    edge = np.zeros(len(data) + 1, dtype=bool)
-    edge[offsets] = True
-    before = np.empty(len(data), dtype=bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    start = np.flatnonzero(inside & (~before | edge[:-1]))
-    after = np.empty(len(data), dtype=bool)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    return Words(start, end, np.searchsorted(start, offsets))
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(data), BLOCK_BYTES):
+        # One byte more on each side, which shows where a word goes on.
+        lo, hi = max(at - 1, 0), min(at + BLOCK_BYTES + 1, len(data))
+        inside = ~breaks[data[lo:hi]]
+        edge = np.zeros(hi - lo + 1, dtype=bool)
+        edge[offsets[np.searchsorted(offsets, lo):np.searchsorted(offsets, hi, side="right")] - lo] = True
+        goes_on = inside[1:] & inside[:-1] & ~edge[1:-1]
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~goes_on
+        last[:-1] &= ~goes_on
+        own = slice(at - lo, min(at + BLOCK_BYTES, len(data)) - lo)
+        starts.append(np.flatnonzero(first[own]) + at)
+        ends.append(np.flatnonzero(last[own]) + at + 1)
+    start = np.concatenate(starts)
+    return Words(start, np.concatenate(ends), np.searchsorted(start, offsets))
 
 
 def span_hashes(texts: Texts, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each byte span; with ``lower``, A-Z count as a-z."""
-    n = len(texts.data)
-    powers, inverses = _power_tables(n + 1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((_LOWER if lower else _PLAIN)[texts.data] * powers[:n], out=total[1:])
-    raw = (total[end] - total[start]) * inverses[start]
-    return mix(raw + (end - start).astype(np.uint64) * _GOLDEN)
+    """A 64-bit hash of each word; with ``lower``, A-Z count as a-z. Words are not empty."""
+    out = np.empty(len(start), dtype=np.uint64)
+    values = _LOWER if lower else _PLAIN
+    for a in range(0, len(start), _BLOCK_WORDS):
+        out[a:a + _BLOCK_WORDS] = _word_hashes(texts.data, start[a:a + _BLOCK_WORDS], end[a:a + _BLOCK_WORDS], values)
+    return out
+
+
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray) -> np.ndarray:
+    sizes = end - start
+    # A word is one piece or more, in places of its own.
+    pieces = -(-sizes // _PIECE)
+    number = ranges(np.zeros_like(pieces), pieces)
+    at = np.repeat(start, pieces) + number * _PIECE
+    length = np.minimum(np.repeat(end, pieces) - at, _PIECE)
+    raw = np.empty(len(at), dtype=np.uint64)
+    block = np.cumsum(length) // BLOCK_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(at)]
+    for a, b in zip(cuts, cuts[1:]):
+        size = length[a:b]
+        spread = values[data[ranges(at[a:b], size)]]
+        spread *= _PIECE_POWERS[ranges(np.zeros_like(size), size)]
+        raw[a:b] = np.add.reduceat(spread, np.cumsum(size) - size)
+    if len(at) > len(start):
+        raw *= _powers(pow(_BASE, _PIECE, 1 << 64), int(pieces.max()))[number]
+    return mix(np.add.reduceat(raw, np.cumsum(pieces) - pieces) + sizes.astype(np.uint64) * _GOLDEN)
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -134,16 +151,17 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    if width <= 8:
-        out = hashes[:n].copy()
-        for k in range(1, width):
-            out *= np.uint64(_BASE)
-            out += hashes[k:k + n]
-        return mix(out)
-    powers, inverses = _power_tables(len(hashes) + 1)
-    total = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(hashes * powers[:-1], out=total[1:])
-    return mix((total[width:] - total[:n]) * inverses[:n])
+    # Runs of 1, 2, 4, ... entries; those in the binary form of the width, one after the other.
+    run, size, done, out = hashes, 1, 0, np.zeros(n, dtype=np.uint64)
+    while True:
+        if width & size:
+            out *= np.uint64(pow(_BASE, size, 1 << 64))
+            out += run[done:done + n]
+            done += size
+        if 2 * size > width:
+            return mix(out)
+        run = run[:-size] * np.uint64(pow(_BASE, size, 1 << 64)) + run[size:]
+        size *= 2
 
 
 def owners(first: np.ndarray) -> np.ndarray:
