@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCols, HasOutputCols
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.ordering import exact_quantiles
@@ -64,6 +69,41 @@ def impute_median(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame |
     }).drop("_m")
 
 
+class _FilledColumns(HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Columns in, columns without nulls out, one for one."""
+
+
+class MedianFiller(_FilledColumns, Estimator):
+    """A pipeline stage that fills nulls, as :func:`impute_median` does, by the exact medians of the
+    rows it is fitted on. A column without values is filled by 0."""
+
+    @keyword_only
+    def __init__(self, *, inputCols: Sequence[str] | None = None, outputCols: Sequence[str] | None = None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> MedianFillerModel:
+        columns = self.getInputCols()
+        # A number per column comes back.
+        found = {r["column"]: r["median"] for r in column_medians(dataset, columns).collect()}
+        filled = MedianFillerModel(medians=[found.get(c) or 0.0 for c in columns])
+        return self._copyValues(filled)
+
+
+class MedianFillerModel(_FilledColumns, Model):
+    medians = Param(Params._dummy(), "medians", "what fills each input column", TypeConverters.toListFloat)
+
+    @keyword_only
+    def __init__(self, *, medians: Sequence[float] | None = None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset.withColumns({
+            out: F.coalesce(F.col(c).cast("double"), F.lit(float(m)))
+            for c, out, m in zip(self.getInputCols(), self.getOutputCols(), self.getOrDefault(self.medians))})
+
+
 def standardise(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame | None = None) -> DataFrame:
     """(x - mean) / population deviation; constant columns are only centred."""
     source = fitted_on if fitted_on is not None else df

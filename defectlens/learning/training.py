@@ -14,7 +14,7 @@ from pyspark.ml.classification import (
     GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, StandardScaler, UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.feature import StandardScaler, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.evaluation import auc, binary_metrics
 from ..operators.relational import label_at, union_all
 from ..session import placed
-from .preparation import with_balanced_weight, with_positive_weight
+from .preparation import MedianFiller, with_balanced_weight, with_positive_weight
 
 # The parameter grids of the searches.
 STATIC_C = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
@@ -38,6 +38,9 @@ TFIDF_TREES = [
 ]
 PLAIN_TREES = {"rounds": 400, "step": 0.05, "depth": 6, "columns": "0.8", "leaf": 1}
 ROW_SHARE, LEAF_ROWS, STOP_AFTER = 0.8, 20, 50
+#: Relative gain of an iteration at which the logistic solver ends: coefficients are those of the
+#: problem, not of the solver's patience (see :mod:`optimality`).
+TOLERANCE = 1e-10
 FOREST_TREES, FOREST_LEAF, FOREST_DEPTH = 400, 2, 30
 
 
@@ -98,7 +101,7 @@ def logistic(c: float, n_rows: int, iterations: int, standardise: bool) -> Logis
     return LogisticRegression(
         featuresCol="features", labelCol="label", weightCol="weight",
         regParam=1.0 / (c * n_rows), elasticNetParam=0.0,
-        standardization=standardise, maxIter=iterations,
+        standardization=standardise, maxIter=iterations, tol=TOLERANCE,
     )
 
 
@@ -107,10 +110,13 @@ def search_logistic(
     iterations: int = 1000, standardise: bool = True,
 ) -> Search:
     grid = list(grid)
-    weighted = with_balanced_weight(train)
+    return pick_best(fit_logistic(train, grid, iterations, standardise), grid, val)
+
+
+def fit_logistic(train: DataFrame, grid: Sequence[float], iterations: int = 1000, standardise: bool = True) -> list:
+    """A balanced model per C."""
     n_rows = train.count()
-    models = fit_all([logistic(c, n_rows, iterations, standardise) for c in grid], weighted)
-    return pick_best(models, grid, val)
+    return fit_all([logistic(c, n_rows, iterations, standardise) for c in grid], with_balanced_weight(train))
 
 
 def boosted(params: dict, seed: int = 42) -> GBTClassifier:
@@ -222,8 +228,7 @@ def fit_forest(
 def _impute_stages(columns: Sequence[str], scale: bool) -> list:
     filled = [f"{c}_filled" for c in columns]
     stages = [
-        # Relative error 0 would be exact but holds all distinct values; 1e-4 is bounded.
-        Imputer(strategy="median", inputCols=list(columns), outputCols=filled, relativeError=1e-4),
+        MedianFiller(inputCols=list(columns), outputCols=filled),
         VectorAssembler(inputCols=filled, outputCol="assembled" if scale else "features"),
     ]
     if scale:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
 from pyspark.sql import functions as F
 
-from ..learning import holdout, preparation, store, training
+from ..learning import holdout, optimality, preparation, store, training
 from ..operators import codefeatures, evaluation, explain
 from ..operators.relational import union_all
 from ..operators.splits import group_split, stratified_group_folds
 from ..schema import FEATURE_COLUMNS
 from ..session import materialise
 from .registry import query
-from .views import SEED, code_samples, table, text_families, text_samples
+from .text_queries import train_moments_sql
+from .views import FULL_CODE_FEATURES, SEED, code_samples, folds_sql, table, text_families, text_samples
 
 # All searches walk the library's own grids, in full: a round of boosting is a few cluster jobs, and
 # the tree searches are thousands of rounds.
@@ -94,6 +96,32 @@ def lr_static(spark, sf_dir):
     return training.report(_static_logistic(spark, folds), folds, "logistic regression, static")
 
 
+_SPLIT_FEATURES = f"""WITH {FULL_CODE_FEATURES}, {folds_sql('code_samples')},
+  rows AS (SELECT f.*, g.fold FROM full_features f JOIN folds g ON f.task_id = g.task_id)"""
+
+
+def _moments_sql(rows, value):
+    """What a solved balanced model must fulfil: half of each column's mean over the passes."""
+    passes = f"FROM ({rows}) WHERE label = 1"
+    return " UNION ALL ".join(
+        [f"SELECT '{c}' AS name, round(avg({value.format(c=c)}) / 2, 6) AS moment {passes}" for c in FEATURE_COLUMNS]
+        + ["SELECT 'intercept', 0.5::DOUBLE"])
+
+
+@query("lr_static_optimality", f"""{_SPLIT_FEATURES}, moments AS (
+{_moments_sql("SELECT * FROM rows WHERE fold = 'train'", "{c}::DOUBLE")})
+SELECT c::DOUBLE AS c, name, moment, true AS solved FROM moments, (SELECT unnest({list(training.STATIC_C)}) AS c)""")
+def lr_static_optimality(spark, sf_dir):
+    """Whether the fits of all candidate settings solve their problem: see ``learning.optimality``."""
+    train = _static(spark, sf_dir)["train"]
+    weighted, n = preparation.with_balanced_weight(train), train.count()
+    fits = zip(training.STATIC_C, training.fit_logistic(train, training.STATIC_C))
+    return union_all(*[
+        optimality.named(optimality.certificate(m, weighted, 1.0 / (c * n), standardised=True), FEATURE_COLUMNS)
+        .withColumn("c", F.lit(float(c)))
+        for c, m in fits])
+
+
 @query("gbt_static")
 def gbt_static(spark, sf_dir):
     folds = _static(spark, sf_dir)
@@ -167,17 +195,34 @@ def tree_importance(spark, sf_dir):
     return training.tree_importance(_static_trees(spark, folds), FEATURE_COLUMNS)
 
 
-@query("lr_crossval")
-def lr_crossval(spark, sf_dir):
-    """Grid search over group folds of train, then the best setting on train and validation."""
+def _crossval(spark, sf_dir):
+    """Features by fold, the rows of train and validation, and the search over group folds of train."""
     features = materialise(_features(spark, sf_dir))
     folds = _by_fold(features)
     train = materialise(folds["train"].join(stratified_group_folds(folds["train"], seed=SEED), "task_id"))
     search = training.crossval_logistic(train, FEATURE_COLUMNS, parallelism=4)
-    both = features.where(F.col("fold").isin("train", "val"))
+    return folds, features.where(F.col("fold").isin("train", "val")), search
+
+
+@query("lr_crossval")
+def lr_crossval(spark, sf_dir):
+    """Grid search over group folds of train, then the best setting on train and validation."""
+    folds, both, search = _crossval(spark, sf_dir)
+    final = training.refit_logistic(both, FEATURE_COLUMNS, search.best)
+    return training.report(final, folds, "logistic regression, cross-validated")
+
+
+@query("lr_crossval_optimality", f"""{_SPLIT_FEATURES}, both_folds AS (SELECT * FROM rows WHERE fold IN ('train', 'val')),
+spread AS (SELECT {', '.join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in FEATURE_COLUMNS)} FROM both_folds)
+SELECT *, true AS solved FROM (
+{_moments_sql("SELECT * FROM both_folds, spread", "CASE WHEN s_{c} > 0 THEN ({c} - m_{c}) / s_{c} ELSE 0 END")})""")
+def lr_crossval_optimality(spark, sf_dir):
+    """Whether the final fit of the cross-validated search solves its problem, on imputed and scaled columns."""
+    _, both, search = _crossval(spark, sf_dir)
     final = training.refit_logistic(both, FEATURE_COLUMNS, search.best)
-    doubles = {f: df.withColumns({c: F.col(c).cast("double") for c in FEATURE_COLUMNS}) for f, df in folds.items()}
-    return training.report(final, doubles, "logistic regression, cross-validated")
+    rows = preparation.with_balanced_weight(PipelineModel(final.stages[:-1]).transform(both))
+    certified = optimality.certificate(final.stages[-1], rows, 1.0 / (search.best * both.count()), standardised=False)
+    return optimality.named(certified, FEATURE_COLUMNS).withColumn("moment", F.col("moment") + 0.0)
 
 
 @query("gbt_random_search")
@@ -186,8 +231,7 @@ def gbt_random_search(spark, sf_dir):
     folds = _by_fold(features)
     train = materialise(folds["train"].join(stratified_group_folds(folds["train"], seed=SEED), "task_id"))
     search = training.crossval_boosted(train, FEATURE_COLUMNS)
-    doubles = {f: df.withColumns({c: F.col(c).cast("double") for c in FEATURE_COLUMNS}) for f, df in folds.items()}
-    return training.report(search.model, doubles, "boosted trees, random search")
+    return training.report(search.model, folds, "boosted trees, random search")
 
 
 def _text_tables(spark, sf_dir):
@@ -206,6 +250,13 @@ def lr_tfidf(spark, sf_dir):
     )
 
 
+@query("lr_tfidf_optimality", train_moments_sql())
+def lr_tfidf_optimality(spark, sf_dir):
+    """Whether the chosen fit on static and text columns solves its problem, in each text column."""
+    model = holdout.TextModel(_text_tables(spark, sf_dir), FEATURE_COLUMNS)
+    return model.certificate().withColumn("moment", F.round("moment", 6))
+
+
 @query("top_coefficients")
 def top_coefficients(spark, sf_dir):
     model = holdout.TextModel(_text_tables(spark, sf_dir), FEATURE_COLUMNS)
