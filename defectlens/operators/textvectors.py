@@ -90,7 +90,7 @@ def char_units(df: DataFrame, ident: str, text: str, carry: Sequence[str] = ())
 UNITS = {"word": word_units, "char": char_units}
 
 
-def _terms(units: DataFrame, kind: str, *keep: str) -> DataFrame:
+def cut_terms(units: DataFrame, kind: str, *keep: str) -> DataFrame:
     if kind == "word":
         return units.select(*keep, F.col("unit").alias("term"), "n")
     return cut_words(units, *keep, "n")
@@ -98,7 +98,7 @@ def _terms(units: DataFrame, kind: str, *keep: str) -> DataFrame:
 
 def term_counts(units: DataFrame, ident: str, kind: str) -> DataFrame:
     """(id, term, tf)."""
-    return _terms(units, kind, ident).groupBy(ident, "term").agg(F.sum("n").alias("tf"))
+    return cut_terms(units, kind, ident).groupBy(ident, "term").agg(F.sum("n").alias("tf"))
 
 
 def vocabulary(units: DataFrame, kind: str, max_features: int = MAX_FEATURES) -> DataFrame:
@@ -108,13 +108,22 @@ def vocabulary(units: DataFrame, kind: str, max_features: int = MAX_FEATURES) ->
     document and character term. The window sees ``max_features`` rows at most.
     """
     corpus = units.groupBy("unit").agg(F.sum("n").alias("n"))
-    totals = _terms(corpus, kind).groupBy("term").agg(F.sum("n").alias("total"))
-    top = totals.orderBy(F.desc("total"), "term").limit(max_features)
+    totals = cut_terms(corpus, kind).groupBy("term").agg(F.sum("n").alias("total"))
+    return number_terms(top_terms(totals, max_features))
+
+
+def top_terms(totals: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+    """The most frequent terms of (term, total), ties by term; those of no use are none."""
+    return totals.where("total > 0").orderBy(F.desc("total"), "term").limit(max_features)
+
+
+def number_terms(vocab: DataFrame) -> DataFrame:
+    """A vocabulary with ``idx``, by term order."""
     by_term = Window.partitionBy(F.lit(0)).orderBy("term")
-    return top.withColumn("idx", F.row_number().over(by_term) - 1)
+    return vocab.withColumn("idx", F.row_number().over(by_term) - 1)
 
 
-def _bounded(table: DataFrame, rows: int) -> DataFrame:
+def bounded(table: DataFrame, rows: int) -> DataFrame:
     if rows > _BROADCAST_TERMS:
         raise ValueError(f"a vocabulary may have {_BROADCAST_TERMS} terms, not {rows}")
     return F.broadcast(table)
@@ -128,9 +137,9 @@ def vocabulary_counts(
     Units move once, by document. Their terms, several times as many, are cut, looked up
     and counted where the units are, without another exchange.
     """
-    known = _bounded(fitted, max_features)
+    known = bounded(fitted, max_features)
     extra = [c for c in fitted.columns if c not in ("term", "idx")]
-    found = _terms(units.repartition(ident), kind, ident).join(known, "term")
+    found = cut_terms(units.repartition(ident), kind, ident).join(known, "term")
     return found.groupBy(ident, "idx").agg(
         F.sum("n").alias("tf"), *[F.first(c).alias(c) for c in extra]
     )
@@ -155,13 +164,13 @@ def fit_tfidf(
     else:
         vocab = vocabulary(units, kind, max_features)
         counts = vocabulary_counts(units, ident, kind, vocab.select("term", "idx"), max_features)
-        counted = _bounded(vocab.select("term", "idx"), max_features).join(
+        counted = bounded(vocab.select("term", "idx"), max_features).join(
             counts.groupBy("idx").agg(F.count("*").alias("df")), "idx"
         ).select("term", "idx", "df")
     return counted.withColumn("idf", inverse_frequency(n_documents, F.col("df")))
 
 
-def _scaled(counts: DataFrame, ident: str) -> DataFrame:
+def scaled(counts: DataFrame, ident: str) -> DataFrame:
     """(id, idx, weight) from (id, idx, tf, idf)."""
     raw = counts.select(ident, "idx", ((1 + F.log("tf")) * F.col("idf")).alias("_w"))
     # At most max_features rows per document, placed by document already.
@@ -177,7 +186,7 @@ def tfidf_weights(
 ) -> DataFrame:
     """(id, idx, weight) under a fitted vectoriser: (1 + ln tf) * idf, of unit length per document."""
     lookup = fitted.select("term", "idx", "idf")
-    return _scaled(vocabulary_counts(units, ident, kind, lookup, max_features), ident)
+    return scaled(vocabulary_counts(units, ident, kind, lookup, max_features), ident)
 
 
 def fit_and_weigh(
@@ -193,24 +202,24 @@ def fit_and_weigh(
     flag = F.lit(True) if train is None else train
     flagged = units.select(ident, "unit", "n", flag.alias("_train"))
     vocab = materialise(vocabulary(flagged.where("_train"), kind, max_features)).select("term", "idx")
-    known = _bounded(vocab, max_features)
+    known = bounded(vocab, max_features)
     if kind == "word":  # a term is a unit, which each document has once
-        counts = _terms(flagged, kind, ident, "_train").join(known, "term").select(
+        counts = cut_terms(flagged, kind, ident, "_train").join(known, "term").select(
             ident, "_train", "idx", F.col("n").alias("tf"))
     else:
-        cut = _terms(flagged.repartition(ident), kind, ident, "_train").join(known, "term")
+        cut = cut_terms(flagged.repartition(ident), kind, ident, "_train").join(known, "term")
         counts = cut.groupBy(ident, "_train", "idx").agg(F.sum("n").alias("tf"))
     counts = materialise(counts)
     frequency = counts.where("_train").groupBy("idx").agg(F.count("*").alias("df"))
     fitted = materialise(known.join(frequency, "idx").select(
         "term", "idx", "df", inverse_frequency(n_documents, F.col("df")).alias("idf")))
-    lookup = _bounded(fitted.select("idx", "idf"), max_features)
-    return fitted, _scaled(counts.drop("_train").join(lookup, "idx"), ident)
+    lookup = bounded(fitted.select("idx", "idf"), max_features)
+    return fitted, scaled(counts.drop("_train").join(lookup, "idx"), ident)
 
 
 def with_term(weights: DataFrame, fitted: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
     """Weights with the term of each position."""
-    return weights.join(_bounded(fitted.select("idx", "term"), max_features), "idx")
+    return weights.join(bounded(fitted.select("idx", "term"), max_features), "idx")
 
 
 def assemble(

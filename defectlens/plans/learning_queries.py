@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
 from pyspark.sql import functions as F
 
-from ..learning import holdout, optimality, preparation, store, training
+from ..learning import forest, holdout, optimality, preparation, scorer, store, training
 from ..operators import codefeatures, evaluation, explain
 from ..operators.relational import union_all
 from ..operators.splits import group_split, stratified_group_folds
 from ..schema import FEATURE_COLUMNS
-from ..session import materialise
+from ..session import materialise, scratch_folder
 from .registry import query
-from .text_queries import train_moments_sql
-from .views import FULL_CODE_FEATURES, SEED, code_samples, folds_sql, table, text_families, text_samples
+from .text_queries import held_out_vocabulary_sql, train_moments_sql
+from .views import FULL_CODE_FEATURES, SEED, TEXT_SAMPLES, code_samples, folds_sql, table, text_families, text_samples
 
 # All searches walk the library's own grids, in full: a round of boosting is a few cluster jobs, and
 # the tree searches are thousands of rounds.
@@ -204,6 +206,14 @@ def _crossval(spark, sf_dir):
     return folds, features.where(F.col("fold").isin("train", "val")), search
 
 
+@query("tree_contributions")
+def tree_contributions(spark, sf_dir):
+    """What each feature adds to the fitted boosted model's scores on test, over the ways of its rows."""
+    folds = _static(spark, sf_dir)
+    found = forest.contributions(_static_trees(spark, folds), folds["test"])
+    return forest.contribution_ranking(found, folds["test"].count(), FEATURE_COLUMNS)
+
+
 @query("lr_crossval")
 def lr_crossval(spark, sf_dir):
     """Grid search over group folds of train, then the best setting on train and validation."""
@@ -257,6 +267,23 @@ def lr_tfidf_optimality(spark, sf_dir):
     return model.certificate().withColumn("moment", F.round("moment", 6))
 
 
+_SERVED_SQL = f"""WITH {TEXT_SAMPLES}, {folds_sql('text_samples')}
+SELECT sample_id, fold, label, true AS same FROM split_text_samples"""
+
+
+@query("lr_tfidf_served", _SERVED_SQL)
+def lr_tfidf_served(spark, sf_dir):
+    """Raw texts scored by the stored artefact, against the scores of the run that fitted it."""
+    model = holdout.TextModel(_text_tables(spark, sf_dir), FEATURE_COLUMNS)
+    path = f"{scratch_folder(spark).rstrip('/')}/scorer-{uuid.uuid4().hex}"
+    scorer.TextScorer(FEATURE_COLUMNS, model.fitted, model.search.model).save(path)
+    split = group_split(text_samples(spark, sf_dir), seed=SEED)
+    served = scorer.TextScorer.load(spark, path).score(split, median_keys=("fold", "task_id"))
+    there = model.scored().select("sample_id", F.col("score").alias("fitted_score"))
+    return served.join(there, "sample_id").select(
+        "sample_id", "fold", "label", (F.abs(F.col("score") - F.col("fitted_score")) < 1e-9).alias("same"))
+
+
 @query("top_coefficients")
 def top_coefficients(spark, sf_dir):
     model = holdout.TextModel(_text_tables(spark, sf_dir), FEATURE_COLUMNS)
@@ -274,6 +301,20 @@ def gbt_tfidf(spark, sf_dir):
     return training.report(search.model, folds, "boosted trees, static + TF-IDF")
 
 
+_FAMILIES = [f"family{i}" for i in range(4)]
+
+
+@query("lofo_vocabulary", held_out_vocabulary_sql(_FAMILIES))
+def lofo_vocabulary(spark, sf_dir):
+    """Terms, frequencies and weights of the vectorisers of each held-out family, by subtraction."""
+    tables = _text_tables(spark, sf_dir)
+    terms = holdout.FamilyTerms(tables, materialise(text_families(tables.static)), _FAMILIES)
+    return union_all(*[
+        fitted.select(F.lit(family).alias("family"), F.lit(kind).alias("kind"), "term", F.col("idx").cast("long").alias("idx"),
+                      F.col("df").cast("long").alias("df"), F.round("idf", 6).alias("idf"))
+        for family in _FAMILIES for kind, (fitted, _) in terms.without(family).items()])
+
+
 @query("lofo_eval")
 def lofo_eval(spark, sf_dir):
     tables = _text_tables(spark, sf_dir)

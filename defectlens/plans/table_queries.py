@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import (
@@ -9,7 +11,9 @@ from ..functions.text import (
     normalise_name, parse_libs,
 )
 from ..operators import matching, relational
-from ..sources.readers import prepare_samples
+from ..session import scratch_folder
+from ..sources import writers
+from ..sources.readers import RawSamples, prepare_samples
 from .registry import query
 from .views import CODE_SAMPLES, TEXT_FAMILY, TEXT_SAMPLES, code_samples, table, text_families, text_samples
 
@@ -261,3 +265,49 @@ def length_ratios(spark, sf_dir):
     return turns.join(answers, ["conv_id", "turn"]).select(
         "conv_id", "turn", length_ratio(F.col("answer"), F.col("text")).alias("align_length_ratio")
     )
+
+
+# Raw files spelled out from the tables, some of their lines and results broken on purpose: a program
+# line cut short where 97 divides the id, a result that is no number where 89 does.
+_CUT, _MISTYPED = 97, 89
+
+
+def _raw_samples(spark, sf_dir):
+    folder = f"{scratch_folder(spark).rstrip('/')}/raw-{uuid.uuid4().hex}"
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    named = documents.select(
+        "doc_id", F.when(F.col("doc_id") % 2 == 0, "complete").otherwise("instruct").alias("split"),
+        F.col("source").alias("sample_model"), F.concat(F.lit("t"), "doc_id").alias("task_id"),
+        F.col("text").alias("solution"), "lang")
+    line = F.to_json(F.struct("task_id", "solution"))
+    cut = F.when(F.col("doc_id") % _CUT == 0, line.substr(F.lit(1), F.length(line) - 2)).otherwise(line)
+    writers.write_code_files(named, f"{folder}/samples", cut)
+    status = F.when(F.col("doc_id") % _MISTYPED == 0, "oops").otherwise(F.col("quality").cast("string"))
+    writers.write_eval_maps(
+        named.join(labels, "doc_id").select("split", F.col("sample_model").alias("eval_model"), "task_id", status.alias("status")),
+        f"{folder}/evals")
+    task = F.to_json(F.struct("task_id", F.col("lang").alias("complete_prompt")))
+    named.select(task.alias("value")).write.text(f"{folder}/tasks")
+    return RawSamples(spark, f"{folder}/tasks", f"{folder}/samples", f"{folder}/evals")
+
+
+@query("stitch_raw", f"""
+SELECT 't' || d.doc_id AS task_id, source AS model_name, CASE WHEN d.doc_id % 2 = 0 THEN 'complete' ELSE 'instruct' END AS split,
+       md5(text) AS solution_md5, quality::INTEGER AS label, lang AS complete_prompt, '' AS instruct_prompt
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id % {_CUT} <> 0 AND d.doc_id % {_MISTYPED} <> 0""")
+def stitch_raw(spark, sf_dir):
+    """The sample table stitched from raw files that are written from the tables first."""
+    return _raw_samples(spark, sf_dir).samples().select(
+        "task_id", "model_name", "split", F.md5("solution").alias("solution_md5"), "label", "complete_prompt", "instruct_prompt")
+
+
+@query("stitch_rejects", f"""
+SELECT 'code' AS kind, source AS model_name, 'no program' AS reason, count(*) AS n
+FROM documents WHERE doc_id % {_CUT} = 0 GROUP BY source
+UNION ALL
+SELECT 'eval', source, 'no whole number', count(*)
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id % {_MISTYPED} = 0 GROUP BY source""")
+def stitch_rejects(spark, sf_dir):
+    """What of the raw files could not be used, per kind and model."""
+    counts = _raw_samples(spark, sf_dir).reject_counts()
+    return counts.groupBy("kind", F.split("file", "--")[0].alias("model_name"), "reason").agg(F.sum("n").alias("n"))

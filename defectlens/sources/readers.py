@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.hashing import hash_text
 from ..operators.matching import enrich, match_labels
@@ -112,6 +112,80 @@ def read_eval_maps(spark: SparkSession, folder: str, split: str) -> DataFrame:
     )
 
 
+def _raw_text(spark: SparkSession, path: str, glob: str, whole: bool = False) -> DataFrame:
+    """file, block, place and value of each line, or file, that is not blank.
+
+    ``place`` orders the lines of a block; a block starts ``block`` bytes into its file.
+    """
+    reader = spark.read.option("pathGlobFilter", glob)
+    return (reader.option("wholetext", True) if whole else reader).text(path).select(
+        F.url_decode(F.col("_metadata.file_name")).alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"), "value",
+    ).where(F.trim("value") != "")
+
+
+def _parsed_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """``lines`` with ``row``, null where a line is cut, no object or has a field of another type."""
+    noted = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    parsed = F.from_json("value", noted, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return lines.withColumn("_row", parsed).withColumn("row", F.when(
+        F.col("_row._corrupt").isNull(), F.struct(*[F.col(f"_row.{f}") for f in schema.names]))).drop("_row")
+
+
+def _rejected(kind: str, rows: DataFrame, reason: Column) -> DataFrame:
+    return rows.select(
+        F.lit(kind).alias("kind"), "file", "block", "place", F.col("value").alias("raw"), reason.alias("reason"))
+
+
+class RawSamples:
+    """The three raw sources, read with what cannot be used kept beside what can.
+
+    The strict readers above fail on the first broken line; here ``rejects`` has, as written, each
+    line or map entry that is left out, with its kind, file and place, and the rest is read.
+    """
+
+    def __init__(self, spark: SparkSession, tasks_path: str, samples_folder: str, evals_folder: str, splits=SPLITS):
+        self.spark = spark
+        tasks = _parsed_lines(_raw_text(spark, tasks_path, "*"), TASKS)
+        keyed = F.col("row.task_id").isNotNull()
+        last = F.max_by("row", F.struct("file", "block", "place")).alias("t")
+        self.tasks = tasks.where(keyed).groupBy("row.task_id").agg(last).select("t.*")
+        bad = [_rejected("task", tasks.where(~F.coalesce(keyed, F.lit(False))), F.lit("no task"))]
+
+        codes, evals = [], []
+        for split in splits:
+            lines = _parsed_lines(_raw_text(spark, f"{samples_folder}/{split}", "*.jsonl"), CODE_LINES)
+            model = F.split(F.regexp_replace("file", r"\.jsonl$", ""), SAMPLE_MARK)[0]
+            usable = F.col("row.task_id").isNotNull()
+            codes.append(lines.where(usable).select(
+                F.lit(split).alias("split"), model.alias("sample_model"), "row.task_id", "row.solution"))
+            bad.append(_rejected("code", lines.where(~F.coalesce(usable, F.lit(False))), F.lit("no program")))
+
+            suffix = EVAL_SUFFIX.format(split=split)
+            files = _raw_text(spark, evals_folder, f"*{suffix}", whole=True) \
+                .withColumn("entries", F.from_json("value", "map<string,string>"))
+            bad.append(_rejected("eval", files.where("entries IS NULL"), F.lit("no map")))
+            listed = files.where("entries IS NOT NULL").select("file", "block", "place", F.explode("entries").alias("task_id", "value"))
+            status = F.col("value").try_cast("int")
+            # A null status is an entry without a result, as the strict reader has it.
+            broken = F.col("value").isNotNull() & status.isNull()
+            evals.append(listed.where(~broken).select(
+                F.lit(split).alias("split"), F.replace("file", F.lit(suffix), F.lit("")).alias("eval_model"), "task_id",
+                status.alias("status")))
+            bad.append(_rejected(
+                "eval", listed.where(broken).withColumn("value", F.concat_ws(": ", "task_id", "value")), F.lit("no whole number")))
+        self.codes, self.evals, self.rejects = union_all(*codes), union_all(*evals), union_all(*bad)
+
+    def samples(self, aliases: dict[str, str] | None = None) -> DataFrame:
+        """The flat sample table of what could be read."""
+        names = mapping_table(self.spark, MODEL_ALIASES if aliases is None else aliases, "sample_model", "eval_model")
+        return enrich(match_labels(self.codes, self.evals, names), self.tasks)
+
+    def reject_counts(self) -> DataFrame:
+        """kind, file, reason, n."""
+        return self.rejects.groupBy("kind", "file", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def collect_samples(
     spark: SparkSession, tasks_path: str, samples_folder: str, evals_folder: str,
     aliases: dict[str, str] | None = None, splits=SPLITS,

@@ -4,15 +4,15 @@ import inspect
 
 import numpy as np
 import pytest
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
 from pyspark.sql import functions as F
 
-from defectlens.learning import holdout, preparation as P, store, training as M
+from defectlens.learning import forest, holdout, optimality, preparation as P, store, training as M
 from defectlens.operators import explain
 from defectlens.operators.evaluation import auc, model_comparison
 from defectlens.operators.splits import stratified_group_folds
-from defectlens.operators.textvectors import UNITS, fit_tfidf
+from defectlens.operators.textvectors import UNITS, fit_and_weigh, fit_tfidf
 from defectlens.plans import learning_queries as Q, registered
 from defectlens.sources import writers
 
@@ -171,6 +171,54 @@ def test_held_out_family_never_reaches_training(spark):
     assert model.scored().count() == 80
 
 
+def test_vocabularies_by_subtraction(spark):
+    """All but one family: the same vectoriser and weights as from a pass over the other families."""
+    rng = np.random.default_rng(4)
+    rows = [
+        (i, f"m{i % 5}", ("train", "train", "val", "test")[i // 5 % 4], int(rng.integers(2)),
+         None if i == 3 else " ".join(f"w{x}" for x in rng.integers(0, 12 + 5 * (i % 5), rng.integers(0, 9))))
+        for i in range(120)]
+    samples = spark.createDataFrame(rows, "sample_id int, model_name string, fold string, label int, solution string")
+    families = spark.createDataFrame([("f0", "m0"), ("f1", "m1"), ("f1", "m2"), ("f9", "m9")], "family string, model_name string")
+    tables = holdout.TextTables.build(samples)
+    terms = holdout.FamilyTerms(tables, families, ["f0", "f1"], max_features=15)
+    for name, models in (("f0", ["m0"]), ("f1", ["m1", "m2"])):
+        own, is_test = F.col("model_name").isin(models), F.col("fold") == "test"
+        others = tables.subset(lambda df: df.where(is_test == own))
+        n = F.lit(others.fold("train").static.count())
+        for kind, (fitted, weights) in terms.without(name).items():
+            want, heavy = fit_and_weigh(others.units[kind], "sample_id", kind, n, 15, F.col("fold") == "train")
+            columns = ["term", "idx", "df", F.round("idf", 9).alias("idf")]
+            assert sorted(fitted.select(columns).collect()) == sorted(want.select(columns).collect())
+            columns = ["sample_id", "idx", F.round("weight", 9).alias("weight")]
+            assert sorted(weights.select(columns).collect()) == sorted(heavy.select(columns).collect())
+            assert want.count() == 15
+
+
+def test_medians_of_a_pipeline_stage(spark, tmp_path):
+    rows = [(1.0, None, 5), (None, None, 1), (4.0, None, None), (10.0, None, 2)]
+    df = spark.createDataFrame(rows, "a double, b double, c int")
+    stage = P.MedianFiller(inputCols=["a", "b", "c"], outputCols=["x", "y", "z"])
+    model = Pipeline(stages=[stage]).fit(df)
+    writers.save_model(model, str(tmp_path / "m"))
+    for fitted in (model, writers.load_model(str(tmp_path / "m"))):
+        got = sorted(tuple(r) for r in fitted.transform(df).select("x", "y", "z").collect())
+        assert got == [(1.0, 0.0, 5.0), (4.0, 0.0, 1.0), (4.0, 0.0, 2.0), (10.0, 0.0, 2.0)]
+
+
+@pytest.mark.parametrize("standardised", [True, False])
+def test_certificate_tells_a_solved_fit(table, standardised):
+    weighted = P.with_balanced_weight(table)
+    model = M.fit_logistic(table, [0.5], standardise=standardised)[0]
+    found = optimality.named(optimality.certificate(model, weighted, 1 / (0.5 * 400), standardised), COLUMNS).collect()
+    assert {r["name"] for r in found} == {"intercept", *COLUMNS} and all(r["solved"] for r in found)
+    passes = table.where("label = 1").agg(F.avg("b") / 2).first()[0]
+    assert {r["name"]: r["moment"] for r in found}["b"] == pytest.approx(passes, abs=1e-6)
+    early = M.fit_logistic(table, [0.5], iterations=2, standardise=standardised)[0]
+    other = optimality.certificate(early, weighted, 1 / (0.5 * 400), standardised).collect()
+    assert not all(r["solved"] for r in other)
+
+
 def test_boosting_goes_on_past_one_tree(spark, table):
     params = {"rounds": 30, "step": 0.1, "depth": 3, "columns": "all"}
     search = M.search_boosted(table.where("sample_id % 4 <> 0"), table.where("sample_id % 4 = 0"), [params])
@@ -193,6 +241,19 @@ def test_staged_fits_keep_the_trees_of_the_full_fit(table, patience):
         assert staged[limit].featureImportances == want.featureImportances
 
 
+def test_contributions_add_up_to_the_raw_score(spark, table):
+    model = M.fit_boosted(table, {**M.PLAIN_TREES, "rounds": 7, "depth": 4})
+    nodes = forest.forest_nodes(model)
+    assert nodes.count() == model.totalNumNodes and nodes.where("(left IS NULL) = (feature IS NOT NULL)").count() == 0
+    base = forest.base_score(nodes).first()[0]
+    found = forest.contributions(model, table)
+    got = {r["sample_id"]: base + r["s"] for r in found.groupBy("sample_id").agg(F.sum("contribution").alias("s")).collect()}
+    raw = {r["sample_id"]: r["rawPrediction"][1] for r in model.transform(table).collect()}
+    assert len(got) == 400 and all(got[i] == pytest.approx(raw[i], abs=1e-9) for i in raw)
+    ranking = forest.contribution_ranking(found, 400, COLUMNS).collect()
+    assert {r["feature"] for r in ranking} == set(COLUMNS) and ranking[0]["feature"] in ("a", "b")
+
+
 def test_settings_that_differ_in_rounds_share_a_fit(table, monkeypatch):
     fits = []
     whole = M.fit_staged
@@ -293,6 +354,7 @@ def test_registered_searches_are_whole(spark, table, monkeypatch, name, place, f
     monkeypatch.setattr(Q, "text_families", lambda df: df.select(F.lit("f").alias("family"), "model_name").distinct())
     monkeypatch.setattr(M, "search_logistic", lambda *_: M.Search(None, None))
     monkeypatch.setattr(Q.store, "stored", lambda spark, name, tables, fit, load: fit())
+    monkeypatch.setattr(holdout, "FamilyTerms", lambda *_: type("Terms", (), {"without": lambda *_: {}})())
     if name == "gbt_tfidf":
         monkeypatch.setattr(holdout, "TextModel", lambda *_, **__: Vectors())
     if function == "TextModel":

@@ -185,3 +185,38 @@ def test_broken_line_fails_the_read(spark, tmp_path, line):
     (folder / "m--bigcodebench.jsonl").write_text('{"task_id": "t0", "solution": "y"}\n' + line + "\n")
     with pytest.raises(Exception):
         readers.read_code_files(spark, str(tmp_path), "complete").collect()
+
+
+def test_rejects_are_kept_beside_what_can_be_read(spark, raw_files):
+    """Cut lines, mistyped fields, foreign objects, broken maps and results; the rest is read."""
+    evals, codes = raw_files / "evals", raw_files / "samples" / "complete" / "org--Some-Model-hf--bigcodebench-complete.jsonl"
+    bad = ['{"task_id": "T/0", "solution": "x', "no object", "[1, 2]", '{"solution": "y"}']
+    codes.write_text(bad[0] + "\n\n" + codes.read_text() + "\n".join(bad[1:]) + "\n")
+    (evals / "Some_Model--instruct_eval_results.json").write_text('{"T/1": 0, "T/2": "maybe", "T/3": 1.5, "T/4": null}')
+    (evals / "Cut--complete_eval_results.json").write_text('{"T/1": 0, "T/2": ')
+    with open(raw_files / "tasks.jsonl", "a") as fh:
+        fh.write('{"libs": "[]"}\n{"task_id":\n')
+    raw = readers.RawSamples(spark, str(raw_files / "tasks.jsonl"), str(raw_files / "samples"), str(evals))
+    strict = 4  # as many rows as the sound files give
+    assert raw.samples().count() == strict
+    found = raw.rejects.collect()
+    assert sorted(r["raw"] for r in found if r["kind"] == "code") == sorted(bad)
+    assert sorted((r["reason"], r["raw"]) for r in found if r["kind"] == "eval") == [
+        ("no map", '{"T/1": 0, "T/2": '), ("no whole number", "T/2: maybe"), ("no whole number", "T/3: 1.5")]
+    assert sorted(r["raw"] for r in found if r["kind"] == "task") == ['{"libs": "[]"}', '{"task_id":']
+    counts = {(r["kind"], r["reason"]): r["n"] for r in raw.reject_counts().collect()}
+    assert counts["code", "no program"] == 4 and counts["eval", "no map"] == 1
+    assert {r["file"] for r in found if r["kind"] == "code"} == {codes.name}
+
+
+def test_raw_files_round_trip(spark, tmp_path):
+    rows = [("complete", "org--A b", "T/0", "x\n'\"ß"), ("complete", "org--A b", "T/1", ""), ("instruct", "c=d", "T/0", "y")]
+    codes = spark.createDataFrame(rows, "split string, sample_model string, task_id string, solution string")
+    writers.write_code_files(codes.repartition(2), str(tmp_path / "samples"))
+    read = relational.union_all(*[readers.read_code_files(spark, str(tmp_path / "samples"), s) for s in readers.SPLITS])
+    assert {(r["split"], r["task_id"], r["solution"]) for r in read.collect()} == {(s, t, x) for s, _, t, x in rows}
+    assert {r["sample_model"] for r in read.collect()} == {"org--A b", "c=d"}
+    results = codes.select("split", F.col("sample_model").alias("eval_model"), "task_id", F.lit(1).alias("status"))
+    writers.write_eval_maps(results, str(tmp_path / "evals"))
+    back = relational.union_all(*[readers.read_eval_maps(spark, str(tmp_path / "evals"), s) for s in readers.SPLITS])
+    assert sorted(back.collect()) == sorted(results.select(back.columns).collect())
