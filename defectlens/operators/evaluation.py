@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.hashing import hash_long, hash_uniform
-from .ordering import hash_rank, running_totals
+from ..functions.hashing import hash_uniform
+from .ordering import running_totals
+from .resampling import resampled
 
 FIRST_CUTOFF, LAST_CUTOFF = 10, 90  # hundredths
 
@@ -353,29 +354,6 @@ def _poisson_draw(rate: Column, u: Column) -> Column:
     return F.aggregate(steps, start, step, lambda s: F.coalesce(s["k"], mode))
 
 
-def _drawn_cells(
-    df: DataFrame, ident: str, label: str, value: str, n_boot: int, seed
-) -> DataFrame:
-    """Replicate weights by drawing n row numbers with replacement, counted per cell."""
-    numbered = hash_rank(df.select(ident, label, value), ident, seed)
-    n = df.agg(F.count("*")).scalar()
-    # Draws are generated in chunks, so that no array grows with the table.
-    chunk = F.lit(10_000).cast("long")
-    first = F.lit(0).cast("long")
-    draws = (
-        df.sparkSession.range(n_boot)
-        .withColumnRenamed("id", "replicate")
-        .withColumn("_start", F.explode(F.sequence(first, n - 1, chunk)))
-        .repartition("replicate", "_start")
-        .withColumn("draw", F.explode(F.sequence("_start", F.least(F.col("_start") + chunk, n) - 1)))
-        .withColumn("rank", hash_long(seed, F.col("replicate"), F.col("draw")) % n)
-    )
-    # Draws of one replicate fall into its (label, value) cells before anything is shuffled by
-    # cell; the numbered rows are the small side as long as they fit the session's limit.
-    return draws.join(numbered, "rank").groupBy("replicate", F.col(label), F.col(value)).agg(
-        F.count("*").alias("w"))
-
-
 def _poisson_cells(df: DataFrame, label: str, value: str, n_boot: int, seed) -> DataFrame:
     """Replicate weights as one Poisson(count) draw per (label, value) cell.
 
@@ -397,30 +375,34 @@ def bootstrap_interval(
     """Point value and 2.5 / 97.5 percentiles of a metric over resamples.
 
     ``metric`` is ``auc`` (``value`` is a score), ``f1`` or ``accuracy`` (``value`` is a
-    0/1 prediction). ``mode="draws"`` resamples row numbers exactly; ``mode="poisson"``
-    weights grouped rows and suits tables of any size. Resamples that have no metric
-    value are ignored.
+    0/1 prediction). ``mode="draws"`` resamples n rows of n exactly (see :mod:`resampling`);
+    ``mode="poisson"`` weights distinct values. Resamples that have no metric value are
+    ignored; rows without a value take no part.
     """
+    if metric not in ("auc", "f1", "accuracy"):
+        raise ValueError(f"unknown metric {metric!r}")
+    tn, fp, fn, tp = map(F.col, ("tn", "fp", "fn", "tp"))
+    formula = (f1_of(tp, fp, fn) if metric == "f1" else _ratio(tp + tn, tp + tn + fp + fn)).alias(metric)
+    known = df.where(F.col(value).isNotNull())
+    point = auc(known, label, value) if metric == "auc" else confusion(known, label, value).select(formula)
     if mode == "draws":
-        cells = _drawn_cells(df, ident, label, value, n_boot, seed)
+        cells = score_cells(known, label, value).withColumnRenamed("_score", "score")
+        sums = resampled(cells, n_boot, seed).groupBy("replicate").agg(
+            *[F.sum(c).alias(c) for c in ("pos", "neg", "tp", "fp")],
+            F.sum(F.col("won") + F.col("pos") * F.col("lower")).alias("won"))
+        if metric == "auc":
+            replicates = sums.select("replicate", F.try_divide("won", F.col("pos").cast("double") * F.col("neg")).alias("auc"))
+        else:
+            drawn = sums.select("replicate", "tp", "fp", (F.col("pos") - tp).alias("fn"), (F.col("neg") - fp).alias("tn"))
+            replicates = drawn.select("replicate", formula)
     elif mode == "poisson":
-        cells = _poisson_cells(df, label, value, n_boot, seed)
+        cells = _poisson_cells(known, label, value, n_boot, seed)
+        replicates = (
+            auc(cells, label, value, ["replicate"], F.col("w")) if metric == "auc"
+            else confusion(cells, label, value, ["replicate"], F.col("w")).select("replicate", formula))
     else:
         raise ValueError(f"unknown bootstrap mode {mode!r}")
 
-    if metric == "auc":
-        replicates = auc(cells, label, value, ["replicate"], F.col("w"))
-        point = auc(df, label, value)
-    elif metric in ("f1", "accuracy"):
-        tn, fp, fn, tp = map(F.col, ("tn", "fp", "fn", "tp"))
-        formula = (
-            f1_of(tp, fp, fn) if metric == "f1" else _ratio(tp + tn, tp + tn + fp + fn)
-        ).alias(metric)
-        replicates = confusion(cells, label, value, ["replicate"], F.col("w")).select("replicate", formula)
-        point = confusion(df, label, value).select(formula)
-    else:
-        raise ValueError(f"unknown metric {metric!r}")
-
     # One value per replicate: n_boot numbers, whatever the size of the data.
     bounds = replicates.agg(F.percentile(metric, F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     ends = bounds.select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))

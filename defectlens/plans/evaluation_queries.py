@@ -265,14 +265,49 @@ def baseline_comparison(spark, sf_dir):
 BOOTSTRAPS = 1000
 
 
-def _draws_sql(relation):
-    return f"""numbered AS (
-  SELECT *, row_number() OVER (ORDER BY md5('{SEED}:' || sample_id), sample_id) - 1 AS rank FROM {relation}),
-size AS (SELECT count(*) AS n FROM {relation}),
-draws AS (
-  SELECT r.replicate, ('0x' || substr(md5('{SEED}:' || r.replicate || ':' || d.draw), 1, 15))::BIGINT % size.n AS rank
-  FROM size, (SELECT unnest(range({BOOTSTRAPS})) AS replicate) r, (SELECT unnest(range(n)) AS draw FROM size) d),
-resampled AS (SELECT d.replicate, n.label, n.pred, n.score FROM draws d JOIN numbered n ON d.rank = n.rank)"""
+def _log_factorial_sql(x):
+    y = f"greatest({x}, 1)::DOUBLE"
+    series = f"{y} * ln({y}) - {y} + ln(2 * pi() * {y}) / 2 + 1 / (12 * {y}) - 1 / (360 * pow({y}, 3)) + 1 / (1260 * pow({y}, 5))"
+    return f"CASE WHEN ({x}) <= 20 THEN ln(factorial(least({x}, 20)::INTEGER)::DOUBLE) ELSE {series} END"
+
+
+def _draws_sql(relation, value):
+    """Multinomial counts of the (value, label) cells of each replicate, one binomial after the other.
+
+    The first cells' quantiles of hashes, by mass from the mode outwards; of at most 4,096 values.
+    """
+    return f"""cells AS (
+  SELECT row_number() OVER (ORDER BY v, label) AS i, 2 * (dense_rank() OVER (ORDER BY v) - 1) + label AS place, v, label, c,
+         sum(c) OVER (ORDER BY v DESC, label DESC) AS mass
+  FROM (SELECT {value}::DOUBLE AS v, label, count(*) AS c FROM {relation} GROUP BY ALL)),
+walk AS (
+  SELECT r AS replicate, 0::BIGINT AS i, (SELECT count(*) FROM {relation}) AS rest, 0::BIGINT AS w
+  FROM (SELECT unnest(range({BOOTSTRAPS})) AS r)
+  UNION ALL
+  SELECT replicate, i, (n - w)::BIGINT, w::BIGINT FROM (
+    SELECT *, CASE WHEN c = mass THEN n WHEN n = 0 THEN 0 ELSE coalesce(list_reduce(
+        list_prepend({{'rest': u - top, 'up': top, 'down': top, 'k': CASE WHEN u < top THEN mode END, 'j': 0::BIGINT}},
+          list_transform(range(1, CASE WHEN u < top THEN 1 ELSE floor(12 * sqrt(n * p * (1 - p)))::BIGINT + 21 END),
+            lambda j: {{'rest': 0::DOUBLE, 'up': 0::DOUBLE, 'down': 0::DOUBLE, 'k': NULL::BIGINT, 'j': j}})),
+        lambda s, e: CASE WHEN s.k IS NOT NULL THEN s
+          WHEN s.rest - s.up * (greatest(n - mode - e.j + 1, 0) / (mode + e.j)::DOUBLE * (p / (1 - p))) < 0
+          THEN {{'rest': 0::DOUBLE, 'up': 0::DOUBLE, 'down': 0::DOUBLE, 'k': (mode + e.j)::BIGINT, 'j': e.j}}
+          ELSE {{'rest': s.rest - s.up * (greatest(n - mode - e.j + 1, 0) / (mode + e.j)::DOUBLE * (p / (1 - p)))
+                       - s.down * (greatest(mode - e.j + 1, 0) / (n - mode + e.j)::DOUBLE * ((1 - p) / p)),
+                'up': s.up * (greatest(n - mode - e.j + 1, 0) / (mode + e.j)::DOUBLE * (p / (1 - p))),
+                'down': s.down * (greatest(mode - e.j + 1, 0) / (n - mode + e.j)::DOUBLE * ((1 - p) / p)),
+                'k': CASE WHEN s.rest - s.up * (greatest(n - mode - e.j + 1, 0) / (mode + e.j)::DOUBLE * (p / (1 - p)))
+                       - s.down * (greatest(mode - e.j + 1, 0) / (n - mode + e.j)::DOUBLE * ((1 - p) / p)) < 0
+                     THEN (mode - e.j)::BIGINT END, 'j': e.j}} END).k, mode) END AS w
+    FROM (
+      SELECT *, exp({_log_factorial_sql("n")} - ({_log_factorial_sql("mode")}) - ({_log_factorial_sql("n - mode")})
+                    + mode * ln(p) + (n - mode) * ln(CASE WHEN p < 1 THEN 1 - p ELSE 0.5 END)) AS top
+      FROM (
+        SELECT *, least(floor((n + 1) * p)::BIGINT, n) AS mode,
+          ('0x' || substr(md5('{SEED}:' || replicate || ':0:' || place), 1, 15))::BIGINT / 1152921504606846976::DOUBLE AS u
+        FROM (SELECT w.replicate, c.i, c.place, c.c, c.mass, w.rest AS n, c.c::DOUBLE / c.mass AS p
+              FROM walk w JOIN cells c ON c.i = w.i + 1))))),
+resampled AS (SELECT replicate, label, v AS score, v AS pred, unnest(range(w)) AS copy FROM walk JOIN cells USING (i))"""
 
 
 def _interval_sql(metric, point, per_replicate):
@@ -280,7 +315,10 @@ def _interval_sql(metric, point, per_replicate):
        round(quantile_cont(v, 0.975), 6) AS high FROM ({per_replicate})"""
 
 
-@query("bootstrap_f1", f"{PREDICTED}, {_draws_sql('predicted')} " + _interval_sql(
+_RESAMPLED = PREDICTED.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query("bootstrap_f1", f"{_RESAMPLED}, {_draws_sql('predicted', 'pred')} " + _interval_sql(
     "f1", f"SELECT coalesce({F1_SQL}, 0) FROM predicted",
     f"SELECT coalesce({F1_SQL}, 0) AS v FROM resampled GROUP BY replicate"))
 def bootstrap_f1(spark, sf_dir):
@@ -288,7 +326,7 @@ def bootstrap_f1(spark, sf_dir):
     return _rounded(result, "point", "low", "high")
 
 
-@query("bootstrap_auc", f"{PREDICTED}, {_draws_sql('predicted')} " + _interval_sql(
+@query("bootstrap_auc", f"{_RESAMPLED}, {_draws_sql('predicted', 'score')} " + _interval_sql(
     "auc", f"SELECT auc FROM ({auc_sql('predicted')})",
     f"SELECT auc AS v FROM ({auc_sql('resampled', by='replicate')})"))
 def bootstrap_auc(spark, sf_dir):

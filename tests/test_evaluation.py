@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from defectlens.operators import baselines as B, evaluation as E, triage
+from defectlens.operators import baselines as B, evaluation as E, resampling as R, triage
 
 RNG = random.Random(7)
 ROWS = [(i, RNG.randint(0, 1), round(RNG.random(), 2)) for i in range(300)]
@@ -108,6 +108,49 @@ def test_poisson_draws(spark, rate):
     assert draws.var() == pytest.approx(rate, rel=0.12)
 
 
+@pytest.mark.parametrize("n, p", [(1, 0.5), (7, 0.1), (50, 0.93), (3000, 0.4), (400_000, 0.01)])
+def test_binomial_quantiles(n, p):
+    u = (np.arange(4000) + 0.5) / 4000
+    drawn = R.binomial(np.full(4000, n), p, u)
+    assert drawn.min() >= 0 and drawn.max() <= n
+    assert drawn.mean() == pytest.approx(n * p, rel=0.01, abs=0.01)
+    assert drawn.var() == pytest.approx(n * p * (1 - p), rel=0.03, abs=0.01)
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_resamples_are_multinomial(spark, block, monkeypatch):
+    """Every replicate draws n rows; means and spreads are those of drawing with replacement."""
+    monkeypatch.setattr(R, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    rows = [(float(rng.integers(0, 30)), int(rng.integers(2))) for _ in range(300)]
+    df = spark.createDataFrame([(s, y) for s, y in rows], "score double, label int")
+    cells = E.score_cells(df, "label", "score").withColumnRenamed("_score", "score")
+    sums = R.resampled(cells, 400, 7).groupBy("replicate").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("tp").alias("tp"),
+        F.sum(F.col("won") + F.col("pos") * F.col("lower")).alias("won")).toPandas()
+    assert len(sums) == 400 and (sums["pos"] + sums["neg"] == 300).all()
+    share = sum(y for _, y in rows) / 300
+    assert sums["pos"].mean() == pytest.approx(300 * share, rel=0.02)
+    assert sums["pos"].var() == pytest.approx(300 * share * (1 - share), rel=0.25)
+    yes = sum(y for s, y in rows if s != 0) / 300
+    assert sums["tp"].mean() == pytest.approx(300 * yes, rel=0.02)
+    drawn = []
+    for _ in range(400):
+        sample = [rows[i] for i in rng.integers(0, 300, 300)]
+        up, down = np.array([s for s, y in sample if y]), np.array([s for s, y in sample if not y])
+        drawn.append(((up[:, None] > down).mean() + (up[:, None] == down).mean() / 2))
+    got = sums["won"] / (sums["pos"] * sums["neg"])
+    assert got.mean() == pytest.approx(np.mean(drawn), abs=0.01)
+    assert got.std() == pytest.approx(np.std(drawn), rel=0.2)
+
+
+def test_resamples_of_one_cell_and_of_none(spark):
+    one = spark.createDataFrame([(0.5, 1)] * 4, "score double, label int")
+    cells = E.score_cells(one, "label", "score").withColumnRenamed("_score", "score")
+    assert {(r["pos"], r["neg"]) for r in R.resampled(cells, 3, 1).collect()} == {(4, 0)}
+    assert R.resampled(cells.where("pos < 0"), 3, 1).collect() == []
+
+
 def test_bad_arguments(scored):
     with pytest.raises(ValueError):
         E.bootstrap_interval(scored, "gini", "pred")
