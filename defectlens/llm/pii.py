@@ -19,6 +19,10 @@ A null text counts as empty; equal rows are searched each; other columns are not
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -36,6 +40,9 @@ BASE = ("email", "ip", "card", "phone")
 CONTEXT = "(?i)\\b(?:tel|phone|mobile|call|fax|ssn|passport|account|konto|iban|telefon|tél|teléfono)\\b"
 CONTEXT_CHARS = 40
 NUMBER_SCORE, CONTEXT_SCORE, REPORT_FROM = 40, 40, 60
+#: Finds whose places are added up together.
+PART = 128
+_SPANS = "array<struct<start:int,end:int,found:string>>"
 
 
 def _digits(found: Column) -> Column:
@@ -87,46 +94,92 @@ def _confirmed(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _placed(gaps: Column, finds: Column) -> Column:
+    """Places of finds between gaps, in parts of ``PART`` finds so that no array grows find by find."""
+    def walked(steps: Column, start: Column) -> Column:
+        return F.aggregate(
+            steps, F.struct(start.alias("at"), F.array().cast(_SPANS).alias("spans")),
+            lambda done, x: F.struct(
+                (done["at"] + x["gap"] + x["size"]).alias("at"),
+                F.concat(done["spans"], F.array(F.struct(
+                    (done["at"] + x["gap"]).alias("start"), (done["at"] + x["gap"] + x["size"]).alias("end"),
+                    x["found"].alias("found")))).alias("spans")),
+            lambda done: done["spans"])
+
+    def parted(steps: Column) -> Column:
+        parts = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / PART).cast("int"))
+        own = F.transform(parts, lambda k: F.slice(steps, k * PART + 1, PART))
+        sizes = F.transform(own, lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + x["gap"] + x["size"]))
+        starts = F.aggregate(
+            sizes, F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+        return F.flatten(F.zip_with(own, F.slice(starts, 1, F.size(own)), walked))
+
+    steps = F.zip_with(F.slice(gaps, 1, F.size(finds)), finds, lambda gap, found: F.struct(
+        F.length(gap).alias("gap"), F.length(found).alias("size"), found.alias("found")))
+    return F.when(F.size(finds) == 0, F.array().cast(_SPANS)).otherwise(_let(steps, parted))
+
+
 def _spans(text: Column, kind: str) -> Column:
     """array<struct<start, end, found>> of the confirmed finds of one kind; null if none is possible."""
     pattern = PATTERNS[kind]
-    finds = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,found:string>>")
-    placed = F.aggregate(
-        F.zip_with(gaps, finds, lambda gap, found: F.struct(F.length(gap).alias("gap"), found.alias("found"))),
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda done, x: F.when(x["found"].isNull(), done).otherwise(F.struct(
-            (done["at"] + x["gap"] + F.length(x["found"])).alias("at"),
-            F.concat(done["spans"], F.array(F.struct(
-                (done["at"] + x["gap"]).alias("start"),
-                (done["at"] + x["gap"] + F.length(x["found"])).alias("end"),
-                x["found"].alias("found")))).alias("spans"))),
-        lambda done: done["spans"],
-    )
+    placed = _let(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda finds: _placed(F.split(text, pattern, -1), finds))
     possible = text.contains(NEEDS[kind]) if kind in NEEDS else F.col("has_digit")
     return F.when(possible, F.filter(placed, lambda s: _confirmed(kind, s["found"])))
 
 
+def _meets(spans: Column, n: Column) -> Column:
+    """Whether one of the spans of a kind, which are apart and in order, overlaps ``n``: the last one
+    that starts before its end does, or none. It is found by halves."""
+    steps = F.transform(
+        F.sequence(F.floor(F.log2(F.size(spans) + 1)).cast("int"), F.lit(0)), lambda k: F.pow(F.lit(2), k).cast("int"))
+
+    def onward(at: Column, step: Column) -> Column:
+        reached = (at + step <= F.size(spans)) & (F.get(spans, at + step - 1)["start"] < n["end"])
+        return F.when(reached, at + step).otherwise(at)
+
+    last = F.aggregate(steps, F.lit(0), onward)
+    return F.coalesce(F.get(spans, last - 1)["end"] > n["start"], F.lit(False))
+
+
+def _contexts(text: Column) -> Column:
+    """Whether a word of ``CONTEXT`` is near, for each number in turn. A number has seven characters at
+    least, so what stands before it is within the gap and a few gaps and numbers before that."""
+    pattern, back = PATTERNS["number"], -(-CONTEXT_CHARS // 7)
+
+    def near(finds: Column, gaps: Column, i: Column) -> Column:
+        first = F.greatest(i - back, F.lit(1))
+        earlier = F.zip_with(F.slice(gaps, first, i - first), F.slice(finds, first, i - first), lambda g, f: F.concat(g, f))
+        before = F.concat(F.array_join(earlier, ""), F.get(gaps, i - 1))
+        return F.right(before, F.lit(CONTEXT_CHARS)).rlike(CONTEXT)
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda finds: _let(
+        F.split(text, pattern, -1), lambda gaps: F.when(F.size(finds) > 0, F.transform(
+            F.sequence(F.lit(1), F.size(finds)), lambda i: near(finds, gaps, i)))))
+
+
 def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text and, for each kind, ``<kind>s``: array of (start, end, found)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("has_digit", F.col("text").rlike("[0-9]"))
-    nothing = F.array().cast("array<struct<start:int,end:int,found:string>>")
-    spans = rows.select("doc_id", "text", *[
+    nothing = F.array().cast(_SPANS)
+    spans = rows.select("doc_id", "text", _contexts(F.col("text")).alias("near"), *[
         F.coalesce(_spans(F.col("text"), k), nothing).alias(f"{k}s") for k in PATTERNS])
-    taken = F.concat(*[F.col(f"{k}s") for k in PATTERNS if k != "number"])
 
     def apart(n: Column) -> Column:
-        return ~F.exists(taken, lambda t: (t["start"] < n["end"]) & (n["start"] < t["end"]))
+        return ~reduce(or_, [_meets(F.col(f"{k}s"), n) for k in PATTERNS if k != "number"])
 
-    def score(n: Column) -> Column:
-        left = F.greatest(n["start"] - CONTEXT_CHARS, F.lit(0))
-        before = F.substring(F.col("text"), left + 1, n["start"] - left)
-        return F.lit(NUMBER_SCORE) + F.when(before.rlike(CONTEXT), CONTEXT_SCORE).otherwise(0)
+    def score(near: Column) -> Column:
+        return F.lit(NUMBER_SCORE) + F.when(near, CONTEXT_SCORE).otherwise(0)
 
-    return spans.withColumn("numbers", F.filter(
-        F.col("numbers"), lambda n: (score(n) >= REPORT_FROM) & apart(n)))
+    judged = F.zip_with("numbers", "near", lambda n, near: F.struct(n.alias("n"), score(near).alias("score")))
+    kept = F.filter(judged, lambda x: (x["score"] >= REPORT_FROM) & apart(x["n"]))
+    return spans.withColumn("numbers", F.coalesce(F.transform(kept, lambda x: x["n"]), nothing)).drop("near")
 
 
 def digest(spans: Column, kind: str) -> Column:
