@@ -1,12 +1,14 @@
 """Passages of test items in training texts: n-gram seeds, then local alignment.
 
 Words are runs of letters and digits (bytes above 0x7F count as letters), A-Z as a-z, so that
-signs and spacing do not matter. Every ``GRAM``-word sequence of every item is a seed, however
-common its words are: nothing about the corpus decides which are looked for, so a passage that a
-third of all documents share is found in each, whichever of its words were changed.
-
-A seed found in a text joins the text to the item. Around it lies the region that any alignment
-through the seed that could count is within; regions that touch are one. The Smith-Waterman
+signs and spacing do not matter. Every ``GRAM``-word sequence of every item is a seed: nothing about
+the corpus decides which are looked for, so a passage that a third of all documents share is found
+in each, whichever of its words were changed. A seed is rare if one item only has it, once.
+
+A rare seed found in a text joins the text to the item; a common one, a turn of phrase that several
+items have, does so only in company of another seed of the item near it. Around a seed lies the
+region that any alignment through it that could count is within; regions that touch are one, and
+that is what near means. The Smith-Waterman
 alignment of the item's words with the region (match +2, anything else -1) gives the score, divided
 by that of a perfect copy: inserted, dropped and exchanged words cost little. A document is
 contaminated by an item from ``MIN_SCORE`` on, or if ``LONG_PART`` words of it match in one
@@ -96,11 +98,16 @@ def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int, int]:
 
 
 def _regions(
-    doc: np.ndarray, item: np.ndarray, start: np.ndarray, end: np.ndarray, n: int,
+    doc: np.ndarray, item: np.ndarray, start: np.ndarray, end: np.ndarray, rare: np.ndarray, n: int,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, item, start and end, those of one document and item that touch as one; n words in all."""
+    """Document, item, start and end, those of one document and item that touch as one; n words in all.
+
+    Of these, the ones around a rare seed or around several seeds.
+    """
+    if not len(doc):
+        return doc, item, start, end
     order = np.lexsort((start, item, doc))
-    doc, item, start, end = doc[order], item[order], start[order], end[order]
+    doc, item, start, end, rare = doc[order], item[order], start[order], end[order], rare[order]
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
     shift = np.cumsum(new) * (n + 1)  # places of one document and item are above those of the one before
@@ -108,6 +115,8 @@ def _regions(
     new[1:] = start[1:] + shift[1:] > reach[:-1]
     first = np.flatnonzero(new)
     last = np.append(first, len(doc))[1:] - 1
+    worth = np.logical_or.reduceat(rare, first) | (last > first)
+    first, last = first[worth], last[worth]
     return doc[first], item[first], start[first], (reach - shift)[last]
 
 
@@ -202,7 +211,8 @@ def _search(docs: DataFrame, items: Items, min_score: float, long_part: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, item_words, grams, seed_item, low, high = box.value
-        keys, seed_key = np.unique(grams, return_inverse=True)
+        keys, seed_key, holders = np.unique(grams, return_inverse=True, return_counts=True)
+        rare = (holders[seed_key] == 1) & (low == high)
         seed_rank = seed_key * len(ids) + seed_item  # ascending
         lookup = Lookup(keys)
         sizes = np.array([len(words) for words in item_words])
@@ -226,7 +236,7 @@ def _search(docs: DataFrame, items: Items, min_score: float, long_part: int) ->
                     doc, item = owner[place], seed_item[seed]
                     regions = _regions(
                         doc, item, np.maximum(place - high[seed] - margins[item], first[doc]),
-                        np.minimum(place - low[seed] + sizes[item] + margins[item], first[doc + 1]), len(hashes))
+                        np.minimum(place - low[seed] + sizes[item] + margins[item], first[doc + 1]), rare[seed], len(hashes))
                     for d, k, x, y in zip(*(r.tolist() for r in regions)):
                         if k not in known:
                             known[k] = np.unique(item_words[k], return_counts=True)

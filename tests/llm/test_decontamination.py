@@ -163,3 +163,39 @@ def test_query_finds_whole_copies(spark, sf_dir):
     want = {(r["doc_id"], k) for r in read("documents") for k, t in items.items() if t in flat(r["text"])}
     got = {(r["doc_id"], r["item_id"]) for r in registered()["op2_benchmark_leaks"](spark, sf_dir).collect()}
     assert want and want <= got
+
+
+def test_whole_table_against_all_pairs(spark, sf_dir):
+    """Every pair of document and item that aligns well enough is found, and no other."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet").collect()
+    cut = lambda t: re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode().lower())
+    items = {r["item_id"]: cut(r["text"]) for r in read("benchmark")}
+    items = {k: w for k, w in items.items() if len(w) >= D.MIN_WORDS}
+    number = {w: i for i, w in enumerate({w for words in items.values() for w in words})}
+    wide = max(map(len, items.values()))
+    grid = np.array([[number[w] for w in words] + [-2] * (wide - len(words)) for words in items.values()])
+    steps, sizes = np.arange(wide + 1), np.array([len(w) for w in items.values()])
+    want, possible = set(), set()
+    for r in read("documents"):
+        score, best = np.zeros((len(items), wide + 1), int), np.zeros(len(items), int)
+        for word in cut(r["text"]):
+            new = np.zeros_like(score)
+            same = grid == number.get(word, -1)
+            new[:, 1:] = np.maximum(np.maximum(score[:, :-1] + np.where(same, 2, -1), score[:, 1:] - 1), 0)
+            score = np.maximum.accumulate(new + steps, axis=1) - steps
+            best = np.maximum(best, score.max(axis=1))
+        for k, whole, long_part in zip(items, best >= D.MIN_SCORE * 2 * sizes, best >= 1.6 * D.LONG_PART):
+            want |= {(r["doc_id"], k)} if whole else set()
+            possible |= {(r["doc_id"], k)} if whole or long_part else set()
+    got = {(r["doc_id"], r["item_id"]) for r in registered()["op2_benchmark_leaks"](spark, sf_dir).collect()}
+    assert want and want <= got <= possible
+
+
+def test_a_common_seed_needs_company(spark):
+    """A turn of phrase of several items opens no alignment by itself; a rare seed does."""
+    doc = np.zeros(3, int), np.array([0, 0, 1]), np.array([0, 50, 4]), np.array([9, 60, 20])
+    for rare, want in (([0, 0, 0], []), ([0, 1, 0], [(0, 50)]), ([0, 0, 1], [(1, 4)])):
+        _, item, start, _ = D._regions(*doc, np.array(rare, bool), 100)
+        assert list(zip(item.tolist(), start.tolist())) == want
+    _, item, start, end = D._regions(np.zeros(2, int), np.zeros(2, int), np.array([3, 8]), np.array([9, 20]), np.zeros(2, bool), 100)
+    assert (item.tolist(), start.tolist(), end.tolist()) == ([0], [3], [20])
