@@ -33,7 +33,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .tables import ship
+from .tables import ship, worker_state
 from .words import chunks
 
 #: Fixed value: the word pattern of byte-level vocabularies.
@@ -241,15 +241,9 @@ class Automaton:
         return b"".join(map(self.label_of.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
-_built: dict[str, Automaton] = {}
-
-
 def _automaton(key: str, vocabulary: Vocabulary) -> Automaton:
-    """Built once per worker process."""
-    if key not in _built:
-        _built.clear()
-        _built[key] = Automaton(vocabulary)
-    return _built[key]
+    """Built once per worker process, with the words it has seen."""
+    return worker_state("bpe", key, lambda: Automaton(vocabulary))
 
 
 RESULT = "doc_id long, n_tokens long, ids binary, decoded_sha256 string"

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .tables import ship
+from .tables import ship, worker_state
 from .words import chunks
 
 UNKNOWN = "und"
@@ -175,8 +175,6 @@ class Parser:
         return out / np.maximum(lengths, 1)[:, None], lettered[starts[1:]] > lettered[starts[:-1]]
 
 
-_parsers: dict[str, Parser] = {}
-
 RESULT = "doc_id long, lang_pred string, score double, bits double"
 
 
@@ -188,10 +186,7 @@ def identify(docs: DataFrame, references: dict[str, str]) -> DataFrame:
     box, key = docs.sparkSession.sparkContext.broadcast(references), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _parsers:
-            _parsers.clear()
-            _parsers[key] = Parser(box.value)
-        parser = _parsers[key]
+        parser = worker_state("langid", key, lambda: Parser(box.value))
         for batch in batches:
             for part in chunks(batch, size=CHUNK):
                 texts = [t or "" for t in part.column("text").to_pylist()]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import sys
+import types
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -43,4 +45,22 @@ def ship(*module_names: str) -> None:
         cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
-__all__ = ["benchmark", "conversations", "documents", "fold", "join_apart", "materialise", "ship"]
+_STATE = "_llm_worker_state"
+
+
+def worker_state(kind: str, key: str, build: Callable[[], object]) -> object:
+    """What ``build`` makes, once in a worker process; only the last ``key`` of a kind is kept.
+
+    Modules shipped by value have globals anew in every task, so this lives in a module of the
+    process itself, which Python workers keep from task to task.
+    """
+    state = sys.modules.setdefault(_STATE, types.ModuleType(_STATE)).__dict__
+    if kind not in state or state[kind][0] != key:
+        state.pop(kind, None)
+        state[kind] = key, build()
+    return state[kind][1]
+
+
+__all__ = ["benchmark", "conversations", "documents", "fold", "join_apart", "materialise", "ship", "worker_state"]
+
+ship(__name__)
