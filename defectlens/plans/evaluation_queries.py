@@ -334,9 +334,37 @@ def bootstrap_auc(spark, sf_dir):
     return _rounded(result, "point", "low", "high")
 
 
-@query("bootstrap_poisson")
+def _poisson_sql(relation):
+    """A Poisson(count) weight of each (label, pred) cell and replicate, by mass from the mode outwards."""
+    up, down = "s.up * c / (c + e.j)", "CASE WHEN c >= e.j THEN s.down * (c - e.j + 1) / c ELSE 0 END"
+    none = "0::DOUBLE"
+    return f"""cells AS (SELECT label, pred, count(*)::DOUBLE AS c FROM {relation} GROUP BY label, pred),
+started AS (
+  SELECT *, ('0x' || substr(md5('{SEED}:' || replicate || ':' || label || ':' || pred), 1, 15))::BIGINT / 1152921504606846976::DOUBLE AS u,
+         exp(c * ln(c) - c - ({_log_factorial_sql("c")})) AS top
+  FROM cells, (SELECT unnest(range({BOOTSTRAPS})) AS replicate)),
+resampled AS (
+  SELECT replicate, label, pred, coalesce(list_reduce(
+      list_prepend({{'rest': u - top, 'up': top, 'down': top, 'k': CASE WHEN u < top THEN c END, 'j': 0::BIGINT}},
+        list_transform(range(1, CASE WHEN u < top THEN 1 ELSE floor(12 * sqrt(c))::BIGINT + 21 END),
+          lambda j: {{'rest': {none}, 'up': {none}, 'down': {none}, 'k': NULL::DOUBLE, 'j': j}})),
+      lambda s, e: CASE WHEN s.k IS NOT NULL THEN s
+        WHEN s.rest - {up} < 0 THEN {{'rest': {none}, 'up': {none}, 'down': {none}, 'k': c + e.j, 'j': e.j}}
+        ELSE {{'rest': s.rest - {up} - {down}, 'up': {up}, 'down': {down},
+              'k': CASE WHEN s.rest - {up} - {down} < 0 THEN c - e.j END, 'j': e.j}} END).k, c) AS w
+  FROM started)"""
+
+
+_WEIGHTED_F1 = """2 * sum(w) FILTER (label = 1 AND pred = 1)
+  / nullif(2 * sum(w) FILTER (label = 1 AND pred = 1) + sum(w) FILTER (label <> pred), 0)"""
+
+
+@query("bootstrap_poisson", f"{LINE_SCORES}, predicted AS (SELECT *, (score >= 30000)::INTEGER AS pred FROM lines), "
+       + _poisson_sql("predicted") + " " + _interval_sql(
+    "f1", f"SELECT coalesce({F1_SQL}, 0) FROM predicted",
+    f"SELECT coalesce({_WEIGHTED_F1}, 0) AS v FROM resampled GROUP BY replicate"))
 def bootstrap_poisson(spark, sf_dir):
-    """All of lineitem, grouped before it is resampled: no SQL twin, drawn weights."""
+    """All of lineitem, grouped before it is resampled, with weights drawn apart."""
     lines = _line_scores(spark, sf_dir).withColumn("pred", (F.col("score") >= 30000).cast("int"))
     result = evaluation.bootstrap_interval(lines, "f1", "pred", n_boot=1000, seed=SEED, mode="poisson")
     return _rounded(result, "point", "low", "high")
