@@ -14,8 +14,9 @@ from pyspark.ml.classification import (
     GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.feature import StandardScaler, UnivariateFeatureSelector, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -205,6 +206,21 @@ def fit_boosted(train: DataFrame, params: dict | None = None, seed: int = 42, id
     return boosted(PLAIN_TREES if params is None else params, seed).fit(placed(flat, ident))
 
 
+def with_splittable(
+    train: DataFrame, others: Sequence[DataFrame], leaf: int = LEAF_ROWS, features: str = "features",
+) -> list[DataFrame]:
+    """The frames with the columns of ``features`` that a split could use, train first.
+
+    A split leaves ``leaf`` train rows on either side, so one on a sparse column needs as many rows
+    in which it is not 0: columns of fewer are left out and no tree that could grow is lost. The
+    counts are one aggregate, as wide as the vectors; nothing is made dense.
+    """
+    counts = train.agg(Summarizer.numNonZeros(F.col(features)).alias("n")).first()["n"]
+    kept = [i for i, n in enumerate(counts.toArray()) if n >= leaf] if counts is not None else []
+    cut = VectorSlicer(inputCol=features, outputCol="_kept", indices=kept or [0])
+    return [cut.transform(df).drop(features).withColumnRenamed("_kept", features) for df in (train, *others)]
+
+
 def select_columns(train: DataFrame, n_features: int, features: str = "features"):
     """Keep the ``n_features`` columns that separate the classes best, before tree growing."""
     selector = UnivariateFeatureSelector(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..learning import forest, holdout, optimality, preparation, scorer, store, training
 from ..operators import codefeatures, evaluation, explain
-from ..operators.relational import union_all
+from ..operators.relational import label_at, union_all
 from ..operators.splits import group_split, stratified_group_folds
 from ..schema import FEATURE_COLUMNS
 from ..session import materialise, scratch_folder
@@ -153,36 +153,6 @@ def model_predictions(spark, sf_dir):
     return training.with_predictions(rows, _static_models(spark, folds)).drop("features")
 
 
-@query("model_cutoffs")
-def model_cutoffs(spark, sf_dir):
-    """Each model on test at the default cutoff and at the one that is best on validation."""
-    folds = _static(spark, sf_dir)
-    return union_all(*[
-        evaluation.threshold_apply(training.score(m, folds["val"]), training.score(m, folds["test"])).select(
-            F.lit(name).alias("model"), "setting", "threshold", *[F.round(c, 4).alias(c) for c in ("auc", "f1", "accuracy")])
-        for name, m in _static_models(spark, folds).items()
-    ])
-
-
-@query("model_intervals")
-def model_intervals(spark, sf_dir):
-    """Resampled intervals of AUC and F1 on test, one row per model."""
-    folds = _static(spark, sf_dir)
-    models = _static_models(spark, folds)
-    rows = folds["test"].select("sample_id", "label", "features")
-    predicted = materialise(training.with_predictions(rows, models).drop("features"))
-    rows = []
-    for name in models:
-        interval = {
-            metric: evaluation.bootstrap_interval(predicted, metric, f"{name}_{column}", seed=SEED).select(
-                F.round("point", 4).alias(metric), F.round("low", 4).alias(f"{metric}_low"), F.round("high", 4).alias(f"{metric}_high"))
-            for metric, column in (("auc", "prob"), ("f1", "pred"))
-        }
-        # Both sides are one row.
-        rows.append(interval["auc"].crossJoin(interval["f1"]).select(F.lit(name).alias("model"), "*"))
-    return union_all(*rows)
-
-
 @query("model_contributions")
 def model_contributions(spark, sf_dir):
     """What each feature adds to the fitted logistic model's scores on test."""
@@ -294,11 +264,83 @@ def top_coefficients(spark, sf_dir):
 
 @query("gbt_tfidf")
 def gbt_tfidf(spark, sf_dir):
-    """Boosted trees on all static and text columns; the logistic model beside the vectors is not used."""
-    model = holdout.TextModel(_text_tables(spark, sf_dir), FEATURE_COLUMNS, grid=(1.0,), iterations=5)
-    folds = _by_fold(materialise(model.vectors.select("sample_id", "label", "fold", "features")))
-    search = training.search_boosted(folds["train"], folds["val"], training.TFIDF_TREES)
-    return training.report(search.model, folds, "boosted trees, static + TF-IDF")
+    """Boosted trees on all static and text columns that a split could use."""
+    tables = _text_tables(spark, sf_dir)
+    folds = _by_fold(materialise(holdout.text_vectors(tables, FEATURE_COLUMNS).select("sample_id", "label", "fold", "features")))
+    cut = dict(zip(FOLDS, training.with_splittable(folds["train"], [folds["val"], folds["test"]])))
+    model = store.stored(
+        spark, "boosted_tfidf", [tables.static, *tables.units.values()],
+        lambda: training.search_boosted(cut["train"], cut["val"], training.TFIDF_TREES).model, GBTClassificationModel.load)
+    return training.report(model, cut, "boosted trees, static + TF-IDF")
+
+
+def _scored_models(spark, sf_dir):
+    """fold, label and score of all rows under each trained model: static, cross-validated, with text.
+
+    The last is fitted on the labelled texts, the others on the programs. Each is fitted once in an
+    application.
+    """
+    folds = _static(spark, sf_dir)
+    rows = union_all(*folds.values())
+    scored = {name: training.score(m, rows) for name, m in _static_models(spark, folds).items()}
+    features = [folds[f].drop("features") for f in FOLDS]
+
+    def crossval():
+        folds, both, search = _crossval(spark, sf_dir)
+        return training.score(training.refit_logistic(both, FEATURE_COLUMNS, search.best), union_all(*folds.values()))
+
+    scored["logreg_crossval"] = store.stored_table(spark, "scored_crossval", features, crossval)
+    tables = _text_tables(spark, sf_dir)
+    scored["logreg_tfidf"] = store.stored_table(
+        spark, "scored_tfidf", [tables.static, *tables.units.values()],
+        lambda: holdout.TextModel(tables, FEATURE_COLUMNS).scored())
+    return {name: df.select("sample_id", "fold", "label", "score") for name, df in scored.items()}
+
+
+@query("model_cutoffs")
+def model_cutoffs(spark, sf_dir):
+    """Each model on test at the default cutoff and at the one that is best on validation."""
+    return union_all(*[
+        evaluation.threshold_apply(df.where("fold = 'val'"), df.where("fold = 'test'")).select(
+            F.lit(name).alias("model"), "setting", "threshold", *[F.round(c, 4).alias(c) for c in ("auc", "f1", "accuracy")])
+        for name, df in _scored_models(spark, sf_dir).items()
+    ])
+
+
+@query("model_reports")
+def model_reports(spark, sf_dir):
+    """The report by class of each model on test, at the cutoff that is best on validation."""
+    reports = []
+    for name, df in _scored_models(spark, sf_dir).items():
+        cutoff = evaluation.best_threshold(df.where("fold = 'val'")).select("threshold").scalar()
+        called = df.where("fold = 'test'").withColumn("pred", label_at(F.col("score"), cutoff))
+        reports.append(evaluation.classification_report(called).select(F.lit(name).alias("model"), "*"))
+    return union_all(*reports)
+
+
+@query("model_intervals")
+def model_intervals(spark, sf_dir):
+    """Resampled intervals of AUC and F1 on test, one row per model."""
+    rows = []
+    for name, df in _scored_models(spark, sf_dir).items():
+        test = materialise(df.where("fold = 'test'").withColumn("pred", label_at(F.col("score"), 0.5)))
+        interval = {
+            metric: evaluation.bootstrap_interval(test, metric, column, seed=SEED).select(
+                F.round("point", 4).alias(metric), F.round("low", 4).alias(f"{metric}_low"), F.round("high", 4).alias(f"{metric}_high"))
+            for metric, column in (("auc", "score"), ("f1", "pred"))
+        }
+        # Both sides are one row.
+        rows.append(interval["auc"].crossJoin(interval["f1"]).select(F.lit(name).alias("model"), "*"))
+    return union_all(*rows)
+
+
+@query("text_model_contributions")
+def text_model_contributions(spark, sf_dir):
+    """What each static feature adds to the scores of the model with text on test."""
+    tables = _text_tables(spark, sf_dir)
+    model = holdout.TextModel(tables, FEATURE_COLUMNS)
+    weights = dict(zip(FEATURE_COLUMNS, model.search.model.coefficients.toArray().tolist()))
+    return explain.explain_linear(tables.fold("train").static, tables.fold("test").static, weights)
 
 
 _FAMILIES = [f"family{i}" for i in range(4)]

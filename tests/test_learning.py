@@ -6,14 +6,17 @@ import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from defectlens.learning import forest, holdout, optimality, preparation as P, store, training as M
+from defectlens.learning import forest, holdout, optimality, preparation as P, scorer, store, training as M
 from defectlens.operators import explain
+from defectlens.operators.codefeatures import feature_table
 from defectlens.operators.evaluation import auc, model_comparison
 from defectlens.operators.splits import stratified_group_folds
 from defectlens.operators.textvectors import UNITS, fit_and_weigh, fit_tfidf
 from defectlens.plans import learning_queries as Q, registered
+from defectlens.schema import FEATURE_COLUMNS
 from defectlens.sources import writers
 
 COLUMNS = ["a", "b", "c"]
@@ -254,6 +257,42 @@ def test_contributions_add_up_to_the_raw_score(spark, table):
     assert {r["feature"] for r in ranking} == set(COLUMNS) and ranking[0]["feature"] in ("a", "b")
 
 
+def test_columns_that_no_split_can_use_change_no_tree(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(300):
+        common = {0: float(rng.normal()), 1: float(rng.integers(0, 3)), 4: float(rng.random())}
+        rare = {j: float(rng.random()) for j in (2, 3, 5) if rng.random() < 0.05}
+        label = int(common[0] + (1 if rare else 0) > 0.2)
+        rows.append((i, label, Vectors.sparse(6, sorted((common | rare).items()))))
+    df = spark.createDataFrame(rows, ["sample_id", "label", "features"])
+    cut, other = M.with_splittable(df, [df.limit(5)], leaf=40)
+    assert cut.first()["features"].size == other.first()["features"].size == 3
+    params = {**M.PLAIN_TREES, "rounds": 5, "columns": "all", "leaf": 40}
+    whole, part = M.fit_boosted(df, params), M.fit_boosted(cut, params)
+    assert [r["score"] for r in M.score(whole, df).orderBy("sample_id").collect()] == [
+        r["score"] for r in M.score(part, cut).orderBy("sample_id").collect()]
+
+
+def test_a_stored_scorer_scores_raw_text_as_its_run_did(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, f"t{i % 9}", f"m{i % 3}", ("train", "train", "val", "test")[i % 4], int(rng.integers(2)),
+             None if i == 7 else "x = " + " + ".join(f"w{k}" for k in rng.integers(0, 20, rng.integers(1, 9))), "", "[]")
+            for i in range(80)]
+    samples = spark.createDataFrame(rows, "sample_id int, task_id string, model_name string, fold string, label int, "
+                                          "solution string, instruct_prompt string, libs string")
+    static = feature_table(samples, median_keys=("fold", "task_id"))
+    tables = holdout.TextTables.build(static.join(samples.select("sample_id", "solution"), "sample_id"))
+    model = holdout.TextModel(tables, FEATURE_COLUMNS, grid=(1.0,), iterations=10, max_features=30)
+    scorer.TextScorer(FEATURE_COLUMNS, model.fitted, model.search.model).save(str(tmp_path / "s"))
+    served = scorer.TextScorer.load(spark, str(tmp_path / "s")).score(samples, median_keys=("fold", "task_id"))
+    want = {r["sample_id"]: r["score"] for r in model.scored().collect()}
+    got = {r["sample_id"]: r["score"] for r in served.collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+    new = spark.createDataFrame([(1, "t", "m", "f", 0, "unseen", "", "[]")], samples.schema)
+    assert 0 < scorer.TextScorer.load(spark, str(tmp_path / "s")).score(new).first()["score"] < 1
+
+
 def test_settings_that_differ_in_rounds_share_a_fit(table, monkeypatch):
     fits = []
     whole = M.fit_staged
@@ -339,14 +378,11 @@ def test_registered_searches_are_whole(spark, table, monkeypatch, name, place, f
         F.element_at(F.array(*map(F.lit, Q.FOLDS)), 1 + (F.col("sample_id") % 3).cast("int")).alias("fold"))
 
     class Tables:
-        static = folded
+        static, units = folded, {}
 
         def fold(self, _):
             return self
 
-    class Vectors:
-        vectors = folded
-
     monkeypatch.setattr(Q, "_features", lambda *_: folded)
     monkeypatch.setattr(Q, "_static", lambda *_: Q._by_fold(folded))
     monkeypatch.setattr(Q.preparation, "static_vectors", lambda df, _: df)
@@ -355,8 +391,7 @@ def test_registered_searches_are_whole(spark, table, monkeypatch, name, place, f
     monkeypatch.setattr(M, "search_logistic", lambda *_: M.Search(None, None))
     monkeypatch.setattr(Q.store, "stored", lambda spark, name, tables, fit, load: fit())
     monkeypatch.setattr(holdout, "FamilyTerms", lambda *_: type("Terms", (), {"without": lambda *_: {}})())
-    if name == "gbt_tfidf":
-        monkeypatch.setattr(holdout, "TextModel", lambda *_, **__: Vectors())
+    monkeypatch.setattr(holdout, "text_vectors", lambda *_: folded)
     if function == "TextModel":
         monkeypatch.setattr(holdout, "leave_families_out", lambda *_, **__: None)
     monkeypatch.setattr(place, function, take)
