@@ -398,3 +398,25 @@ def test_registered_searches_are_whole(spark, table, monkeypatch, name, place, f
     with pytest.raises(Taken) as taken:
         registered()[name](spark, None)
     assert taken.value.args[0] == want
+
+
+def test_reports_of_all_models(spark, sf_dir, monkeypatch):
+    """The registered reports over the four trained models, with searches cut short."""
+    boosted, crossval, text = M.search_boosted, M.crossval_logistic, holdout.TextModel
+    small = [{"rounds": 2, "step": 0.1, "depth": 2, "columns": "all"}]
+    monkeypatch.setattr(M, "search_logistic", lambda train, val: M.Search(M.fit_logistic(train, [1.0], 20)[0], 1.0))
+    monkeypatch.setattr(M, "search_boosted", lambda train, val, grid=None: boosted(train, val, small, patience=2))
+    monkeypatch.setattr(M, "crossval_logistic", lambda train, columns, **_: crossval(train, columns[:3], grid=(1.0,), iterations=5))
+    monkeypatch.setattr(holdout, "TextModel", lambda tables, columns: text(tables, columns, 50, (1.0,), 5))
+    models = {"logreg", "boosted", "logreg_crossval", "logreg_tfidf"}
+    run = {name: registered()[name](spark, sf_dir).collect() for name in (
+        "model_cutoffs", "model_reports", "model_intervals", "tree_contributions", "text_model_contributions")}
+    assert sorted((r["model"], r["setting"]) for r in run["model_cutoffs"]) == sorted(
+        (m, s) for m in models for s in ("default", "tuned"))
+    assert {(r["model"], r["class"]) for r in run["model_reports"]} == {
+        (m, c) for m in models for c in ("0", "1", "accuracy", "macro avg", "weighted avg")}
+    assert {r["model"] for r in run["model_intervals"]} == models
+    for r in run["model_intervals"]:
+        assert r["f1_low"] <= r["f1"] <= r["f1_high"]
+    for name in ("tree_contributions", "text_model_contributions"):
+        assert {r["feature"] for r in run[name]} == set(FEATURE_COLUMNS)
