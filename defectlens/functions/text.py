@@ -19,16 +19,14 @@ def text_or_empty(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
+# What is deleted from a model name, in this order.
+NAME_CUTS = (r"(?s)^.*?--", r"-hf$", r"[-_v. ]", r"\d{8}$")
+
+
 def normalise_name(name: Column) -> Column:
     """Organisation prefix, ``-hf``, separators and date stamps removed; lower case."""
-    steps = [
-        (r"(?s)^.*?--", ""),
-        (r"-hf$", ""),
-        (r"[-_v. ]", ""),
-        (r"\d{8}$", ""),
-    ]
-    for pattern, replacement in steps:
-        name = F.regexp_replace(name, pattern, replacement)
+    for pattern in NAME_CUTS:
+        name = F.regexp_replace(name, pattern, "")
     return F.lower(name)
 
 
