@@ -116,3 +116,31 @@ def test_fitting_and_weighing_at_once(spark, kind):
     apart = V.tfidf_weights(units, "id", kind, alone, 50)
     got = {(r["id"], r["idx"]): r["weight"] for r in weights.collect()}
     assert got == pytest.approx({(r["id"], r["idx"]): r["weight"] for r in apart.collect()})
+
+
+@pytest.mark.parametrize("kind", ["word", "char"])
+def test_terms_are_counted_inside_their_document(spark, kind):
+    """No grouping by document and term: a document is one row of units, and repeated ids add up."""
+    rows = [(1, SAMPLES[0]), (2, SAMPLES[1]), (2, SAMPLES[0]), (None, "a b a"), (None, "b")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    units = V.UNITS[kind](df, "id", "t")
+    assert units.count() == 3
+    want = {}
+    for i, s in rows:
+        want[i] = want.get(i, Counter()) + COUNTERS[kind](s)
+    got = {}
+    for r in V.term_counts(units, "id", kind).collect():
+        got.setdefault(r["id"], Counter())[r["term"]] = r["tf"]
+    assert got == want
+    single = V.term_counts(V.UNITS[kind](df.where("id = 1"), "id", "t"), "id", kind)
+    assert "Aggregate" not in single._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_texts_are_counted_in_pieces(spark, monkeypatch):
+    from defectlens.functions import counting
+    monkeypatch.setattr(counting, "_ELEMENTS", 7)
+    df = spark.createDataFrame(list(enumerate(SAMPLES * 3)), "id int, t string")
+    for kind, counter in COUNTERS.items():
+        got = V.term_counts(V.UNITS[kind](df, "id", "t"), "id", kind).collect()
+        assert {(r["id"], r["term"]): r["tf"] for r in got} == {
+            (i, term): n for i, s in enumerate(SAMPLES * 3) for term, n in counter(s).items()}
