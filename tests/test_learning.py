@@ -1,6 +1,7 @@
 """Weights, solvers, searches and explanations."""
 
 import inspect
+import time
 
 import numpy as np
 import pytest
@@ -17,6 +18,7 @@ from defectlens.operators.splits import stratified_group_folds
 from defectlens.operators.textvectors import UNITS, fit_and_weigh, fit_tfidf
 from defectlens.plans import learning_queries as Q, registered
 from defectlens.schema import FEATURE_COLUMNS
+from defectlens.session import written_tables
 from defectlens.sources import writers
 
 COLUMNS = ["a", "b", "c"]
@@ -420,3 +422,47 @@ def test_reports_of_all_models(spark, sf_dir, monkeypatch):
         assert r["f1_low"] <= r["f1"] <= r["f1_high"]
     for name in ("tree_contributions", "text_model_contributions"):
         assert {r["feature"] for r in run[name]} == set(FEATURE_COLUMNS)
+
+
+def test_logistic_fits_move_no_rows_and_leave_no_core_twice(spark, table):
+    """Rows are read where they lie, and there are as many fits at a time as leave no core idle."""
+    cores, running, most = spark.sparkContext.defaultParallelism, set(), []
+
+    class Learner:
+        def fit(self, train):
+            running.add(self)
+            most.append(len(running))
+            time.sleep(0.2)
+            running.remove(self)
+            return train._jdf.queryExecution().executedPlan().toString()
+
+    wide = spark.range(10 * cores, numPartitions=cores).withColumnRenamed("id", "sample_id")
+    plans = M.fit_all([Learner() for _ in range(3)], wide, fit_rows=10)
+    assert max(most) == 1
+    assert not any("Exchange" in plan for plan in plans)
+    most.clear()
+    M.fit_all([Learner() for _ in range(3)], wide, parallelism=2)
+    assert max(most) == min(2, cores)
+
+
+def test_text_models_keep_no_table_twice(spark):
+    """Counts are deleted once they are vectors, and the vectors of a held-out family with its turn."""
+    rows = [(i, f"m{i % 2}", ("train", "train", "val", "test")[i // 4 % 4], i // 2 % 2, f"w{i % 7} x{i % 3}", float(i % 5)) for i in range(96)]
+    tables = holdout.TextTables.build(spark.createDataFrame(
+        rows, "sample_id int, model_name string, fold string, label int, solution string, loc double"))
+    model = holdout.TextModel(tables, ["loc"], grid=(1.0,), iterations=5)
+    columns = [set(spark.read.parquet(path).columns) for path in written_tables()]
+    assert {"sample_id", "features"} <= set.union(*[c for c in columns if "features" in c])
+    assert model.vectors.count() == model.scored().count() == 96
+
+    families = spark.createDataFrame([("f0", "m0"), ("f1", "m1")], "family string, model_name string")
+    before = set(written_tables())
+    found = holdout.leave_families_out(tables, families, ["loc"], grid=(1.0,), iterations=5)
+    assert found.count() == 2
+    left = [spark.read.parquet(path).columns for path in written_tables() if path not in before]
+    assert left and not any("features" in columns for columns in left)
+
+    before = set(written_tables())
+    holdout.text_vectors(tables, ["loc"])
+    counts = [c for c in (spark.read.parquet(path).columns for path in written_tables() if path not in before) if "sample_id" in c]
+    assert [("features" in c) for c in counts] == [True]
