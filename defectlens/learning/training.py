@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark import SparkContext
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier,
 )
@@ -17,7 +17,6 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, UnivariateFeatureSelector, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.evaluation import auc, binary_metrics
@@ -261,6 +260,33 @@ def _impute_stages(columns: Sequence[str], scale: bool) -> list:
     return stages
 
 
+def _crossval(
+    stages: Sequence, learner, changes: Sequence[dict], rows: DataFrame, fold_col: str, folds: int, parallelism: int,
+) -> tuple[PipelineModel, list[float]]:
+    """Mean AUC over group folds of each of ``changes`` to the learner, and the best one fitted on all rows.
+
+    What comes before the learner does not depend on its settings, so it is fitted once per fold.
+    """
+    evaluator = BinaryClassificationEvaluator(labelCol="label", numBins=0)
+    learners = [learner.copy(change) for change in changes]
+    measured = []
+    for fold in range(folds):
+        prepared = Pipeline(stages=list(stages)).fit(rows.where(F.col(fold_col) != fold))
+        train, held = (
+            prepared.transform(rows.where(part)).select("label", "weight", "features").persist()
+            for part in (F.col(fold_col) != fold, F.col(fold_col) == fold))
+        try:
+            with ThreadPoolExecutor(parallelism) as pool:
+                measured.append(list(pool.map(lambda one: evaluator.evaluate(one.fit(train).transform(held)), learners)))  # noqa: B023
+        finally:
+            train.unpersist()
+            held.unpersist()
+    scores = np.mean(measured, axis=0)
+    prepared = Pipeline(stages=list(stages)).fit(rows)
+    best = learners[int(np.argmax(scores))].fit(prepared.transform(rows))
+    return PipelineModel(stages=[*prepared.stages, best]), scores.tolist()
+
+
 def crossval_logistic(
     train: DataFrame, columns: Sequence[str], fold_col: str = "foldCol",
     grid: Iterable[float] = CROSSVAL_C, iterations: int = 2000, parallelism: int = 4, ident: str = "sample_id",
@@ -272,14 +298,10 @@ def crossval_logistic(
     n_rows = train.count() * (folds - 1) / folds
     weighted = with_balanced_weight(train).withColumns({c: F.col(c).cast("double") for c in columns})
     learner = logistic(1.0, 1, iterations, standardise=False)
-    search = CrossValidator(
-        estimator=Pipeline(stages=[*_impute_stages(columns, scale=True), learner]),
-        estimatorParamMaps=[{learner.regParam: 1.0 / (c * n_rows)} for c in grid],
-        evaluator=BinaryClassificationEvaluator(labelCol="label", numBins=0),
-        numFolds=folds, foldCol=fold_col, parallelism=parallelism,
-    ).fit(placed(weighted, ident))
-    best = int(np.argmax(search.avgMetrics))
-    return Search(search.bestModel, grid[best], list(zip(grid, search.avgMetrics)))
+    model, scores = _crossval(
+        _impute_stages(columns, scale=True), learner, [{learner.regParam: 1.0 / (c * n_rows)} for c in grid],
+        placed(weighted, ident), fold_col, folds, parallelism)
+    return Search(model, grid[int(np.argmax(scores))], list(zip(grid, scores)))
 
 
 def refit_logistic(
@@ -326,14 +348,12 @@ def crossval_boosted(
         }
         for s in settings
     ]
-    search = CrossValidator(
-        estimator=Pipeline(stages=[*_impute_stages(columns, scale=False), learner]),
-        estimatorParamMaps=maps,
-        evaluator=BinaryClassificationEvaluator(labelCol="label", numBins=0),
-        numFolds=folds, foldCol=fold_col, parallelism=parallelism,
-    ).fit(placed(flat, ident))
-    best = int(np.argmax(search.avgMetrics))
-    return Search(search.bestModel, settings[best], list(zip(settings, search.avgMetrics)))
+    rows = placed(flat, ident)
+    # Small fits leave cores idle: there are as many at a time as there is room for.
+    room = rows.sparkSession.sparkContext.defaultParallelism // rows.rdd.getNumPartitions()
+    model, scores = _crossval(
+        _impute_stages(columns, scale=False), learner, maps, rows, fold_col, folds, max(parallelism, room))
+    return Search(model, settings[int(np.argmax(scores))], list(zip(settings, scores)))
 
 
 def report(model, folds: dict[str, DataFrame], name: str, cutoff: float = 0.5) -> DataFrame:

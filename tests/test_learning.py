@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
 from defectlens.learning import forest, holdout, optimality, preparation as P, scorer, store, training as M
@@ -466,3 +468,21 @@ def test_text_models_keep_no_table_twice(spark):
     holdout.text_vectors(tables, ["loc"])
     counts = [c for c in (spark.read.parquet(path).columns for path in written_tables() if path not in before) if "sample_id" in c]
     assert [("features" in c) for c in counts] == [True]
+
+
+def test_crossval_prepares_a_fold_once(table, monkeypatch):
+    """The stages before the learner are fitted once per fold and once for the model, and scores are as by MLlib's search."""
+    rows = table.drop("features").withColumn("foldCol", F.col("sample_id") % 2)
+    fitted, fit = [], P.MedianFiller._fit
+    monkeypatch.setattr(P.MedianFiller, "_fit", lambda self, df: fitted.append(1) or fit(self, df))
+    search = M.crossval_logistic(rows, COLUMNS, grid=[0.1, 10.0], iterations=20)
+    assert len(fitted) == 3
+
+    weighted, learner = P.with_balanced_weight(rows), M.logistic(1.0, 1, 20, standardise=False)
+    want = CrossValidator(
+        estimator=Pipeline(stages=[*M._impute_stages(COLUMNS, scale=True), learner]), numFolds=2, foldCol="foldCol",
+        estimatorParamMaps=[{learner.regParam: 1.0 / (c * 200)} for c in (0.1, 10.0)],
+        evaluator=BinaryClassificationEvaluator(labelCol="label", numBins=0)).fit(M.placed(weighted, "sample_id"))
+    assert [value for _, value in search.scores] == pytest.approx(want.avgMetrics)
+    got, model = search.model.stages[-1], want.bestModel.stages[-1]
+    assert got.coefficients.toArray() == pytest.approx(model.coefficients.toArray())
