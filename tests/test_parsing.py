@@ -1,7 +1,11 @@
 """Code features against hand-worked values."""
 
+import warnings
+
+import pyarrow as pa
 import pytest
 
+from defectlens.functions import parsing
 from defectlens.functions.parsing import describe
 from defectlens.operators.codefeatures import extract_features, feature_table
 
@@ -168,3 +172,16 @@ def test_relative_length_uses_task_median(spark):
     df = spark.createDataFrame(rows, "sample_id long, task_id string, solution string")
     got = {r["sample_id"]: r["smell_relative_length"] for r in feature_table(df).collect()}
     assert got == {1: 0.5, 2: 1.0, 3: 2.25, 4: 0.0, 5: None}
+
+
+def test_a_batch_silences_warnings_once(monkeypatch):
+    """Filters are set once per batch of programs, not per program, and no program warns."""
+    entered, silent = [], parsing._silent
+    monkeypatch.setattr(parsing, "_silent", lambda: entered.append(1) or silent())
+    codes = pa.array(["x = 1 is 1\n", None, "def f(:", "y = '\\d'\n"])
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        rows = parsing.parse_code.func(codes).to_pylist()
+    assert len(entered) == 1
+    assert [row and row["raw_ok"] for row in rows] == [True, None, False, True]
+    assert rows == pa.array([describe(code) for code in codes.to_pylist()], type=parsing._PARSE_TYPE).to_pylist()
