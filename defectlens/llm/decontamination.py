@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .tables import ship
+from .tables import drop_worker_state, ship
 from .words import SIGNS, as_texts, chunks, find_words, owners, ranges, span_hashes, window_hashes
 
 GRAM = 3
@@ -210,6 +210,7 @@ def _search(docs: DataFrame, items: Items, min_score: float, long_part: int) ->
     measure = Measure(min_score, long_part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_state()
         ids, item_words, grams, seed_item, low, high = box.value
         keys, seed_key, holders = np.unique(grams, return_inverse=True, return_counts=True)
         rare = (holders[seed_key] == 1) & (low == high)

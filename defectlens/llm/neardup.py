@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
-from .tables import join_apart, materialise, ship
+from .tables import drop_worker_state, join_apart, materialise, ship
 from .words import as_texts, chunks, find_words, mix, ranges, span_hashes, window_hashes
 
 SHINGLE = 5
@@ -93,6 +93,7 @@ SKETCHED = "doc_id long, n_shingles long, high long, low long, signature binary,
 def sketch(docs: DataFrame) -> DataFrame:
     """Size, name, signature and sketch (the low byte of each value) of each text's set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_state()
         for batch in batches:
             for part in chunks(batch, size=SET_CHUNK):
                 flat, starts = shingle_sets(part.column("text"))
@@ -310,6 +311,7 @@ def _confirmed(families: DataFrame, docs: DataFrame, block: int = BLOCK, percent
         F.least("own", "other").cast("int").alias("low"), F.greatest("own", "other").cast("int").alias("high"))
 
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_state()
         for batch in batches:
             for part in chunks(batch, size=SET_CHUNK):
                 flat, starts = shingle_sets(part.column("text"))
@@ -323,6 +325,7 @@ def _confirmed(families: DataFrame, docs: DataFrame, block: int = BLOCK, percent
     rows = sets.where(F.length("items") > 0).join(cells, "doc_id")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_state()
         cell, nodes, sets = None, [], []
 
         def links() -> pa.RecordBatch:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -49,18 +51,28 @@ _STATE = "_llm_worker_state"
 
 
 def worker_state(kind: str, key: str, build: Callable[[], object]) -> object:
-    """What ``build`` makes, once in a worker process; only the last ``key`` of a kind is kept.
+    """What ``build`` makes, once in a worker process; only the last one is kept, whatever its kind.
 
     Modules shipped by value have globals anew in every task, so this lives in a module of the
-    process itself, which Python workers keep from task to task.
+    process itself, which Python workers keep from task to task. A step without a state of its own
+    calls :func:`drop_worker_state`, as it may run in workers that still hold an earlier step's.
     """
     state = sys.modules.setdefault(_STATE, types.ModuleType(_STATE)).__dict__
-    if kind not in state or state[kind][0] != key:
-        state.pop(kind, None)
-        state[kind] = key, build()
-    return state[kind][1]
+    if state.get("last", (None,))[0] != (kind, key):
+        drop_worker_state()
+        state["last"] = (kind, key), build()
+    return state["last"][1]
 
 
-__all__ = ["benchmark", "conversations", "documents", "fold", "join_apart", "materialise", "ship", "worker_state"]
+def drop_worker_state() -> None:
+    """Free what this worker process has kept for an earlier step, and hand the pages back."""
+    if _STATE in sys.modules and sys.modules[_STATE].__dict__.pop("last", None) is not None:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
+__all__ = [
+    "benchmark", "conversations", "documents", "drop_worker_state", "fold", "join_apart", "materialise", "ship", "worker_state",
+]
 
 ship(__name__)

@@ -2,12 +2,14 @@
 
 import hashlib
 import re
+import weakref
 
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
+from defectlens.llm.tables import drop_worker_state, worker_state
 from test_decontamination import plain_score
 from test_neardup import plain_groups
 
@@ -127,3 +129,18 @@ def test_rows_are_judged_by_their_own_text(spark, sf_dir):
         [(0, item), (0, clean), (5, item), (5, clean), (6, clean)])
     assert left(P.decontaminated(spark, docs, sf_dir)) == sorted(
         [(0, clean), (0, "12 34"), (0, ""), (5, clean), (5, "12 34"), (6, clean)])
+
+
+def test_workers_keep_one_state():
+    """A worker that goes from stage to stage holds the automata of one, or none."""
+    class State:
+        pass
+
+    kept = weakref.ref(worker_state("a", "1", State))
+    assert worker_state("a", "1", State) is kept()
+    other = weakref.ref(worker_state("b", "1", State))
+    assert kept() is None and other() is not None
+    again = weakref.ref(worker_state("a", "1", State))
+    assert other() is None
+    drop_worker_state()
+    assert again() is None
