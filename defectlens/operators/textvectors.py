@@ -26,6 +26,9 @@ MAX_FEATURES = 10_000
 WORD_SIZES = (1, 2)
 CHAR_SIZES = (2, 4)
 
+#: Bytes of text that a task cuts into units, some: what it holds while it counts them does not grow with the table.
+PART_BYTES = 8 << 20
+
 # The vocabulary is broadcast, so it may have this many rows at most.
 _BROADCAST_TERMS = 100_000
 
@@ -97,12 +100,17 @@ def _per_document(df: DataFrame, ident: str, units: Column, *carry: str) -> Data
     return listed(df.join(repeated, again, "left_anti")).unionByName(gathered)
 
 
+def _dealt(df: DataFrame, ident: str, text: str) -> DataFrame:
+    n_bytes = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return df.repartition(max(1, -(-n_bytes // PART_BYTES)), ident)
+
+
 def _units(kind: str):
     def units(df: DataFrame, ident: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
         """(id, units): the counted units of each document. ``carry`` names columns of the document
-        to keep, so that later filters need no join. Texts are dealt out by id, as few files may
-        hold them all; nothing else moves."""
-        return _per_document(df.select(ident, *carry, text).repartition(ident), ident, UNIT_LISTS[kind](F.col(text)), *carry)
+        to keep, so that later filters need no join. Texts are dealt out by id, some ``PART_BYTES`` a
+        part, as few files may hold them all; nothing else moves."""
+        return _per_document(_dealt(df.select(ident, *carry, text), ident, text), ident, UNIT_LISTS[kind](F.col(text)), *carry)
 
     return units
 
@@ -112,8 +120,11 @@ UNITS = {"word": word_units, "char": char_units}
 
 
 def unit_rows(units: DataFrame, *keep: str) -> DataFrame:
-    """(keep, unit, n), a row per unit."""
-    return units.select(*keep, F.explode("units").alias("_u")).select(*keep, "_u.unit", "_u.n")
+    """(keep, unit, n), a row per unit.
+
+    A plain explode implies a filter on the list, for which every text would be cut once more before
+    it is dealt out; an outer one implies none."""
+    return units.select(*keep, F.explode_outer("units").alias("_u")).where("_u IS NOT NULL").select(*keep, "_u.unit", "_u.n")
 
 
 def cut_terms(units: DataFrame, kind: str, *keep: str) -> DataFrame:

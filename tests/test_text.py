@@ -144,3 +144,22 @@ def test_long_texts_are_counted_in_pieces(spark, monkeypatch):
         got = V.term_counts(V.UNITS[kind](df, "id", "t"), "id", kind).collect()
         assert {(r["id"], r["term"]): r["tf"] for r in got} == {
             (i, term): n for i, s in enumerate(SAMPLES * 3) for term, n in counter(s).items()}
+
+
+def test_texts_are_dealt_by_bytes_and_cut_once(spark, monkeypatch):
+    """A part holds some PART_BYTES of text, however much there is, and no filter cuts the texts again."""
+    monkeypatch.setattr(V, "PART_BYTES", 100)
+    rows = [(i, f"w{i % 7} {SAMPLES[i % 6]}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "i int, t string")
+    size = sum(len(t.encode()) for _, t in rows)
+    units = V.word_units(docs, "i", "t")
+    assert units.rdd.getNumPartitions() == -(-size // 100)
+    assert V.word_units(docs.limit(0), "i", "t").count() == 0
+    plan = V.unit_rows(units)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    want = Counter()
+    for _, text in rows:
+        words = re.findall("[A-Za-z_][A-Za-z0-9_]*", text.lower())
+        want.update(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
+    got = V.unit_rows(units).groupBy("unit").agg(F.sum("n")).collect()
+    assert {r[0]: r[1] for r in got} == want
