@@ -6,7 +6,7 @@ import time
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegressionModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator
@@ -248,6 +248,19 @@ def test_staged_fits_keep_the_trees_of_the_full_fit(table, patience):
         assert staged[limit].featureImportances == want.featureImportances
 
 
+def test_no_staged_fit_that_cannot_end(table, monkeypatch):
+    """Each fit but the last is thrown away, so the first one has rounds enough to see the best one behind."""
+    train, val = (M.placed(table.where(part).withColumn("weight", F.lit(1.0)), "sample_id").cache()
+                  for part in ("sample_id % 4 <> 0", "sample_id % 4 = 0"))
+    fits, fit = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, df: fits.append(self.getMaxIter()) or fit(self, df))
+    learner = M.boosted({"rounds": 1, "step": 1.0, "depth": 5, "columns": "all", "leaf": 1})
+    losses = fit(learner.copy({learner.maxIter: 16}), train).evaluateEachIteration(val)
+    assert M.best_round(losses, 4) <= 4  # steps so long that the loss soon rises
+    found = M.fit_staged(learner, [16], train, val, 4)
+    assert fits == [8] and found[16].getNumTrees == M.best_round(losses, 4)
+
+
 def test_contributions_add_up_to_the_raw_score(spark, table):
     model = M.fit_boosted(table, {**M.PLAIN_TREES, "rounds": 7, "depth": 4})
     nodes = forest.forest_nodes(model)
