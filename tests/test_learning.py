@@ -6,7 +6,9 @@ import time
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegressionModel
+from pyspark.ml.classification import (
+    GBTClassificationModel, GBTClassifier, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier,
+)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator
@@ -499,3 +501,34 @@ def test_crossval_prepares_a_fold_once(table, monkeypatch):
     assert [value for _, value in search.scores] == pytest.approx(want.avgMetrics)
     got, model = search.model.stages[-1], want.bestModel.stages[-1]
     assert got.coefficients.toArray() == pytest.approx(model.coefficients.toArray())
+
+
+def test_a_forest_is_grown_in_groups(spark, table, monkeypatch, tmp_path):
+    """Several fits with seeds of their own, none of which sends its trees with every level; one forest of their trees."""
+    parts, fit = [], RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, df: parts.append((self, fit(self, df))) or parts[-1][1])
+    forest = M.fit_forest(table, trees=5, depth=4, together=2)
+    assert sorted(one.getNumTrees() for one, _ in parts) == [1, 2, 2] and len({one.getSeed() for one, _ in parts}) == 3
+    assert all(one.getCacheNodeIds() and one.getFeatureSubsetStrategy() == "sqrt" for one, _ in parts)
+    assert forest.getNumTrees == len(forest.trees) == 5 and len({tree.toDebugString.split("\n", 1)[1] for tree in forest.trees}) == 5
+
+    got = [r["score"] for r in M.score(forest, table).orderBy("sample_id").collect()]
+    each = [(one.getNumTrees(), [r["score"] for r in M.score(part, table).orderBy("sample_id").collect()]) for one, part in parts]
+    assert got == pytest.approx(sum(n * np.array(scores) for n, scores in each) / 5)
+    forest.write().save(str(tmp_path / "f"))
+    back = RandomForestClassificationModel.load(str(tmp_path / "f"))
+    assert [r["score"] for r in M.score(back, table).orderBy("sample_id").collect()] == got
+
+    again = M.fit_forest(table.repartition(3), trees=5, depth=4, together=2)
+    assert again.toDebugString.split("\n")[1:] == forest.toDebugString.split("\n")[1:]
+
+
+def test_a_report_runs_its_model_once(table, monkeypatch):
+    model = M.fit_boosted(table, {**M.PLAIN_TREES, "rounds": 2})
+    folds = {"train": table.where("sample_id % 2 = 0"), "test": table.where("sample_id % 2 = 1")}
+    want = {fold: auc(M.score(model, df)).first()["auc"] for fold, df in folds.items()}
+    runs, transform = [], GBTClassificationModel.transform
+    monkeypatch.setattr(GBTClassificationModel, "transform", lambda self, df: runs.append(1) or transform(self, df))
+    found = M.report(model, folds, "m")
+    assert "UDF" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["fold"]: r["auc"] for r in found.collect()} == pytest.approx(want, abs=1e-4) and len(runs) == 1
