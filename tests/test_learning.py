@@ -1,6 +1,7 @@
 """Weights, solvers, searches and explanations."""
 
 import inspect
+import threading
 import time
 
 import numpy as np
@@ -532,3 +533,34 @@ def test_a_report_runs_its_model_once(table, monkeypatch):
     found = M.report(model, folds, "m")
     assert "UDF" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r["fold"]: r["auc"] for r in found.collect()} == pytest.approx(want, abs=1e-4) and len(runs) == 1
+
+
+def test_models_of_a_report_are_fitted_at_a_time(spark, table, monkeypatch):
+    """None waits for another, programs are parsed once, nulls reach the imputer, and reports read written scores."""
+    folded = table.withColumn("fold", F.element_at(F.array(*map(F.lit, Q.FOLDS)), 1 + (F.col("sample_id") % 3).cast("int")))
+    holed = folded.drop("features").withColumn("a", F.when(F.col("sample_id") % 5 > 0, F.col("a")))
+    together, fitted, parsed, given = threading.Barrier(4, timeout=60), M.search_logistic(table, table, [1.0]).model, [], []
+
+    def crossval(features):
+        together.wait()
+        given.append(features.where("a IS NULL").count())
+        return Q._by_fold(folded), folded, M.Search(None, None)
+
+    def text(*_):
+        together.wait()
+        return type("Tables", (), {"static": folded, "units": {}})()
+
+    monkeypatch.setattr(Q, "FEATURE_COLUMNS", COLUMNS)
+    monkeypatch.setattr(Q, "_features", lambda *_: parsed.append(1) or holed)
+    monkeypatch.setattr(Q, "_static_logistic", lambda *_: together.wait() >= 0 and fitted)
+    monkeypatch.setattr(Q, "_static_trees", lambda *_: together.wait() >= 0 and fitted)
+    monkeypatch.setattr(Q, "_crossval", crossval)
+    monkeypatch.setattr(M, "refit_logistic", lambda *_: fitted)
+    monkeypatch.setattr(Q, "_text_tables", text)
+    monkeypatch.setattr(holdout, "TextModel", lambda *_: type("Model", (), {"scored": lambda _: folded.withColumn("score", F.rand(1))})())
+    scored = Q._scored_models(spark, None)
+    assert list(scored) == ["logreg", "boosted", "logreg_crossval", "logreg_tfidf"]
+    assert parsed == [1] and given == [80]
+    for df in scored.values():
+        assert df.columns == ["sample_id", "fold", "label", "score"] and df.count() == 400
+        assert "UDF" not in df._jdf.queryExecution().executedPlan().toString()
