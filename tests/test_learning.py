@@ -15,7 +15,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
-from defectlens.learning import forest, holdout, optimality, preparation as P, scorer, store, training as M
+from defectlens.learning import forest, holdout, learners, optimality, preparation as P, scorer, store, training as M
 from defectlens.operators import explain
 from defectlens.operators.codefeatures import feature_table
 from defectlens.operators.evaluation import auc, model_comparison
@@ -564,3 +564,47 @@ def test_models_of_a_report_are_fitted_at_a_time(spark, table, monkeypatch):
     for df in scored.values():
         assert df.columns == ["sample_id", "fold", "label", "score"] and df.count() == 400
         assert "UDF" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("dense", [256, 1])
+def test_trees_grown_in_a_task_are_those_of_mllib(spark, rows, monkeypatch, dense):
+    """A fit is one job over stored bins, whatever the rounds, and its trees are MLlib's where nothing is drawn."""
+    x, y = rows
+    rng = np.random.default_rng(4)
+    x = np.c_[np.where(rng.random(x.shape) < 0.4, 0.0, x), rng.integers(0, 4, 400)]
+    data = [(i, int(y[i]), float(1 + y[i]), Vectors.dense(x[i]) if i % 3 else Vectors.sparse(4, [(j, v) for j, v in enumerate(x[i]) if v]))
+            for i in range(400)]
+    df = spark.createDataFrame(data, ["sample_id", "label", "weight", "features"]).cache()
+    monkeypatch.setattr(learners, "DENSE_COLUMNS", dense)
+    options = {"weightCol": "weight", "maxDepth": 3, "minInstancesPerNode": 30, "stepSize": 0.3, "seed": 5}
+    model, want = (kind(maxIter=12, **options).fit(df) for kind in (learners.BoostedTrees, GBTClassifier))
+    assert isinstance(model, learners.GrownTrees) and model._loaded is None
+    assert model.evaluateEachIteration(df) == pytest.approx(want.evaluateEachIteration(df), abs=1e-6)
+    scores = {i: r["score"] for i, r in enumerate(M.score(want, df).orderBy("sample_id").collect())}
+    assert [r["score"] for r in M.score(model, df).orderBy("sample_id").collect()] == pytest.approx(list(scores.values()), abs=1e-6)
+    assert model.featureImportances.toArray() == pytest.approx(want.featureImportances.toArray(), abs=1e-6)
+    assert model.totalNumNodes == want.totalNumNodes and model.treeWeights == want.treeWeights
+
+    options |= {"subsamplingRate": 0.8, "featureSubsetStrategy": "0.5"}
+    long = learners.BoostedTrees(maxIter=9, **options).fit(df)
+    short, again = (learners.BoostedTrees(maxIter=4, **options).fit(frame) for frame in (df, df.select("*").cache()))
+    assert short.toDebugString.split("\n")[1:] == again.toDebugString.split("\n")[1:] == long.first(4).toDebugString.split("\n")[1:]
+    found = learners.candidate_scores([long, short], df).where("candidate = 1").select("score").collect()
+    assert sorted(r["score"] for r in found) == pytest.approx(sorted(r["score"] for r in M.score(short, df).collect()))
+
+    monkeypatch.setattr(learners, "IN_TASK_BYTES", 100)
+    assert not isinstance(learners.BoostedTrees(maxIter=2, **options).fit(df.select("*")), learners.GrownTrees)
+
+
+def test_a_random_search_measures_a_fold_in_one_pass(table, monkeypatch):
+    """No candidate of a fold becomes a model of the JVM; the measure is the AUC of each."""
+    rows = table.drop("features").withColumn("foldCol", F.col("sample_id") % 2)
+    settings = [{**s, "rounds": 5} for s in M.random_tree_settings(draws=3)]
+    loaded, measured = [], []
+    save, scores = learners._Writer.saveImpl, M.candidate_scores
+    monkeypatch.setattr(learners._Writer, "saveImpl", lambda self, path: loaded.append(1) or save(self, path))
+    monkeypatch.setattr(M, "candidate_scores", lambda models, held: measured.append((models, held.cache())) or scores(models, held))
+    search = M.crossval_boosted(rows, COLUMNS, settings=settings)
+    assert len(loaded) <= 1 and len(measured) == 2
+    want = np.mean([[auc(M.score(m, held)).first()["auc"] for m in models] for models, held in measured], axis=0)
+    assert [value for _, value in search.scores] == pytest.approx(want.tolist())
