@@ -4,10 +4,12 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from defectlens.functions import text as T
+from defectlens.functions import counting, text as T
 from defectlens.operators import textvectors as V
 
 SAMPLES = [
@@ -163,3 +165,39 @@ def test_texts_are_dealt_by_bytes_and_cut_once(spark, monkeypatch):
         want.update(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
     got = V.unit_rows(units).groupBy("unit").agg(F.sum("n")).collect()
     assert {r[0]: r[1] for r in got} == want
+
+
+@pytest.mark.parametrize("lengths", [(), (2, 3, 4)])
+def test_counting_holds_a_slice_of_a_batch(monkeypatch, lengths):
+    """However long a batch is, only some units of it are cut and only some entries are weighed at a time."""
+    rng = np.random.default_rng(2)
+    words = [" ab ", " straße ", " x ", " " + "abc" * 40 + " ", " 日本語テキスト ", " abab "] + [f" w{i} " for i in range(9)]
+    docs = [[(words[w], int(rng.integers(1, 5))) for w in rng.choice(len(words), rng.integers(0, 6), replace=False)] for _ in range(60)]
+    units = pa.array([[{"unit": u, "n": n} for u, n in doc] for doc in docs], counting._COUNTED)
+    terms = lambda w: [w] if not lengths else [w[i:i + k] for k in lengths for i in range(len(w) - k + 1)]
+    vocabulary = sorted({t for w in words[:12] for t in terms(w)} - {"ab", " x "})
+    want = []
+    for doc in docs:
+        tf = Counter()
+        for unit, n in doc:
+            for term in terms(unit):
+                tf[term] += n
+        want.append(sorted((vocabulary.index(t), n) for t, n in tf.items() if t in vocabulary))
+    cut, sizes = counting._term_sums, []
+    monkeypatch.setattr(counting, "_UNITS", 7)
+    monkeypatch.setattr(counting, "_ELEMENTS", 5)
+    monkeypatch.setattr(counting, "_term_sums", lambda units, *more: sizes.append((len(units), len(units.flatten()))) or cut(units, *more))
+    box = lambda value: type("Shared", (), {"value": value})()
+    found = counting.known_counter(box(vocabulary), lengths).func(units)
+    assert found.type == counting._KNOWN and len(sizes) > 20 and all(n <= 7 or rows == 1 for rows, n in sizes)
+    assert [list(zip(r["idx"], r["tf"])) for r in found.to_pylist()] == want
+    listed = counting.term_counter(lengths).func(units).to_pylist()
+    assert [sorted((t["term"], t["tf"]) for t in doc if t["term"] in vocabulary) for doc in listed] == [
+        sorted((vocabulary[i], n) for i, n in doc) for doc in want]
+
+    idf, places = rng.random(len(vocabulary)) + 1, np.where(np.arange(len(vocabulary)) % 3 == 0, -1, np.arange(len(vocabulary)))
+    weights = counting.weigher(box((places, idf))).func(found).to_pylist()
+    for doc, got in zip(want, weights):
+        raw = [(places[i], (1 + np.log(n)) * idf[i]) for i, n in doc if places[i] >= 0]
+        norm = np.sqrt(sum(w * w for _, w in raw))
+        assert got["idx"] == [i for i, _ in raw] and got["weight"] == pytest.approx([w / norm for _, w in raw])
