@@ -608,3 +608,20 @@ def test_a_random_search_measures_a_fold_in_one_pass(table, monkeypatch):
     assert len(loaded) <= 1 and len(measured) == 2
     want = np.mean([[auc(M.score(m, held)).first()["auc"] for m in models] for models, held in measured], axis=0)
     assert [value for _, value in search.scores] == pytest.approx(want.tolist())
+
+
+def test_a_longer_staged_fit_goes_on_from_the_shorter_one(table, monkeypatch):
+    train, val = (table.where(part).withColumn("weight", F.lit(1.0)).cache() for part in ("sample_id % 4 <> 0", "sample_id % 4 = 0"))
+    grown, boost = [], learners.BoostedTrees._fit
+
+    def fit(self, df):
+        model = boost(self, df)
+        grown.append((len(self.earlier.weights) if self.earlier else 0, len(model.weights)))
+        return model
+
+    monkeypatch.setattr(learners.BoostedTrees, "_fit", fit)
+    learner = M.boosted({"rounds": 1, "step": 0.01, "depth": 2, "columns": "0.7"})
+    found = M.fit_staged(learner, [7], train, val, 2)[7]
+    assert grown == [(0, 4), (4, 7)]
+    whole = learner.copy({learner.maxIter: 7}).fit(train)
+    assert found.nodes.equals(whole.first(len(found.weights)).nodes)
