@@ -3,6 +3,7 @@
 import inspect
 import threading
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
-from defectlens.learning import forest, holdout, learners, optimality, preparation as P, scorer, store, training as M
+from defectlens.learning import forest, growing, holdout, learners, optimality, preparation as P, scorer, store, training as M
 from defectlens.operators import explain
 from defectlens.operators.codefeatures import feature_table
 from defectlens.operators.evaluation import auc, model_comparison
@@ -625,3 +626,23 @@ def test_a_longer_staged_fit_goes_on_from_the_shorter_one(table, monkeypatch):
     assert grown == [(0, 4), (4, 7)]
     whole = learner.copy({learner.maxIter: 7}).fit(train)
     assert found.nodes.equals(whole.first(len(found.weights)).nodes)
+
+
+def test_growing_keeps_little_of_a_row(monkeypatch):
+    """What is needed of a row for a while is made for a block of rows; blocks change no tree."""
+    rng = np.random.default_rng(7)
+    n = 40_000
+    store = growing.Dense(rng.integers(0, 12, (6, n)).astype(np.uint8), np.full(6, 11))
+    label, weight = (rng.random(n) < 0.3 + 0.04 * store.codes[0]).astype(float), 1.0 + rng.random(n)
+
+    def trees():
+        rules = growing.Rules(5, 20, 0.0, 4, 1)
+        return [{k: v.tolist() for k, v in tree.items()} for tree in growing.boost(store, label, weight, np.arange(n), rules, 2, 0.1, 0.8)]
+
+    want = trees()
+    monkeypatch.setattr(growing, "_ROWS", 1 << 10)
+    tracemalloc.start()
+    got = trees()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == want and peak / n < learners.ROW_BYTES
